@@ -34,6 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def partitions(spark: SparkSession) -> int:
+    """Number of tasks for work whose cost lies in the rows, not in their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def text_bytes(df: DataFrame) -> int:
     """Size of all rows written as text, measured in one pass."""
     row = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long").alias("b")).agg(

@@ -16,11 +16,11 @@ def bound_rows(rows: DataFrame, order: list[str]) -> DataFrame:
         F.when(F.col("canon") == first, F.lit(EQUAL)).otherwise(F.lit(DIFFERENT))
     )
     has = F.col("generic").isNotNull()
-    # Rows without a generic form no group of their own; the window only sees the others.
-    bound = rows.filter(has).withColumn("_b", bind)
     return (
-        bound.withColumn("s", F.col("s") + F.col("_b")).withColumn("c", F.col("c") + 1).drop("_b")
-        .unionByName(rows.filter(~has))
+        rows.withColumn("_b", bind)
+        .withColumn("s", F.when(has, F.col("s") + F.col("_b")).otherwise(F.col("s")))
+        .withColumn("c", F.when(has, F.col("c") + 1).otherwise(F.col("c")))
+        .drop("_b")
     )
 
 
@@ -57,13 +57,15 @@ def choose_readings(rows: DataFrame, depth: int) -> DataFrame:
         rows = rows.withColumn("_alt", inner["alt"]).withColumn("_b", inner["b"]).withColumn(
             "_outer", F.slice("alts", F.lit(1), F.lit(level - 1))
         )
-        here = rows.filter(F.col("_alt").isNotNull())
-        per_reading = here.groupBy(*PAIR, "_outer", "_alt", "_b").agg(F.sum("s").alias("_s"))
-        best = per_reading.groupBy(*PAIR, "_outer", "_alt").agg(
-            F.min_by("_b", F.struct(F.round("_s", 9), "_b")).alias("_b")
+        place = [*PAIR, "_outer", "_alt"]
+        cost = F.sum("s").over(Window.partitionBy(*place, "_b"))
+        best = F.min(F.struct(F.round("_s", 9), "_b")).over(Window.partitionBy(*place))
+        rows = (
+            rows.withColumn("_s", cost)
+            .withColumn("_best", best)
+            .filter(F.col("_alt").isNull() | (F.col("_b") == F.col("_best._b")))
+            .drop("_alt", "_b", "_outer", "_s", "_best")
         )
-        kept = here.join(best, [*PAIR, "_outer", "_alt", "_b"], "left_semi")
-        rows = kept.unionByName(rows.filter(F.col("_alt").isNull())).drop("_alt", "_b", "_outer")
     return rows
 
 

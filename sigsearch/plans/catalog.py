@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigsearch.functions import links
 from sigsearch.functions.names import letters
 from sigsearch.operators.flatten import flatten_signature
-from sigsearch.operators.joins import fits, settle, shared_folder
+from sigsearch.operators.joins import fits, partitions, settle, shared_folder
 
 FN_KEY = ["crate", "item_id", "impl_id"]
 ID_IN_TEXT = r'"id":"((?:[^"\\]|\\.)*)"'
@@ -119,14 +119,17 @@ def _kinds(text: str) -> str:
     return f"coalesce((length({text}) - length(replace({text}, '\"kind\"', ''))) div 6, 0)"
 
 
-def with_nodes(fns: DataFrame, reach: DataFrame | None) -> DataFrame:
-    """Add ``nodes`` and ``arg_names``."""
-    decl = fns.withColumn("_decl", F.from_json("inner", "decl string")["decl"]).withColumn(
+def with_declaration(fns: DataFrame) -> DataFrame:
+    """Add the declaration as text, and all text of a function in which ids can occur."""
+    return fns.withColumn("_decl", F.from_json("inner", "decl string")["decl"]).drop("inner").withColumn(
         "_texts", F.concat_ws(" ", "_decl", "for_text")
     )
+
+
+def with_nodes(fns: DataFrame) -> DataFrame:
+    """Add ``nodes`` and ``arg_names``; no rows are moved."""
     return (
-        with_aliases(decl, reach)
-        .withColumn("_d", F.expr("try_parse_json(_decl)"))
+        fns.withColumn("_d", F.expr("try_parse_json(_decl)"))
         .withColumn("_args", F.expr(
             "coalesce(try_variant_get(_d, '$.inputs', 'array<variant>'), cast(array() AS array<variant>))"))
         .withColumn("arg_names", F.expr("transform(_args, p -> try_variant_get(p, '$[0]', 'string'))"))
@@ -137,7 +140,7 @@ def with_nodes(fns: DataFrame, reach: DataFrame | None) -> DataFrame:
         .withColumn("_rounds", F.expr(
             f"1 + {_kinds('_texts')} + aggregate(map_values(_aliases), 0L, (n, t) -> n + {_kinds('t')})"))
         .withColumn("nodes", flatten_signature())
-        .drop("_decl", "_texts", "_aliases", "_d", "_args", "_inputs", "_output", "_self", "_rounds", "inner")
+        .drop("_decl", "_texts", "_aliases", "_d", "_args", "_inputs", "_output", "_self", "_rounds")
     )
 
 
@@ -186,14 +189,16 @@ def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = No
         "crate string, id string, name string, docs string, inner string, kind string"
     ).parquet(f"{directory}/items")
 
-    found = with_places(with_nodes(callables(items), alias_reach(items)), paths)
-    found = found.withColumn("reason", F.expr(_BROKEN)).withColumn("sig_id", F.expr("unhex(md5(to_json(nodes)))"))
+    fns = with_places(with_aliases(with_declaration(callables(items)), alias_reach(items)), paths)
     # Ranges of (crate, item) keep packages together for file skipping and cut a huge package up.
+    # The rows are moved before their types are taken apart, so that work is spread evenly.
+    spread = fns.repartitionByRange(partitions(spark), "crate", "item_id").sortWithinPartitions("crate", "item_id")
+    found = with_nodes(spread).withColumn("reason", F.expr(_BROKEN)).withColumn(
+        "sig_id", F.expr("unhex(md5(to_json(nodes)))")
+    )
     found.select(
         *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "nodes", "reason", "path_id"
-    ).repartitionByRange("crate", "item_id").sortWithinPartitions("crate", "item_id").write.parquet(
-        f"{directory}/functions"
-    )
+    ).write.parquet(f"{directory}/functions")
     lost = members(items).filter(F.col("kind").isNull())
     return _finish(spark, directory, lost)
 

@@ -6,6 +6,8 @@ afterwards, and only those that can still be among the results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from sigsearch.functions import links
 from sigsearch.functions.names import letters, may_be_near, name_distance
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
-from sigsearch.operators.joins import fits, settle, split_hot_keys, spread_join
+from sigsearch.operators.joins import BROADCAST_BYTES, fits, partitions, settle, split_hot_keys, spread_join
 from sigsearch.operators.parse import parse_signatures, query_nodes
 from sigsearch.operators.scope import in_scope
 from sigsearch.operators.topk import TIE_BREAK, first_per
@@ -54,34 +56,42 @@ def _below(s: str, c: str, threshold: float):
     return F.expr(f"{c} > 0 AND cast(({s}) / ({c}) AS float) < cast({threshold!r} AS float)")
 
 
-def signature_scores(texts: DataFrame, sigs: DataFrame, alias_depth: int) -> DataFrame:
-    """(text_id, sig_id, s, c): components of the signature alone, for every text with types."""
+def signature_scores(texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool) -> DataFrame:
+    """(text_id, sig_id, s, c): components of the signature alone, for every text with types.
+
+    ``sigs`` comes partitioned by sig_id, and everything up to the sums keeps to that.
+    """
     nodes = query_nodes(texts, "text_id")
-    small = fits(nodes)
     plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, small))
     if not alias_depth:
         return plain
-    return plain.unionByName(aliased_scores(sigs, nodes, small, alias_depth))
+    chosen = component_rows(texts, sigs.filter("has_alias"), alias_depth, small)
+    aliased = chosen.groupBy(*al.PAIR).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    return plain.unionByName(aliased)
 
 
-def aliased_rows(sigs: DataFrame, nodes: DataFrame, small: bool) -> DataFrame:
-    rows = al.align_aliased(al.item_side(sigs), nodes, small)
-    return sc.bound_rows(rows, ["slot", "ord"])
+def component_rows(texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool) -> DataFrame:
+    """Aligned rows of each pair with bindings and readings settled: the score taken apart."""
+    rows = al.align_aliased(al.item_side(sigs), query_nodes(texts, "text_id"), small)
+    return sc.choose_readings(sc.bound_rows(rows, ["slot", "ord"]), alias_depth)
 
 
-def aliased_scores(sigs: DataFrame, nodes: DataFrame, small: bool, depth: int) -> DataFrame:
-    chosen = sc.choose_readings(aliased_rows(sigs.filter("has_alias"), nodes, small), depth)
-    return chosen.groupBy(*al.PAIR).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+def signatures_of(fns: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The signatures that these functions use, partitioned by sig_id."""
+    used = settle(fns.select("sig_id").distinct())
+    n = partitions(sigs.sparkSession)
+    if fits(used):
+        return sigs.join(F.broadcast(used), "sig_id", "left_semi").repartition(n, "sig_id")
+    return sigs.repartition(n, "sig_id").join(used, "sig_id", "left_semi")
 
 
-def near_names(texts: DataFrame, names: DataFrame, threshold: float, prefilter: bool = True) -> DataFrame:
+def near_names(texts: DataFrame, names: DataFrame, threshold: float, small: bool, prefilter: bool = True) -> DataFrame:
     """(text_id, name, d): function names whose distance to a query's name is below the threshold.
 
     Joined on the name's length: a text is listed under every length its near names can have.  Names
     with other than single-byte characters have a length group of their own that every text sees.
     """
     asked = texts.select("text_id", "q_name").withColumn("q_letters", letters("q_name"))
-    small = fits(asked)
     if not prefilter:
         lengths = F.array(F.lit(0))
         key = F.lit(0)
@@ -120,44 +130,61 @@ def candidates(
     """
     texts = prepare(queries) if texts is None else texts
     wants = _wants(texts)
-    asks = queries.withColumn("text_id", F.expr("unhex(md5(text))")).select(*ASK).distinct()
-    fns = in_scope(catalog.fns, scopes, asks, fits(scopes)).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
+    asks = settle(queries.withColumn("text_id", F.expr("unhex(md5(text))")).select(*ASK).distinct())
     unnamed = "q_name IS NULL AND size(q_args) = 0"
+    # One pass over the parsed texts: their size bounds everything derived from them, and the kinds
+    # of query there are decide which parts of the job are needed.
+    about = texts.select(
+        F.octet_length(F.to_json("sig")).cast("long").alias("b"),
+        F.expr("size(sig.nodes) > 0 AND NOT sig.rejected").alias("typed"),
+        F.expr("sig.name IS NULL AND NOT exists(sig.args, a -> a.arg_name IS NOT NULL)").alias("unnamed"),
+        (F.size("sig.nodes") == 0).alias("bare"),
+    ).agg(
+        F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.max(F.expr("typed AND unnamed")).alias("plain"),
+        F.max(F.expr("typed AND NOT unnamed")).alias("mixed"), F.max("bare").alias("bare"),
+    ).first()
+    small = about["bytes"] <= BROADCAST_BYTES
+    asks_small = fits(asks)
 
-    # Signatures first.  What names could still add at best is one equal component each.
-    in_use = catalog.sigs.join(fns.select("sig_id").distinct(), "sig_id", "left_semi")
-    pairs = signature_scores(texts, in_use, catalog.alias_depth)
-    pairs = pairs.join(F.broadcast(wants) if fits(wants) else wants, "text_id").filter(
-        _below("s", "c + size(q_args) + IF(q_name IS NULL, 0, 1)", threshold)
-    )
-    asked = pairs.join(F.broadcast(asks) if fits(asks) else asks, "text_id")
+    def per_scope(pairs: DataFrame) -> DataFrame:
+        return pairs.join(F.broadcast(asks) if asks_small else asks, "text_id")
 
-    # All functions of one signature score alike unless names count, so k of them are enough there.
-    group = ["sig_id", "scope"]
-    few = fns.select(*FN_KEY, *group) if k is None else first_per(fns.select(*FN_KEY, *group), group, TIE_BREAK, k)
+    fns = in_scope(catalog.fns, scopes, asks, fits(scopes)).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
     out_cols = [*ASK, *FN_KEY, "s", "c"]
-    by_type = asked.filter(unnamed)
-    alike = (split_hot_keys(few, by_type, group, "item_id") if k is None else few.join(by_type, group)).select(*out_cols)
-
-    # Which kinds of query there are decides which of the other parts are needed at all.
-    kinds = wants.agg(
-        F.max(F.expr(f"typed AND NOT ({unnamed})")).alias("mixed"), F.max(F.expr("NOT typed")).alias("bare")
-    ).first()
-    result = alike
-    if kinds["mixed"]:
-        mixed = split_hot_keys(fns, asked.filter(f"NOT ({unnamed})"), group, "item_id")
-        result = result.unionByName(_name_parts(mixed).filter(_below("s", "c", threshold)).select(*out_cols))
-    if kinds["bare"]:
+    parts = []
+    if about["plain"] or about["mixed"]:
+        # Signatures first.  What names could still add at best is one equal component each.
+        pairs = signature_scores(texts, signatures_of(fns, catalog.sigs), catalog.alias_depth, small)
+        pairs = pairs.join(F.broadcast(wants) if small else wants, "text_id").filter(
+            _below("s", "c + size(q_args) + IF(q_name IS NULL, 0, 1)", threshold)
+        )
+        asked = per_scope(settle(pairs))
+    if about["plain"]:
+        # All functions of one signature score alike unless names count, so k of them are enough.
+        group = ["sig_id", "scope"]
+        by_type = asked.filter(unnamed)
+        if k is None:
+            alike = split_hot_keys(fns, by_type, group, "item_id")
+        else:
+            alike = first_per(fns.select(*FN_KEY, *group), group, TIE_BREAK, k).join(by_type, group)
+        parts.append(alike.select(*out_cols))
+    if about["mixed"]:
+        mixed = split_hot_keys(fns, asked.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
+        parts.append(_name_parts(mixed).filter(_below("s", "c", threshold)).select(*out_cols))
+    if about["bare"]:
         bare = wants.filter("NOT typed AND q_name IS NOT NULL")
-        near = near_names(bare, catalog.names, threshold, prefilter).join(
-            F.broadcast(asks) if fits(asks) else asks, "text_id"
-        ).withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long"))
+        near = per_scope(near_names(bare, catalog.names, threshold, small, prefilter))
+        near = near.withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long"))
         named = fns.select(*FN_KEY, "name", "scope")
         if k is None:
             found = split_hot_keys(named, near, ["name", "scope"], "item_id")
         else:
             found = first_per(named, ["name", "scope"], TIE_BREAK, k).join(near, ["name", "scope"])
-        result = result.unionByName(found.select(*out_cols))
+        parts.append(found.select(*out_cols))
+    if not parts:
+        empty = fns.limit(0).select(*FN_KEY, "scope").crossJoin(texts.limit(0).select("text_id"))
+        parts.append(empty.withColumn("s", F.lit(0.0)).withColumn("c", F.lit(0).cast("long")).select(*out_cols))
+    result = reduce(DataFrame.unionByName, parts)
     return result.withColumn("score", sc.score())
 
 
@@ -202,10 +229,3 @@ def hits_json(hits: DataFrame) -> DataFrame:
         "text", "scope", "rank",
         F.to_json(F.struct("name", "path", "link", "docs"), {"ignoreNullFields": "false"}).alias("hit"),
     )
-
-
-def component_rows(texts: DataFrame, sigs: DataFrame, alias_depth: int) -> DataFrame:
-    """Aligned rows of each pair with bindings and readings settled: the score taken apart."""
-    nodes = query_nodes(texts, "text_id")
-    rows = aliased_rows(sigs, nodes, fits(nodes))
-    return sc.choose_readings(rows, alias_depth)

@@ -129,7 +129,7 @@ def _items(fns: DataFrame) -> DataFrame:
     impls = blocks.selectExpr("crate", "concat('impl:', block) AS id", f"{impl} AS item")
     alias = f"""'{{"id":"{ALIAS_ID}","name":"Result","docs":null,"kind":"typedef","inner":{{"type":{ALIAS_TARGET}}}}}'"""
     aliases = fns.select("crate").distinct().selectExpr("crate", f"'{ALIAS_ID}' AS id", f"{alias} AS item")
-    return own.unionByName(impls).unionByName(aliases)
+    return own.unionByName(impls).unionByName(aliases).repartition("crate", "id")
 
 
 def _paths(fns: DataFrame) -> DataFrame:
