@@ -72,6 +72,12 @@ VOCABULARY = (
     _array(_prim("u8")),
     _path("Cow", '{"lifetime":"\'a"}', _prim("str")),
 )
+# The same types the way they are written in a declaration.
+VOCABULARY_TEXT = (
+    "i32", "&str", "bool", "String", "Vec<T>", "Option<T>", "Option<i32>", "Result<T, E>",
+    "Option<Result<T, E>>", "Result<Option<T>, E>", "&mut Vec<u8>", "&[u8]", "(i32, bool)", "T",
+    "HashMap<K, V>", "*const u8", "io::Result<T>", "&io::Result<T>", "[u8; 4]", "Cow<'a, str>",
+)
 ALIAS_TARGET = _path("Result", _T, _path("Error"))
 # Receiver types of inherent impls by number; the three paths are a struct, an enum and a union.
 RECEIVERS = (
