@@ -96,9 +96,12 @@ def near_names(texts: DataFrame, names: DataFrame, threshold: float, small: bool
         lengths = F.array(F.lit(0))
         key = F.lit(0)
     else:
-        top = F.expr(f"cast(floor(char_length(q_name) / {max(1 - threshold, 1e-6)!r}D) + 1 AS int)")
-        low = F.expr(f"cast(ceil(char_length(q_name) * {max(1 - threshold, 0.0)!r}D) - 1 AS int)")
-        lengths = F.array_append(F.sequence(F.greatest(low, F.lit(0)), top), F.lit(-1))
+        longest = names.agg(F.max(F.char_length("name"))).first()[0] or 0
+        same = 1 - threshold  # share of the longer name that must be left
+        low = F.expr(f"greatest(cast(ceil(char_length(q_name) * {max(same, 0.0)!r}D) AS int) - 1, 0)")
+        top = F.lit(longest) if same < 1e-3 else F.expr(
+            f"least(cast(floor(char_length(q_name) / {same!r}D) AS int) + 1, {longest})")
+        lengths = F.array_append(F.when(low <= top, F.sequence(low, top)).otherwise(F.expr("cast(array() AS array<int>)")), F.lit(-1))
         key = F.expr("IF(char_length(name) = octet_length(name), char_length(name), -1)")
     asked = asked.withColumn("len", F.explode(lengths))
     pairs = spread_join(names.withColumn("len", key), asked, ["len"], "name", small)
@@ -229,3 +232,11 @@ def hits_json(hits: DataFrame) -> DataFrame:
         "text", "scope", "rank",
         F.to_json(F.struct("name", "path", "link", "docs"), {"ignoreNullFields": "false"}).alias("hit"),
     )
+
+
+def check_whole(catalog: Catalog, scopes: DataFrame) -> None:
+    """Raise if a package of these scopes has functions that had to be left out of the catalogue."""
+    lost = catalog.quarantine.join(scopes.select("crate").distinct(), "crate", "left_semi")
+    first = lost.orderBy("crate", "item_id", "impl_id").first()
+    if first is not None:
+        raise ValueError(f"package {first.crate} has entries in quarantine, such as {first.asDict()}")
