@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from sigsearch.functions import links
 from sigsearch.functions.names import letters
-from sigsearch.operators.flatten import flatten_signature
-from sigsearch.operators.joins import fits, partitions, settle, shared_folder
+from sigsearch.operators.flatten import NODE_TYPE, flatten_signature
+from sigsearch.operators.joins import fits, partitions, settle, shared_folder, split_hot_keys
 
 FN_KEY = ["crate", "item_id", "impl_id"]
 ID_IN_TEXT = r'"id":"((?:[^"\\]|\\.)*)"'
 MAX_CHAIN = 100  # an alias chain longer than this is reported as an error, not cut
 
 
+SIG_SCHEMA = f"sig_id binary, nodes array<{NODE_TYPE}>, alias_depth int, has_alias boolean"
+
+
 @dataclass
 class Catalog:
     """Written tables.
@@ -45,21 +48,47 @@ def impls(items: DataFrame) -> DataFrame:
     )
 
 
-def members(items: DataFrame) -> DataFrame:
+def located_impls(items: DataFrame, paths: DataFrame) -> DataFrame:
+    """Impls with the path and the page of their receiver type.
+
+    Looked up per impl, before the members come in: one type may have a large part of all methods.
+    """
+    body = F.from_json("inner", "name string, id string")
+    found = (
+        impls(items)
+        .withColumn("_for", F.from_json("for_text", "kind string, inner string"))
+        .withColumn("for_kind", F.col("_for.kind"))
+        .withColumn("inner", F.col("_for.inner"))
+        .withColumn("_ref", F.when(F.col("for_kind") == "resolved_path", body))
+        .withColumn("for_name", F.when(F.col("for_kind") == "primitive", F.col("inner")).otherwise(F.col("_ref.name")))
+        .withColumn("path_id", F.col("_ref.id"))
+    )
+    summary = paths.select("crate", F.col("id").alias("path_id"), "path", F.col("kind").alias("path_kind"))
+    return found.join(summary, ["crate", "path_id"], "left").select(
+        "crate", "impl_id", "for_text", "members", "path_id",
+        links.receiver_path().alias("base_path"), links.receiver_page().alias("page"),
+    )
+
+
+def members(found_impls: DataFrame, items: DataFrame) -> DataFrame:
     """impl -> member items; ``kind`` is NULL where the member is not there."""
-    wanted = impls(items).select("crate", "impl_id", "for_text", F.explode("members").alias("id"))
-    found = items.select("crate", "id", "kind", "name", "docs", "inner")
-    return wanted.join(found, ["crate", "id"], "left")
+    wanted = found_impls.withColumn("id", F.explode("members")).drop("members")
+    return wanted.join(items.select("crate", "id", "kind", "name", "docs", "inner"), ["crate", "id"], "left")
 
 
-def callables(items: DataFrame) -> DataFrame:
-    """Free functions and inherent methods, one row each."""
+def callables(items: DataFrame, paths: DataFrame) -> DataFrame:
+    """Free functions and inherent methods, one row each, with their place."""
     fields = ["crate", F.col("id").alias("item_id"), "kind", "name", "docs", "inner"]
-    free = items.filter(F.col("kind") == "function").select(
-        *fields, F.lit("").alias("impl_id"), F.lit(None).cast("string").alias("for_text")
+    place = ["path_id", "base_path", "page"]
+    none = F.lit(None).cast("string")
+    own_path = paths.select("crate", "id", F.col("path").alias("base_path"))
+    free = (
+        items.filter(F.col("kind") == "function").join(own_path, ["crate", "id"], "left")
+        .withColumn("path_id", F.col("id")).withColumn("page", none)
+        .select(*fields, F.lit("").alias("impl_id"), none.alias("for_text"), *place)
     )
-    methods = members(items).filter(F.col("kind") == "method").select(*fields, "impl_id", "for_text")
-    return free.unionByName(methods)
+    methods = members(located_impls(items, paths), items).filter(F.col("kind") == "method")
+    return free.unionByName(methods.select(*fields, "impl_id", "for_text", *place))
 
 
 def _mentions(text: str) -> Column:
@@ -106,8 +135,9 @@ def with_aliases(fns: DataFrame, reach: DataFrame | None) -> DataFrame:
     named = fns.select(
         *FN_KEY, F.explode(_mentions("_texts")).alias("id")
     )
-    small = fits(reach)
-    used = named.join(F.broadcast(reach) if small else reach, ["crate", "id"]).groupBy(*FN_KEY).agg(
+    key = ["crate", "id"]
+    met = named.join(F.broadcast(reach), key) if fits(reach) else split_hot_keys(named, reach, key, "item_id")
+    used = met.groupBy(*FN_KEY).agg(
         F.map_from_entries(F.collect_set(F.struct("dep_id", "text"))).alias("_aliases")
     )
     return fns.join(used, FN_KEY, "left").withColumn(
@@ -144,28 +174,6 @@ def with_nodes(fns: DataFrame) -> DataFrame:
     )
 
 
-def with_places(fns: DataFrame, paths: DataFrame) -> DataFrame:
-    """Add ``base_path`` and ``page``; the path is that of the function or of the receiver type."""
-    receiver = F.from_json("for_text", "kind string, inner string")
-    fns = (
-        fns.withColumn("_for", receiver)
-        .withColumn("for_kind", F.col("_for.kind"))
-        .withColumn("_ref", F.when(F.col("for_kind") == "resolved_path",
-                                   F.from_json("_for.inner", "name string, id string")))
-        .withColumn("for_name", F.when(F.col("for_kind") == "primitive", F.col("_for.inner"))
-                    .otherwise(F.col("_ref.name")))
-        .withColumn("path_id", F.when(F.col("kind") == "function", F.col("item_id")).otherwise(F.col("_ref.id")))
-    )
-    summary = paths.select("crate", F.col("id").alias("path_id"), "path", F.col("kind").alias("path_kind"))
-    located = fns.join(summary, ["crate", "path_id"], "left")
-    return (
-        located.withColumn("base_path", F.when(F.col("kind") == "function", F.col("path"))
-                           .otherwise(links.receiver_path()))
-        .withColumn("page", F.when(F.col("kind") == "method", links.receiver_page()))
-        .drop("_for", "_ref", "for_name", "path", "path_kind")
-    )
-
-
 # Why a function cannot be listed as a hit; NULL for all others.
 _BROKEN = """CASE
   WHEN name IS NULL THEN 'unnamed'
@@ -179,17 +187,12 @@ _BROKEN = """CASE
 def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = None) -> Catalog:
     """Write the catalogue tables and return them as read back.
 
-    ``items`` (crate, id, kind, name, docs, inner) and ``paths`` (crate, id, path, kind) as given by
-    ``sources.crate_files``.  Without a directory a new one in the shared checkpoint folder is used.
+    ``items`` and ``paths`` are the staged tables of ``sources.crate_files``.  Without a directory a
+    new one in the shared checkpoint folder is used.
     """
     spark = items.sparkSession
     directory = directory or f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
-    items.write.partitionBy("kind").parquet(f"{directory}/items")
-    items = spark.read.schema(
-        "crate string, id string, name string, docs string, inner string, kind string"
-    ).parquet(f"{directory}/items")
-
-    fns = with_places(with_aliases(with_declaration(callables(items)), alias_reach(items)), paths)
+    fns = with_aliases(with_declaration(callables(items, paths)), alias_reach(items))
     # Ranges of (crate, item) keep packages together for file skipping and cut a huge package up.
     # The rows are moved before their types are taken apart, so that work is spread evenly.
     spread = fns.repartitionByRange(partitions(spark), "crate", "item_id").sortWithinPartitions("crate", "item_id")
@@ -199,7 +202,7 @@ def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = No
     found.select(
         *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "nodes", "reason", "path_id"
     ).write.parquet(f"{directory}/functions")
-    lost = members(items).filter(F.col("kind").isNull())
+    lost = members(impls(items), items).filter(F.col("kind").isNull())
     return _finish(spark, directory, lost)
 
 
@@ -226,9 +229,7 @@ def _finish(spark: SparkSession, directory: str, lost: DataFrame) -> Catalog:
 
 def read_catalog(spark: SparkSession, directory: str) -> Catalog:
     """A catalogue that was written before."""
-    sigs = spark.read.schema(
-        spark.read.parquet(f"{directory}/sigs").drop("has_alias").schema.add("has_alias", "boolean")
-    ).parquet(f"{directory}/sigs")
+    sigs = spark.read.schema(SIG_SCHEMA).parquet(f"{directory}/sigs")
     depth = sigs.filter("has_alias").agg(F.max("alias_depth")).first()[0] or 0
     return Catalog(
         fns=spark.read.parquet(f"{directory}/functions").filter(F.col("reason").isNull()).drop("reason", "path_id"),

@@ -6,18 +6,22 @@ Layout: ``<dir>/crate/<name>.json`` (one object per package with ``index`` and `
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigsearch.operators.joins import shared_folder
+
 # --- fixed values -------------------------------------------------------------------------------
 ITEM_KINDS = ("function", "method", "trait", "impl", "typedef", "assoc_const")
 PATH_KINDS = ("struct", "union", "enum", "function", "trait", "method")
 # ------------------------------------------------------------------------------------------------
 
 FILE_SCHEMA = "index map<string,string>, paths map<string,string>, _bad string"
-ITEM_SCHEMA = "kind string, name string, docs string, inner string"
-PATH_SCHEMA = "path array<string>, kind string"
+ENTRY_SCHEMA = "kind string, name string, docs string, inner string, path array<string>"
+STAGED_SCHEMA = "crate string, id string, name string, docs string, inner string, path array<string>, source string, kind string"
 # Text inside an item stays JSON text, so only the maps themselves are decoded per file.
 JSON_OPTIONS = {"columnNameOfCorruptRecord": "_bad", "maxNestingDepth": "1000000", "maxStringLen": "2000000000"}
 
@@ -30,40 +34,56 @@ def _whole_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(_stem().alias(key), "value")
 
 
-def read_crate_files(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Tables ``items``, ``paths``, ``bad_files`` and ``crates`` of ``<directory>/crate``."""
+def file_entries(spark: SparkSession, directory: str) -> DataFrame:
+    """(crate, source, id, text) of ``<directory>/crate``, every file decoded once.
+
+    ``source`` is 'item' or 'path' for the members of a good file, and 'good' or 'bad' for the file.
+    """
     files = _whole_files(spark, f"{directory}/crate", "crate").withColumn(
         "j", F.from_json("value", FILE_SCHEMA, JSON_OPTIONS)
     )
-    bad = F.col("j").isNull() | F.col("j._bad").isNotNull() | F.col("j.index").isNull() | F.col("j.paths").isNull()
-    good = files.filter(~bad)
-    # One file is one record of its format; its members are spread right after being taken out.
-    items = good.select("crate", F.explode("j.index").alias("id", "item")).repartition("crate", "id")
-    paths = good.select("crate", F.explode("j.paths").alias("id", "summary")).repartition("crate", "id")
+    entry = "struct('{0}' AS source, {1} AS id, {2} AS text)"
+    none = "cast(NULL AS string)"
+    return files.selectExpr("crate", f"""inline(
+        CASE WHEN j IS NULL OR j._bad IS NOT NULL OR j.index IS NULL OR j.paths IS NULL
+          THEN array({entry.format('bad', none, none)})
+        ELSE concat(array({entry.format('good', none, none)}),
+          transform(map_entries(j.index), e -> {entry.format('item', 'e.key', 'e.value')}),
+          transform(map_entries(j.paths), e -> {entry.format('path', 'e.key', 'e.value')})) END)""")
+
+
+def stage(entries: DataFrame, directory: str | None = None) -> dict[str, DataFrame]:
+    """Write the entries a search needs, split by kind, and return them as tables.
+
+    ``items`` (crate, id, kind, name, docs, inner), ``paths`` (crate, id, path, kind), ``bad_files``
+    (crate) and ``crates`` (crate).  Rows are spread over all tasks on the way, since one file may hold
+    a large part of them.
+    """
+    spark = entries.sparkSession
+    directory = directory or f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    kept = (F.col("source") == "item") & F.col("kind").isin(*ITEM_KINDS)
+    kept |= (F.col("source") == "path") & F.col("kind").isin(*PATH_KINDS)
+    kept |= F.col("source").isin("good", "bad")
+    (
+        entries.withColumn("e", F.from_json("text", ENTRY_SCHEMA))
+        .select("source", "crate", "id", F.coalesce("e.kind", F.lit("-")).alias("kind"), "e.name", "e.docs", "e.inner", "e.path")
+        .filter(kept)
+        .repartition("crate", "id")
+        .write.partitionBy("source", "kind").parquet(directory)
+    )
+    staged = spark.read.schema(STAGED_SCHEMA).parquet(directory)
+    items, paths, good, bad = (staged.filter(F.col("source") == s) for s in ("item", "path", "good", "bad"))
     return {
-        "items": keep_items(items),
-        "paths": keep_paths(paths),
-        "bad_files": files.filter(bad).select("crate"),
-        "crates": files.select("crate"),
+        "items": items.select("crate", "id", "kind", "name", "docs", "inner"),
+        "paths": paths.select("crate", "id", "path", "kind"),
+        "bad_files": bad.select("crate"),
+        "crates": good.select("crate").unionByName(bad.select("crate")),
     }
 
 
-def keep_items(raw: DataFrame) -> DataFrame:
-    """(crate, id, item text) -> (crate, id, kind, name, docs, inner) of the kinds a search needs."""
-    return (
-        raw.withColumn("i", F.from_json("item", ITEM_SCHEMA))
-        .select("crate", "id", "i.*")
-        .filter(F.col("kind").isin(*ITEM_KINDS))
-    )
-
-
-def keep_paths(raw: DataFrame) -> DataFrame:
-    """(crate, id, summary text) -> (crate, id, path, kind) of the kinds a link can point to."""
-    return (
-        raw.withColumn("p", F.from_json("summary", PATH_SCHEMA))
-        .select("crate", "id", "p.*")
-        .filter(F.col("kind").isin(*PATH_KINDS))
-    )
+def read_crate_files(spark: SparkSession, directory: str, staged: str | None = None) -> dict[str, DataFrame]:
+    """The tables of ``stage`` for ``<directory>/crate``."""
+    return stage(file_entries(spark, directory), staged)
 
 
 def read_sets(spark: SparkSession, directory: str) -> DataFrame:

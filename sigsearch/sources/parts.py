@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsearch.sources.crate_files import keep_items, keep_paths
+from sigsearch.sources.crate_files import stage
 
 
 def _prim(name: str) -> str:
@@ -135,7 +135,7 @@ def _items(fns: DataFrame) -> DataFrame:
     impls = blocks.selectExpr("crate", "concat('impl:', block) AS id", f"{impl} AS item")
     alias = f"""'{{"id":"{ALIAS_ID}","name":"Result","docs":null,"kind":"typedef","inner":{{"type":{ALIAS_TARGET}}}}}'"""
     aliases = fns.select("crate").distinct().selectExpr("crate", f"'{ALIAS_ID}' AS id", f"{alias} AS item")
-    return own.unionByName(impls).unionByName(aliases).repartition("crate", "id")
+    return own.unionByName(impls).unionByName(aliases)
 
 
 def _paths(fns: DataFrame) -> DataFrame:
@@ -151,13 +151,22 @@ def _paths(fns: DataFrame) -> DataFrame:
     return own.unionByName(types)
 
 
+def part_entries(fns: DataFrame) -> DataFrame:
+    """Item and path texts, as they come out of documentation files."""
+    items = _items(fns).selectExpr("crate", "'item' AS source", "id", "item AS text")
+    paths = _paths(fns).selectExpr("crate", "'path' AS source", "id", "summary AS text")
+    files = fns.select("crate").distinct().selectExpr(
+        "crate", "'good' AS source", "cast(NULL AS string) AS id", "cast(NULL AS string) AS text")
+    return items.unionByName(paths).unionByName(files)
+
+
 def part_catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Tables ``items``, ``paths``, ``crates`` and ``sets`` derived from ``part``."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    fns = part_functions(part)
-    crates = fns.select("crate").distinct()
+    """Tables ``items``, ``paths``, ``bad_files``, ``crates`` and ``sets`` derived from ``part``."""
+    fns = part_functions(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    tables = stage(part_entries(fns))
+    crates = tables["crates"]
     # ``set:odd`` also names a package that does not exist.
     sets = crates.selectExpr("explode(array('all', 'odd')) AS set", "crate").filter(
         "set = 'all' OR cast(split(crate, '_')[1] AS int) % 2 = 1"
     ).unionByName(crates.agg(F.count("*").alias("n")).selectExpr("'odd' AS set", "concat('brand_', n + 75) AS crate"))
-    return {"items": keep_items(_items(fns)), "paths": keep_paths(_paths(fns)), "crates": crates, "sets": sets}
+    return {**tables, "sets": sets}
