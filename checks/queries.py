@@ -84,9 +84,9 @@ def scoped_search_topk(spark, sf_dir):
 
 def search_all_hits(spark, sf_dir):
     _, catalog, scopes = prepared(spark, sf_dir)
-    found = se.candidates(_texts(spark), catalog, scopes, k=None)
-    texts = se.prepare(_texts(spark)).select("text_id", "text")
-    return found.join(F.broadcast(texts), "text_id").select("text", "crate", "item_id", _score().alias("score"))
+    asked = se.look_at(_texts(spark))
+    found = se.candidates(asked, catalog, scopes, k=None)
+    return found.join(F.broadcast(asked.texts.select("text_id", "text")), "text_id").select("text", "crate", "item_id", _score().alias("score"))
 
 
 def search_wide_threshold(spark, sf_dir):
@@ -225,7 +225,7 @@ def _rows(spark, sf_dir, aliased: bool) -> tuple[DataFrame, DataFrame]:
 
 def _plain_rows(spark, sf_dir) -> DataFrame:
     texts, sigs = _rows(spark, sf_dir, False)
-    return al.align(al.item_side(sigs), query_nodes(texts, "text_id"), True).join(
+    return al.align(al.item_side(sigs), al.query_side(texts), True).join(
         F.broadcast(texts.select("text_id", "text")), "text_id"
     )
 
@@ -258,7 +258,7 @@ def ref_peel_cost(spark, sf_dir):
     _, catalog, _ = prepared(spark, sf_dir)
     texts = se.prepare(_texts(spark))
     met = al.spread_join(
-        al.item_side(catalog.sigs.filter("NOT has_alias")), al.query_side(query_nodes(texts, "text_id")),
+        al.item_side(catalog.sigs.filter("NOT has_alias")), al.query_side(texts),
         al.POSITION, "sig_id", True,
     ).withColumn("f", F.expr(al.peel("q_refs", "i_refs")))
     return _per_function(spark, sf_dir, met).groupBy(

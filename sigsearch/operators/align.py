@@ -17,6 +17,7 @@ from sigsearch.operators.joins import spread_join
 EQUAL, NEAR, DIFFERENT = 0.0, 0.25, 1.0
 # ----------------------------------------------------------------------------------------------------
 
+NO_LIMIT = 2.0  # a threshold that no score reaches
 POSITION = ["slot", "path", "spine"]
 PAIR = ["text_id", "sig_id"]
 
@@ -49,38 +50,70 @@ _CORE_C = f"""CASE
 _STEPS = f"CASE WHEN {_PLAIN} THEN 0 WHEN i_kind = 'generic' THEN f.k ELSE f.k + size(f.rest) END"
 
 
-def query_side(nodes: DataFrame) -> DataFrame:
-    return nodes.select(
-        "text_id", *POSITION,
-        F.col("refs").alias("q_refs"), F.col("chain").alias("q_chain"), F.col("kind").alias("q_kind"),
-        F.col("name").alias("q_name"), F.col("n_children").alias("q_n"), F.col("canon").alias("q_canon"),
+def query_side(texts: DataFrame) -> DataFrame:
+    """Node rows of parsed texts.
+
+    ``q_args``, ``q_cores`` and ``q_steps`` describe the whole text: arguments (NULL = any), how many
+    components it can have besides those of surplus arguments and pointers, and its pointers.
+    """
+    whole = texts.select(
+        "text_id", F.col("sig.n_args").alias("q_args"),
+        F.expr("""size(filter(sig.nodes, n -> n.kind <> 'arity')) + size(filter(sig.args, a -> a.arg_name IS NOT NULL))
+                  + IF(sig.name IS NULL, 0, 1)""").alias("q_cores"),
+        F.expr("aggregate(sig.nodes, 0, (k, n) -> k + size(n.refs))").alias("q_steps"),
+        F.explode("sig.nodes").alias("n"),
+    )
+    return whole.select(
+        "text_id", "q_args", "q_cores", "q_steps", *[F.col(f"n.{c}").alias(c) for c in POSITION],
+        F.col("n.refs").alias("q_refs"), F.col("n.chain").alias("q_chain"), F.col("n.kind").alias("q_kind"),
+        F.col("n.name").alias("q_name"), F.col("n.n_children").alias("q_n"), F.col("n.canon").alias("q_canon"),
     )
 
 
 def item_side(sigs: DataFrame) -> DataFrame:
     """Node rows of signatures; ``seq`` numbers them in visiting order."""
-    return sigs.select("sig_id", F.posexplode("nodes").alias("seq", "n")).select(
-        "sig_id", "seq", *[F.col(f"n.{c}").alias(c) for c in POSITION],
+    whole = sigs.select(
+        "sig_id", F.expr("nodes[0].n_children").alias("i_args"),
+        F.expr("aggregate(nodes, 0, (k, n) -> k + size(n.refs))").alias("i_steps"),
+        F.posexplode("nodes").alias("seq", "n"),
+    )
+    return whole.select(
+        "sig_id", "i_args", "i_steps", "seq", *[F.col(f"n.{c}").alias(c) for c in POSITION],
         F.col("n.ord").alias("ord"), F.col("n.refs").alias("i_refs"), F.col("n.hops").alias("i_hops"),
         F.col("n.kind").alias("i_kind"), F.col("n.name").alias("i_name"), F.col("n.n_children").alias("i_n"),
     )
 
 
+def _meet(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshold: float) -> DataFrame:
+    """Pairs of nodes at the same position.
+
+    Surplus arguments cost 1 each.  At best all else is equal and every pointer on either side adds a
+    quarter or nothing, whichever is better; a pair that is not below the threshold even so is left
+    out inside the join.
+    """
+    met = spread_join(i_nodes, q_nodes, POSITION, "sig_id", q_fits)
+    if threshold >= NO_LIMIT:
+        return met
+    surplus = "abs(q_args - i_args)"
+    best = f"least({surplus} / ({surplus} + q_cores), ({surplus} + {NEAR}D * (q_steps + i_steps)) / ({surplus} + q_cores + q_steps + i_steps))"
+    # The margin keeps rounding on the safe side.
+    return met.filter(F.expr(f"coalesce({surplus}, 0) = 0 OR {best} < {threshold!r}D + 1e-6D"))
+
+
 def _scored(rows: DataFrame) -> DataFrame:
     """Add s, c, generic and canon to rows that have the peeling result ``f``."""
     generic = F.expr("i_kind = 'generic' AND q_kind <> 'unit'")
-    return (
-        rows.withColumn("_steps", F.expr(_STEPS))
-        .withColumn("s", F.expr(f"{_CORE_S} + _steps * {NEAR}D"))
-        .withColumn("c", F.expr(f"cast({_CORE_C} + _steps AS bigint)"))
-        .withColumn("generic", F.when(generic, F.col("i_name")))
-        .withColumn("canon", F.when(generic, F.expr(f"concat({as_text('f.rest')}, q_canon)")))
-    )
+    return rows.withColumn("_steps", F.expr(_STEPS)).withColumns({
+        "s": F.expr(f"{_CORE_S} + _steps * {NEAR}D"),
+        "c": F.expr(f"cast({_CORE_C} + _steps AS bigint)"),
+        "generic": F.when(generic, F.col("i_name")),
+        "canon": F.when(generic, F.expr(f"concat({as_text('f.rest')}, q_canon)")),
+    })
 
 
-def align(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool) -> DataFrame:
+def align(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshold: float = NO_LIMIT) -> DataFrame:
     """Rows of signatures without aliases."""
-    met = spread_join(i_nodes, query_side(q_nodes), POSITION, "sig_id", q_fits)
+    met = _meet(i_nodes, q_nodes, q_fits, threshold)
     return _scored(met.withColumn("f", F.expr(peel("q_refs", "i_refs")))).select(
         *PAIR, "slot", "path", "seq", "s", "c", "generic", "canon"
     )
@@ -115,9 +148,9 @@ _OWN = f"""transform({_READINGS}, r -> IF(r.d < size(q_chain) - 1,
   {_reading('size(q_chain) - 1', 'element_at(q_chain, -1)', '0', 'r.br', 'r.ord')}, r))"""
 
 
-def align_aliased(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool) -> DataFrame:
+def align_aliased(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshold: float = NO_LIMIT) -> DataFrame:
     """Rows of signatures with aliases, one per reading; ``alts`` lists the readings taken."""
-    met = spread_join(i_nodes, query_side(q_nodes), POSITION, "sig_id", q_fits)
+    met = _meet(i_nodes, q_nodes, q_fits, threshold)
     plain = f"transform(array({peel('q_refs', 'i_refs')}), p -> {_reading('0', 'p.rest', 'p.k', 'NULL', 'ord')})"
     rows = met.withColumn("r", F.explode(F.expr(f"IF(i_hops IS NULL, {plain}, {_OWN})")))
     rows = rows.withColumn("f", F.expr(f"cast(named_struct('rest', r.rest, 'k', r.k) AS {REST_TYPE})"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigsearch.operators.joins import fits, settle, split_hot_keys
+
 
 def list_scopes(scopes: DataFrame) -> DataFrame:
     return scopes.select("scope").distinct()
@@ -26,9 +28,9 @@ def scope_problems(queries: DataFrame, scopes: DataFrame, crates: DataFrame) ->
     return misspelt.unionByName(unknown).unionByName(lost)
 
 
-def in_scope(fns: DataFrame, scopes: DataFrame, asked: DataFrame, fits: bool) -> DataFrame:
+def in_scope(fns: DataFrame, scopes: DataFrame, asked: DataFrame) -> DataFrame:
     """Functions once per asked scope that contains their package."""
-    used = scopes.join(asked.select("scope").distinct(), "scope", "left_semi").distinct()
-    # Packages are few beside their functions; a big one is kept from becoming one task by not
-    # moving the functions at all.
-    return fns.join(F.broadcast(used) if fits else used, "crate")
+    used = settle(scopes.join(asked.select("scope").distinct(), "scope", "left_semi").distinct())
+    if fits(used):
+        return fns.join(F.broadcast(used), "crate")
+    return split_hot_keys(fns, used, ["crate"], "item_id")

@@ -6,6 +6,7 @@ afterwards, and only those that can still be among the results.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,24 +17,59 @@ from sigsearch.functions.names import letters, may_be_near, name_distance
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
 from sigsearch.operators.joins import BROADCAST_BYTES, fits, partitions, settle, split_hot_keys, spread_join
-from sigsearch.operators.parse import parse_signatures, query_nodes
+from sigsearch.operators.parse import parse_signatures
 from sigsearch.operators.scope import in_scope
 from sigsearch.operators.topk import TIE_BREAK, first_per
 from sigsearch.plans.catalog import FN_KEY, Catalog
 
 THRESHOLD = 0.4
 LIMIT = 30
+NO_LIMIT = al.NO_LIMIT
 
 ASK = ["text_id", "scope"]
 
 
-def prepare(queries: DataFrame) -> DataFrame:
-    """Distinct texts, parsed: (text_id, text, sig).
+TEXT_ID = "unhex(md5(text))"
 
-    A query log repeats itself; the repeats are folded before anything else is done with the text.
-    """
-    texts = queries.select("text").filter(F.col("text").isNotNull()).distinct()
-    return settle(parse_signatures(texts).withColumn("text_id", F.expr("unhex(md5(text))")))
+
+def prepare(asks: DataFrame) -> DataFrame:
+    """Distinct texts, parsed: (text_id, text, sig)."""
+    texts = asks.select("text").filter(F.col("text").isNotNull()).distinct()
+    return settle(parse_signatures(texts).withColumn("text_id", F.expr(TEXT_ID)))
+
+
+def distinct_asks(queries: DataFrame) -> DataFrame:
+    """(text_id, text, scope) without the repeats of the query log, which is read once for this."""
+    return settle(queries.select("text", "scope").distinct().withColumn("text_id", F.expr(TEXT_ID)))
+
+
+@dataclass
+class Asked:
+    """What is known of the queries before any function is looked at."""
+
+    asks: DataFrame  # (text_id, text, scope)
+    texts: DataFrame  # (text_id, text, sig)
+    small: bool  # everything derived from the texts can be broadcast
+    asks_small: bool
+    plain: bool  # some texts have types but no names
+    mixed: bool  # some texts have types and names
+    bare: bool  # some texts have a name only
+
+
+def look_at(queries: DataFrame) -> Asked:
+    asks = distinct_asks(queries)
+    texts = prepare(asks)
+    about = texts.select(
+        F.octet_length(F.to_json("sig")).cast("long").alias("b"),
+        F.expr("size(sig.nodes) > 0 AND NOT sig.rejected").alias("typed"),
+        F.expr("sig.name IS NULL AND NOT exists(sig.args, a -> a.arg_name IS NOT NULL)").alias("unnamed"),
+    ).agg(
+        F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
+        *[F.coalesce(F.max(F.expr(e)), F.lit(False)).alias(n) for n, e in (
+            ("plain", "typed AND unnamed"), ("mixed", "typed AND NOT unnamed"), ("bare", "NOT typed"))],
+    ).first()
+    small = about["bytes"] <= BROADCAST_BYTES
+    return Asked(asks, texts, small, fits(asks), about["plain"], about["mixed"], about["bare"])
 
 
 def rejected_queries(queries: DataFrame) -> DataFrame:
@@ -56,23 +92,28 @@ def _below(s: str, c: str, threshold: float):
     return F.expr(f"{c} > 0 AND cast(({s}) / ({c}) AS float) < cast({threshold!r} AS float)")
 
 
-def signature_scores(texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool) -> DataFrame:
+def signature_scores(
+    texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool, threshold: float = NO_LIMIT
+) -> DataFrame:
     """(text_id, sig_id, s, c): components of the signature alone, for every text with types.
 
-    ``sigs`` comes partitioned by sig_id, and everything up to the sums keeps to that.
+    ``sigs`` comes partitioned by sig_id, and everything up to the sums keeps to that.  Pairs whose
+    argument counts alone put them at or above ``threshold`` are left out.
     """
-    nodes = query_nodes(texts, "text_id")
-    plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, small))
+    nodes = al.query_side(texts)
+    plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, small, threshold))
     if not alias_depth:
         return plain
-    chosen = component_rows(texts, sigs.filter("has_alias"), alias_depth, small)
+    chosen = component_rows(texts, sigs.filter("has_alias"), alias_depth, small, threshold)
     aliased = chosen.groupBy(*al.PAIR).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     return plain.unionByName(aliased)
 
 
-def component_rows(texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool) -> DataFrame:
+def component_rows(
+    texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool, threshold: float = NO_LIMIT
+) -> DataFrame:
     """Aligned rows of each pair with bindings and readings settled: the score taken apart."""
-    rows = al.align_aliased(al.item_side(sigs), query_nodes(texts, "text_id"), small)
+    rows = al.align_aliased(al.item_side(sigs), al.query_side(texts), small, threshold)
     return sc.choose_readings(sc.bound_rows(rows, ["slot", "ord"]), alias_depth)
 
 
@@ -123,72 +164,63 @@ def _name_parts(pairs: DataFrame) -> DataFrame:
     ).withColumn("c", F.expr("c + IF(q_name IS NULL, 0, 1) + size(_a)"))
 
 
+def typed_pairs(asked: Asked, fns: DataFrame, catalog: Catalog, threshold: float) -> DataFrame:
+    """Pairs of text and signature that are below the threshold, or would be with equal names."""
+    wants = _wants(asked.texts)
+    pairs = signature_scores(
+        asked.texts, signatures_of(fns, catalog.sigs), catalog.alias_depth, asked.small, threshold
+    )
+    return settle(
+        pairs.join(F.broadcast(wants) if asked.small else wants, "text_id").filter(
+            _below("s", "c + size(q_args) + IF(q_name IS NULL, 0, 1)", threshold)
+        )
+    )
+
+
 def candidates(
-    queries: DataFrame, catalog: Catalog, scopes: DataFrame, threshold: float = THRESHOLD,
-    k: int | None = LIMIT, texts: DataFrame | None = None, prefilter: bool = True,
+    asked: Asked, catalog: Catalog, scopes: DataFrame, threshold: float = THRESHOLD,
+    k: int | None = LIMIT, prefilter: bool = True,
 ) -> DataFrame:
-    """(text_id, scope, function key, sig_id, s, c) of all pairs below the threshold.
+    """(text_id, scope, function key, s, c, score) of all pairs below the threshold.
 
     With ``k``, functions that cannot be among the first ``k`` of any query are left out.
     """
-    texts = prepare(queries) if texts is None else texts
-    wants = _wants(texts)
-    asks = settle(queries.withColumn("text_id", F.expr("unhex(md5(text))")).select(*ASK).distinct())
+    out_cols = [*ASK, *FN_KEY, "s", "c"]
     unnamed = "q_name IS NULL AND size(q_args) = 0"
-    # One pass over the parsed texts: their size bounds everything derived from them, and the kinds
-    # of query there are decide which parts of the job are needed.
-    about = texts.select(
-        F.octet_length(F.to_json("sig")).cast("long").alias("b"),
-        F.expr("size(sig.nodes) > 0 AND NOT sig.rejected").alias("typed"),
-        F.expr("sig.name IS NULL AND NOT exists(sig.args, a -> a.arg_name IS NOT NULL)").alias("unnamed"),
-        (F.size("sig.nodes") == 0).alias("bare"),
-    ).agg(
-        F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.max(F.expr("typed AND unnamed")).alias("plain"),
-        F.max(F.expr("typed AND NOT unnamed")).alias("mixed"), F.max("bare").alias("bare"),
-    ).first()
-    small = about["bytes"] <= BROADCAST_BYTES
-    asks_small = fits(asks)
+    fns = in_scope(catalog.fns, scopes, asked.asks).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
 
     def per_scope(pairs: DataFrame) -> DataFrame:
-        return pairs.join(F.broadcast(asks) if asks_small else asks, "text_id")
+        asks = asked.asks.select(*ASK)
+        return pairs.join(F.broadcast(asks) if asked.asks_small else asks, "text_id")
 
-    fns = in_scope(catalog.fns, scopes, asks, fits(scopes)).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
-    out_cols = [*ASK, *FN_KEY, "s", "c"]
-    parts = []
-    if about["plain"] or about["mixed"]:
-        # Signatures first.  What names could still add at best is one equal component each.
-        pairs = signature_scores(texts, signatures_of(fns, catalog.sigs), catalog.alias_depth, small)
-        pairs = pairs.join(F.broadcast(wants) if small else wants, "text_id").filter(
-            _below("s", "c + size(q_args) + IF(q_name IS NULL, 0, 1)", threshold)
-        )
-        asked = per_scope(settle(pairs))
-    if about["plain"]:
-        # All functions of one signature score alike unless names count, so k of them are enough.
-        group = ["sig_id", "scope"]
-        by_type = asked.filter(unnamed)
-        if k is None:
-            alike = split_hot_keys(fns, by_type, group, "item_id")
-        else:
-            alike = first_per(fns.select(*FN_KEY, *group), group, TIE_BREAK, k).join(by_type, group)
-        parts.append(alike.select(*out_cols))
-    if about["mixed"]:
-        mixed = split_hot_keys(fns, asked.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
-        parts.append(_name_parts(mixed).filter(_below("s", "c", threshold)).select(*out_cols))
-    if about["bare"]:
-        bare = wants.filter("NOT typed AND q_name IS NOT NULL")
-        near = per_scope(near_names(bare, catalog.names, threshold, small, prefilter))
-        near = near.withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long"))
-        named = fns.select(*FN_KEY, "name", "scope")
+    def alike(rows: DataFrame, group: list[str], pairs: DataFrame) -> DataFrame:
+        """All functions of one group score alike, so ``k`` of them are enough for any query."""
         if k is None:
-            found = split_hot_keys(named, near, ["name", "scope"], "item_id")
-        else:
-            found = first_per(named, ["name", "scope"], TIE_BREAK, k).join(near, ["name", "scope"])
-        parts.append(found.select(*out_cols))
+            return split_hot_keys(rows, pairs, group, "item_id")
+        found = settle(pairs.select(group[0]).distinct())
+        if fits(found):
+            rows = rows.join(F.broadcast(found), group[0], "left_semi")
+        return split_hot_keys(pairs, first_per(rows, group, TIE_BREAK, k), group, "text_id")
+
+    parts = []
+    if asked.plain or asked.mixed:
+        below = per_scope(typed_pairs(asked, fns, catalog, threshold if prefilter else NO_LIMIT))
+        if asked.plain:
+            group = ["sig_id", "scope"]
+            parts.append(alike(fns.select(*FN_KEY, *group), group, below.filter(unnamed)))
+        if asked.mixed:
+            mixed = split_hot_keys(fns, below.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
+            parts.append(_name_parts(mixed))
+    if asked.bare:
+        bare = _wants(asked.texts).filter("NOT typed AND q_name IS NOT NULL")
+        near = settle(near_names(bare, catalog.names, threshold, asked.small, prefilter))
+        near = per_scope(near.withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long")))
+        parts.append(alike(fns.select(*FN_KEY, "name", "scope"), ["name", "scope"], near))
     if not parts:
-        empty = fns.limit(0).select(*FN_KEY, "scope").crossJoin(texts.limit(0).select("text_id"))
-        parts.append(empty.withColumn("s", F.lit(0.0)).withColumn("c", F.lit(0).cast("long")).select(*out_cols))
-    result = reduce(DataFrame.unionByName, parts)
-    return result.withColumn("score", sc.score())
+        rows = asked.asks.limit(0).select(*ASK)
+        parts = [rows.selectExpr("*", *[f"'' AS {c}" for c in FN_KEY], "0D AS s", "0L AS c")]
+    result = reduce(DataFrame.unionByName, [p.select(*out_cols) for p in parts])
+    return result.filter(_below("s", "c", threshold)).withColumn("score", sc.score())
 
 
 def search(
@@ -199,18 +231,21 @@ def search(
 
     ``queries`` has query_id, text and scope; ``answers`` joins the hits back to it.
     """
-    texts = prepare(queries)
-    found = candidates(queries, catalog, scopes, threshold, k, texts, prefilter)
+    asked = look_at(queries)
+    found = candidates(asked, catalog, scopes, threshold, k, prefilter)
     best = first_per(found, ASK, ["score", *TIE_BREAK], k, rank="rank")
-    return with_details(best, catalog, texts)
+    return with_details(best, catalog, asked)
 
 
-def with_details(hits: DataFrame, catalog: Catalog, texts: DataFrame) -> DataFrame:
+def with_details(hits: DataFrame, catalog: Catalog, asked: Asked) -> DataFrame:
     """Look up names, docs, paths and links; done last, for hits only."""
+    hits = settle(hits)
     known = catalog.fns.select(*FN_KEY, "kind", "name", "docs", "base_path", "page", "sig_id")
+    texts = asked.texts.select("text_id", "text")
+    # Hits are few beside the functions: where they can be sent around, the functions stay in place.
     return (
-        hits.join(known, FN_KEY)
-        .join(texts.select("text_id", "text"), "text_id")
+        known.join(F.broadcast(hits) if fits(hits) else hits, FN_KEY)
+        .join(F.broadcast(texts) if asked.small else texts, "text_id")
         .select(
             "text", "scope", "rank", "score", "name", links.hit_path().alias("path"),
             links.hit_link().alias("link"), "docs", *FN_KEY, "kind", "text_id", "sig_id", "s", "c",

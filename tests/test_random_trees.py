@@ -179,6 +179,13 @@ def test_every_pair(spark, tmp_path):
         wrong = {k: (v, expected[k]) for k, v in got.items()
                  if v[1] != len(expected[k]) or v[0] != pytest.approx(sum(expected[k]))}
         assert not wrong, f"{len(wrong)} of {len(got)}: {list(wrong.items())[:3]}"
+    for threshold in (0.2, 0.4, 0.7):
+        pairs = se.signature_scores(texts, catalog.sigs.repartition(8, "sig_id"), catalog.alias_depth, True, threshold)
+        kept = {
+            (x.text, x.item_id)
+            for x in catalog.fns.join(pairs, "sig_id").join(texts, "text_id").select("text", "item_id").collect()
+        }
+        assert {k for k, v in expected.items() if sum(v) / len(v) < threshold} <= kept < expected.keys()
 
 
 def test_grouping_equals_window(spark, tmp_path):
@@ -187,7 +194,6 @@ def test_grouping_equals_window(spark, tmp_path):
 
     from sigsearch.operators import align as al
     from sigsearch.operators import score as sc
-    from sigsearch.operators.parse import query_nodes
     from sigsearch.plans.catalog import build_catalog
     from sigsearch.sources.crate_files import read_crate_files
 
@@ -196,7 +202,7 @@ def test_grouping_equals_window(spark, tmp_path):
     tables = read_crate_files(spark, write_index(tmp_path, {"pkg": document(docs)}))
     catalog = build_catalog(tables["items"], tables["paths"], str(tmp_path / "catalog"))
     log = spark.createDataFrame([("(" + ", ".join(spell(random_query(r, 2)) for _ in range(3)) + ")",) for _ in range(30)], "text string")
-    rows = al.align(al.item_side(catalog.sigs), query_nodes(se.prepare(log), "text_id"), True)
+    rows = al.align(al.item_side(catalog.sigs), al.query_side(se.prepare(log)), True)
     windowed = sc.bound_rows(rows, ["seq"]).groupBy(*al.PAIR).agg(F.sum("s").alias("s2"), F.sum("c").alias("c2"))
     both = sc.pair_sums(rows).join(windowed, al.PAIR, "full")
     assert both.filter("s IS NULL OR s2 IS NULL OR abs(s - s2) > 1e-9 OR c <> c2").count() == 0

@@ -5,7 +5,7 @@ from conftest import document, fn, gen, path, prim
 from pyspark.sql import functions as F
 
 from sigsearch.functions.names import letters
-from sigsearch.operators import joins
+from sigsearch.operators import joins, scope
 from sigsearch.operators.topk import first_per
 from sigsearch.plans import search as se
 
@@ -52,6 +52,7 @@ def test_splitting_and_slicing_change_nothing(many, asks, monkeypatch):
     monkeypatch.setattr(se, "split_hot_keys", lambda l, r, on, by: split(l, r, on, by, rows_per_key=3))
     monkeypatch.setattr(se, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(se, "fits", lambda df, limit=0: False)
+    monkeypatch.setattr(scope, "fits", lambda df, limit=0: False)
     assert rows(se.search(queries, catalog, scopes, k=None)) == expected
     assert rows(se.search(queries, catalog, scopes)) == limited
 
