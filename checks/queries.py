@@ -168,7 +168,8 @@ def catalog_by_kind(spark, sf_dir):
 
 def flattened_nodes(spark, sf_dir):
     """Type trees of all functions as rows, ``Self`` replaced and aliases in both readings."""
-    fns = prepared(spark, sf_dir)[1].fns
+    catalog = prepared(spark, sf_dir)[1]
+    fns = catalog.fns.select("item_id", "sig_id").join(catalog.sigs, "sig_id")
     return fns.select("item_id", F.inline("nodes")).select(
         "item_id", "slot", "path", "spine", F.array_join("refs", " ").alias("refs"), "kind", "name", "n_children",
         F.coalesce(F.expr("filter(hops, h -> h.alt IS NOT NULL)[0].op"), F.lit("-")).alias("reading"),

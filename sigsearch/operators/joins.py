@@ -34,9 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def partitions(spark: SparkSession) -> int:
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = 200_000) -> int:
     """Number of tasks for work whose cost lies in the rows, not in their bytes."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
 
 
 def text_bytes(df: DataFrame) -> int:

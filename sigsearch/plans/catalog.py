@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from sigsearch.functions import links
 from sigsearch.functions.names import letters
 from sigsearch.operators.flatten import NODE_TYPE, flatten_signature
-from sigsearch.operators.joins import fits, partitions, settle, shared_folder, split_hot_keys
+from sigsearch.operators.joins import fits, settle, shared_folder, split_hot_keys, tasks_for
 
 FN_KEY = ["crate", "item_id", "impl_id"]
 ID_IN_TEXT = r'"id":"((?:[^"\\]|\\.)*)"'
+ID_SQL = ID_IN_TEXT.replace("\\", "\\\\")
 MAX_CHAIN = 100  # an alias chain longer than this is reported as an error, not cut
 
 
@@ -25,7 +26,7 @@ SIG_SCHEMA = f"sig_id binary, nodes array<{NODE_TYPE}>, alias_depth int, has_ali
 class Catalog:
     """Written tables.
 
-    ``fns`` (crate, item_id, impl_id, kind, name, docs, arg_names, sig_id, base_path, page, nodes),
+    ``fns`` (crate, item_id, impl_id, kind, name, docs, arg_names, sig_id, base_path, page),
     ``sigs`` (sig_id, nodes, has_alias, alias_depth), ``names`` (name, letters),
     ``quarantine`` (crate, item_id, impl_id, reason, missing_id).
     """
@@ -128,60 +129,93 @@ def alias_reach(items: DataFrame) -> DataFrame | None:
     return reach.join(defs.select("crate", F.col("id").alias("dep_id"), "text"), ["crate", "dep_id"])
 
 
+def with_declaration(fns: DataFrame) -> DataFrame:
+    """Add argument names, argument types, result type and, where it is named, the receiver's type."""
+    decl = F.from_json("inner", "decl struct<inputs: array<array<string>>, output: string>")["decl"]
+    return (
+        fns.withColumn("_d", decl)
+        .withColumns({
+            "_inputs": F.coalesce(F.col("_d.inputs"), F.expr("cast(array() AS array<array<string>>)")),
+            "_output": F.col("_d.output"),
+        })
+        .withColumns({
+            "arg_names": F.expr("transform(_inputs, p -> p[0])"),
+            "_types": F.expr("transform(_inputs, p -> p[1])"),
+            "_names_self": F.expr("exists(_inputs, p -> contains(p[1], '\"Self\"')) OR coalesce(contains(_output, '\"Self\"'), false)"),
+        })
+        .withColumn("_self", F.when(F.col("_names_self"), F.col("for_text")))
+        .drop("inner", "_d", "_inputs", "_names_self", "for_text")
+    )
+
+
 def with_aliases(fns: DataFrame, reach: DataFrame | None) -> DataFrame:
-    """Add ``_aliases``: the definitions a signature can lead to, by id."""
+    """Add ``_aliases``: the definitions a signature can lead to, as sorted (id, text) pairs."""
+    none = F.expr("cast(array() AS array<struct<dep_id:string,text:string>>)")
     if reach is None:
-        return fns.withColumn("_aliases", F.expr("map()").cast("map<string,string>"))
-    named = fns.select(
-        *FN_KEY, F.explode(_mentions("_texts")).alias("id")
-    )
+        return fns.withColumn("_aliases", none)
+    text = F.concat_ws(" ", F.col("_types"), F.col("_output"), F.col("_self"))
+    named = fns.select(*FN_KEY, text.alias("_text")).select(*FN_KEY, F.explode(_mentions("_text")).alias("id"))
     key = ["crate", "id"]
     met = named.join(F.broadcast(reach), key) if fits(reach) else split_hot_keys(named, reach, key, "item_id")
     used = met.groupBy(*FN_KEY).agg(
-        F.map_from_entries(F.collect_set(F.struct("dep_id", "text"))).alias("_aliases")
-    )
-    return fns.join(used, FN_KEY, "left").withColumn(
-        "_aliases", F.coalesce("_aliases", F.expr("map()").cast("map<string,string>"))
+        F.sort_array(F.collect_set(F.struct("dep_id", "text"))).alias("_aliases")
     )
+    return fns.join(used, FN_KEY, "left").withColumn("_aliases", F.coalesce("_aliases", none))
 
 
-def _kinds(text: str) -> str:
-    return f"coalesce((length({text}) - length(replace({text}, '\"kind\"', ''))) div 6, 0)"
+RAW = ["_types", "_output", "_self", "_aliases"]
 
 
-def with_declaration(fns: DataFrame) -> DataFrame:
-    """Add the declaration as text, and all text of a function in which ids can occur."""
-    return fns.withColumn("_decl", F.from_json("inner", "decl string")["decl"]).drop("inner").withColumn(
-        "_texts", F.concat_ws(" ", "_decl", "for_text")
-    )
+def with_raw_id(fns: DataFrame) -> DataFrame:
+    """Add ``raw_id``: equal for functions whose types are spelt alike.
+
+    Ids of types only matter where one of them is an alias; without aliases they are blanked, so that
+    packages numbering their items differently still share signatures.
+    """
+    def blank(text: str) -> str:
+        return f"regexp_replace({text}, '{ID_SQL}', '\"id\":\"\"')"
+
+    plain = "size(_aliases) = 0"
+    return fns.withColumns({
+        "_types": F.expr(f"IF({plain}, transform(_types, t -> {blank('t')}), _types)"),
+        "_output": F.expr(f"IF({plain}, {blank('_output')}, _output)"),
+        "_self": F.expr(f"IF({plain}, {blank('_self')}, _self)"),
+    }).withColumn("raw_id", F.expr(f"unhex(md5(to_json(struct({', '.join(RAW)}))))"))
+
+
+def _kinds(text: str) -> str:
+    return f"coalesce((length({text}) - length(replace({text}, '\"kind\"', ''))) div 6, 0)"
 
 
-def with_nodes(fns: DataFrame) -> DataFrame:
-    """Add ``nodes`` and ``arg_names``; no rows are moved."""
+def flatten_distinct(fns: DataFrame) -> DataFrame:
+    """(raw_id, nodes, sig_id): every distinct spelling taken apart once."""
+    raw = settle(fns.select("raw_id", F.struct(*RAW).alias("r")).groupBy("raw_id").agg(F.first("r").alias("r")))
+    tasks = tasks_for(raw.sparkSession, raw.count(), 20_000)
+    texts = "concat(r._types, array(coalesce(r._output, ''), coalesce(r._self, '')), transform(r._aliases, a -> a.text))"
     return (
-        fns.withColumn("_d", F.expr("try_parse_json(_decl)"))
-        .withColumn("_args", F.expr(
-            "coalesce(try_variant_get(_d, '$.inputs', 'array<variant>'), cast(array() AS array<variant>))"))
-        .withColumn("arg_names", F.expr("transform(_args, p -> try_variant_get(p, '$[0]', 'string'))"))
-        .withColumn("_inputs", F.expr("transform(_args, p -> try_variant_get(p, '$[1]', 'variant'))"))
-        .withColumn("_output", F.expr("try_variant_get(_d, '$.output', 'variant')"))
-        .withColumn("_output", F.expr("IF(is_variant_null(_output), NULL, _output)"))
-        .withColumn("_self", F.expr("IF(contains(_decl, '\"Self\"'), try_parse_json(for_text), NULL)"))
-        .withColumn("_rounds", F.expr(
-            f"1 + {_kinds('_texts')} + aggregate(map_values(_aliases), 0L, (n, t) -> n + {_kinds('t')})"))
-        .withColumn("nodes", flatten_signature())
-        .drop("_decl", "_texts", "_aliases", "_d", "_args", "_inputs", "_output", "_self", "_rounds")
+        raw.repartition(tasks)
+        .withColumns({
+            "_inputs": F.expr("transform(r._types, t -> try_parse_json(t))"),
+            "_output": F.expr("try_parse_json(r._output)"),
+            "_self": F.expr("try_parse_json(r._self)"),
+            "_aliases": F.map_from_entries("r._aliases"),
+            "_rounds": F.expr(f"1 + aggregate({texts}, 0L, (n, t) -> n + {_kinds('t')})"),
+        })
+        .select("raw_id", flatten_signature().alias("nodes"))
+        .withColumn("sig_id", F.expr("unhex(md5(to_json(nodes)))"))
     )
 
 
 # Why a function cannot be listed as a hit; NULL for all others.
 _BROKEN = """CASE
   WHEN name IS NULL THEN 'unnamed'
-  WHEN nodes IS NULL THEN 'alias loop'
-  WHEN exists(nodes, n -> n.kind = 'generic' AND n.name = 'Self') THEN 'Self outside of an impl'
+  WHEN flaw IS NOT NULL THEN flaw
   WHEN base_path IS NULL AND path_id IS NOT NULL THEN 'no path'
   WHEN base_path IS NULL THEN 'receiver without a page'
   WHEN kind = 'method' AND page IS NULL THEN 'receiver without a page' END"""
+_FLAW = """CASE
+  WHEN nodes IS NULL THEN 'alias loop'
+  WHEN exists(nodes, n -> n.kind = 'generic' AND n.name = 'Self') THEN 'Self outside of an impl' END"""
 
 
 def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = None) -> Catalog:
@@ -192,38 +226,45 @@ def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = No
     """
     spark = items.sparkSession
     directory = directory or f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
-    fns = with_aliases(with_declaration(callables(items, paths)), alias_reach(items))
-    # Ranges of (crate, item) keep packages together for file skipping and cut a huge package up.
-    # The rows are moved before their types are taken apart, so that work is spread evenly.
-    spread = fns.repartitionByRange(partitions(spark), "crate", "item_id").sortWithinPartitions("crate", "item_id")
-    found = with_nodes(spread).withColumn("reason", F.expr(_BROKEN)).withColumn(
-        "sig_id", F.expr("unhex(md5(to_json(nodes)))")
+    with_raw_id(with_aliases(with_declaration(callables(items, paths)), alias_reach(items))).write.parquet(
+        f"{directory}/declared"
     )
-    found.select(
-        *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "nodes", "reason", "path_id"
-    ).write.parquet(f"{directory}/functions")
-    lost = members(impls(items), items).filter(F.col("kind").isNull())
-    return _finish(spark, directory, lost)
+    fns = spark.read.parquet(f"{directory}/declared")
 
+    flatten_distinct(fns).write.parquet(f"{directory}/spellings")
+    spellings = spark.read.parquet(f"{directory}/spellings")
+    aliased = F.expr("exists(nodes, n -> n.hops IS NOT NULL)")
+    depth = F.expr("array_max(transform(nodes, n -> size(filter(coalesce(n.hops, array()), h -> h.alt IS NOT NULL))))")
+    (
+        spellings.filter(F.col("nodes").isNotNull())
+        .groupBy("sig_id").agg(F.first("nodes").alias("nodes"))
+        .withColumn("has_alias", aliased).withColumn("alias_depth", depth)
+        .write.partitionBy("has_alias").parquet(f"{directory}/sigs")
+    )
+
+    # A third of all functions may share one spelling; its row is small, the functions stay in place.
+    known = spellings.select("raw_id", "sig_id", F.expr(_FLAW).alias("flaw"))
+    own = fns.drop(*RAW)
+    named = own.join(F.broadcast(known), "raw_id") if fits(known) else split_hot_keys(own, known, ["raw_id"], "item_id")
+    # Ranges of (crate, item) keep packages together for file skipping and cut a huge package up.
+    named.withColumn("reason", F.expr(_BROKEN)).select(
+        *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "reason", "path_id"
+    ).repartitionByRange(tasks_for(spark, fns.count()), "crate", "item_id").sortWithinPartitions(
+        "crate", "item_id"
+    ).write.parquet(f"{directory}/functions")
 
-def _finish(spark: SparkSession, directory: str, lost: DataFrame) -> Catalog:
     functions = spark.read.parquet(f"{directory}/functions")
-    fns = functions.filter(F.col("reason").isNull()).drop("reason", "path_id")
     broken = functions.filter(F.col("reason").isNotNull()).select(
         *FN_KEY, "reason", F.when(F.col("reason") == "no path", F.col("path_id")).alias("missing_id")
     )
+    lost = members(impls(items), items).filter(F.col("kind").isNull())
     broken.unionByName(
         lost.select("crate", F.lit(None).cast("string").alias("item_id"), "impl_id",
                     F.lit("no member").alias("reason"), F.col("id").alias("missing_id"))
     ).write.parquet(f"{directory}/quarantine")
-    aliased = F.expr("exists(nodes, n -> n.hops IS NOT NULL)")
-    depth = F.expr("array_max(transform(nodes, n -> size(filter(coalesce(n.hops, array()), h -> h.alt IS NOT NULL))))")
-    (
-        fns.groupBy("sig_id").agg(F.first("nodes").alias("nodes"))
-        .withColumn("has_alias", aliased).withColumn("alias_depth", depth)
-        .write.partitionBy("has_alias").parquet(f"{directory}/sigs")
-    )
-    fns.select("name").distinct().withColumn("letters", letters("name")).write.parquet(f"{directory}/names")
+    functions.filter(F.col("reason").isNull()).select("name").distinct().withColumn(
+        "letters", letters("name")
+    ).write.parquet(f"{directory}/names")
     return read_catalog(spark, directory)
 
 

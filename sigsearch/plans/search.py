@@ -16,7 +16,7 @@ from sigsearch.functions import links
 from sigsearch.functions.names import letters, may_be_near, name_distance
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
-from sigsearch.operators.joins import BROADCAST_BYTES, fits, partitions, settle, split_hot_keys, spread_join
+from sigsearch.operators.joins import BROADCAST_BYTES, fits, settle, split_hot_keys, spread_join, tasks_for
 from sigsearch.operators.parse import parse_signatures
 from sigsearch.operators.scope import in_scope
 from sigsearch.operators.topk import TIE_BREAK, first_per
@@ -25,6 +25,7 @@ from sigsearch.plans.catalog import FN_KEY, Catalog
 THRESHOLD = 0.4
 LIMIT = 30
 NO_LIMIT = al.NO_LIMIT
+SIG_ID_BYTES = 32  # 16 and what a row adds
 
 ASK = ["text_id", "scope"]
 
@@ -51,6 +52,7 @@ class Asked:
     texts: DataFrame  # (text_id, text, sig)
     small: bool  # everything derived from the texts can be broadcast
     asks_small: bool
+    n_texts: int
     plain: bool  # some texts have types but no names
     mixed: bool  # some texts have types and names
     bare: bool  # some texts have a name only
@@ -64,12 +66,12 @@ def look_at(queries: DataFrame) -> Asked:
         F.expr("size(sig.nodes) > 0 AND NOT sig.rejected").alias("typed"),
         F.expr("sig.name IS NULL AND NOT exists(sig.args, a -> a.arg_name IS NOT NULL)").alias("unnamed"),
     ).agg(
-        F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.count("*").alias("n"),
         *[F.coalesce(F.max(F.expr(e)), F.lit(False)).alias(n) for n, e in (
             ("plain", "typed AND unnamed"), ("mixed", "typed AND NOT unnamed"), ("bare", "NOT typed"))],
     ).first()
     small = about["bytes"] <= BROADCAST_BYTES
-    return Asked(asks, texts, small, fits(asks), about["plain"], about["mixed"], about["bare"])
+    return Asked(asks, texts, small, fits(asks), about["n"], about["plain"], about["mixed"], about["bare"])
 
 
 def rejected_queries(queries: DataFrame) -> DataFrame:
@@ -117,13 +119,18 @@ def component_rows(
     return sc.choose_readings(sc.bound_rows(rows, ["slot", "ord"]), alias_depth)
 
 
-def signatures_of(fns: DataFrame, sigs: DataFrame) -> DataFrame:
+PAIRS_PER_TASK = 20_000_000
+
+
+def signatures_of(fns: DataFrame, sigs: DataFrame, n_texts: int) -> DataFrame:
     """The signatures that these functions use, partitioned by sig_id."""
     used = settle(fns.select("sig_id").distinct())
-    n = partitions(sigs.sparkSession)
-    if fits(used):
-        return sigs.join(F.broadcast(used), "sig_id", "left_semi").repartition(n, "sig_id")
-    return sigs.repartition(n, "sig_id").join(used, "sig_id", "left_semi")
+    n_sigs = used.count()
+    spark = sigs.sparkSession
+    tasks = max(tasks_for(spark, n_sigs), tasks_for(spark, n_sigs * n_texts, PAIRS_PER_TASK))
+    if n_sigs * SIG_ID_BYTES <= BROADCAST_BYTES:
+        return sigs.join(F.broadcast(used), "sig_id", "left_semi").repartition(tasks, "sig_id")
+    return sigs.repartition(tasks, "sig_id").join(used, "sig_id", "left_semi")
 
 
 def near_names(texts: DataFrame, names: DataFrame, threshold: float, small: bool, prefilter: bool = True) -> DataFrame:
@@ -168,7 +175,7 @@ def typed_pairs(asked: Asked, fns: DataFrame, catalog: Catalog, threshold: float
     """Pairs of text and signature that are below the threshold, or would be with equal names."""
     wants = _wants(asked.texts)
     pairs = signature_scores(
-        asked.texts, signatures_of(fns, catalog.sigs), catalog.alias_depth, asked.small, threshold
+        asked.texts, signatures_of(fns, catalog.sigs, asked.n_texts), catalog.alias_depth, asked.small, threshold
     )
     return settle(
         pairs.join(F.broadcast(wants) if asked.small else wants, "text_id").filter(
