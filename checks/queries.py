@@ -12,7 +12,7 @@ from sigsearch.functions import links
 from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
-from sigsearch.operators.joins import settle
+from sigsearch.operators.joins import settle, tasks_for
 from sigsearch.operators.parse import ARITY_SLOT, parse_signatures, query_nodes
 from sigsearch.operators.scope import list_scopes, scope_problems
 from sigsearch.plans import search as se
@@ -197,7 +197,9 @@ def _signature_texts(spark, sf_dir) -> DataFrame:
         CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'fn ' ELSE concat('fn ', name) END, '(',
         array_join(transform(filter(sequence(0, 2), k -> k < n_args), k -> concat(
            IF(is_method, concat('a', k, ': '), ''), get({words}, cast((arg0 + 5 * k) % {n} AS int)))), ', '),
-        ')', coalesce(concat(' -> ', get({words}, cast(ret AS int))), '')) AS text""")
+        ')', coalesce(concat(' -> ', get({words}, cast(ret AS int))), '')) AS text""").repartition(
+        tasks_for(spark, fns.count(), se.TEXTS_PER_TASK)
+    )
 
 
 def signature_nodes(spark, sf_dir):

@@ -152,7 +152,7 @@ def align_aliased(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshol
     """Rows of signatures with aliases, one per reading; ``alts`` lists the readings taken."""
     met = _meet(i_nodes, q_nodes, q_fits, threshold)
     plain = f"transform(array({peel('q_refs', 'i_refs')}), p -> {_reading('0', 'p.rest', 'p.k', 'NULL', 'ord')})"
-    rows = met.withColumn("r", F.explode(F.expr(f"IF(i_hops IS NULL, {plain}, {_OWN})")))
+    rows = met.withColumn("r", F.explode_outer(F.expr(f"IF(i_hops IS NULL, {plain}, {_OWN})")))
     rows = rows.withColumn("f", F.expr(f"cast(named_struct('rest', r.rest, 'k', r.k) AS {REST_TYPE})"))
     return _scored(rows).select(
         *PAIR, "slot", "path", F.col("r.ord").alias("ord"), "s", "c", "generic", "canon",

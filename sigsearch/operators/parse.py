@@ -28,6 +28,8 @@ TOKEN = (
 )
 # ------------------------------------------------------------------------------------------------
 
+ARGUMENTS = r"(?s)^.*?\)(?=\s*->)"
+
 NODE_TYPE = (
     "struct<slot:int,path:string,spine:string,chain:array<array<string>>,"
     "kind:string,name:string,t0:int,t1:int,p1:int>"
@@ -49,15 +51,18 @@ def _tokens(text: str) -> str:
       'v', v,
       'nx', get(ts, i + 1),
       'c', CASE
+        WHEN v IN ('(', ')', '[', ']', '<', '>', ',', ':', '!', '->', '..') THEN v
+        WHEN v IN ('&', '&mut', '*const', '*mut') THEN 'ref'
         WHEN v IN ({prims}) THEN 'prim'
         WHEN v = '_' THEN '_'
-        WHEN v RLIKE '^_' THEN '_x'
-        WHEN v RLIKE '^[A-Z]+$' THEN 'generic'
-        WHEN v RLIKE '^[A-Z]+[0-9_]' THEN 'generic+'
-        WHEN v RLIKE '^[A-Za-z]' THEN 'path'
-        WHEN v IN ('&', '&mut', '*const', '*mut') THEN 'ref'
-        WHEN v RLIKE '^->.' THEN '->()'
-        WHEN v RLIKE '^[ \\\\t\\\\r\\\\n\\\\x0b\\\\f]' THEN 'blank'
+        WHEN left(v, 1) BETWEEN 'A' AND 'Z' THEN CASE
+            WHEN v RLIKE '^[A-Z]+$' THEN 'generic'
+            WHEN v RLIKE '^[A-Z]+[0-9_]' THEN 'generic+'
+            ELSE 'path' END
+        WHEN left(v, 1) BETWEEN 'a' AND 'z' THEN 'path'
+        WHEN left(v, 1) = '_' THEN '_x'
+        WHEN left(v, 2) = '->' THEN '->()'
+        WHEN v RLIKE '^[ \\t\\r\\n\\x0b\\f]' THEN 'blank'
         ELSE v END)))[0]
     """
 
@@ -207,6 +212,37 @@ _PSEUDO = """named_struct('slot', {slot}, 'path', '', 'spine', '',
       'kind', '{kind}', 'name', cast(NULL AS string), 'n_children', {n}, 'canon', '')"""
 
 
+# The arguments must be complete; an output type that breaks off inside the brackets of its outermost
+# path still counts, without those brackets.
+_ARITY = _PSEUDO.format(slot=ARITY_SLOT, kind="arity", n="s.n_args")
+_UNIT = _PSEUDO.format(slot=RET_SLOT, kind="unit", n="cast(NULL AS int)")
+_RESULT = f"""named_struct(
+  'name', _name,
+  'has_sig', s.ok,
+  'any_args', f.any_args,
+  'n_args', IF(s.ok AND NOT f.any_args, s.n_args, NULL),
+  'args', IF(s.ok, f.args, slice(f.args, 1, 0)),
+  'ret', IF(s.ok, IF(s.ret = 'cut', 'type', s.ret), NULL),
+  'nodes', IF(s.ok, concat(
+     IF(f.any_args, slice(array({_ARITY}), 1, 0), array({_ARITY})),
+     CASE
+       WHEN s.ret = 'type' THEN s.nodes
+       WHEN s.ret = 'unit' THEN array_append(s.nodes, {_UNIT})
+       WHEN s.ret = 'cut' THEN transform(
+         filter(s.nodes, n -> n.slot <> {RET_SLOT} OR n.path = ''),
+         n -> IF(n.slot = {RET_SLOT}, named_struct(
+           'slot', n.slot, 'path', n.path, 'spine', n.spine, 'refs', n.refs, 'chain', n.chain,
+           'kind', n.kind, 'name', n.name, 'n_children', cast(NULL AS int), 'canon', n.name), n))
+       ELSE filter(s.nodes, n -> n.slot <> {RET_SLOT}) END),
+     slice(array({_ARITY}), 1, 0)),
+  'unparsed', substring(_decl, 1 + CASE
+     WHEN NOT s.ok THEN 0
+     WHEN s.ret = 'cut' THEN s.cut_at
+     WHEN s.ret IS NULL AND left(f.st, 1) = 'O' THEN length(regexp_extract(_decl, {_sql_text(ARGUMENTS)}, 0))
+     ELSE f.pos END),
+  'rejected', _name IS NULL AND NOT s.ok)"""
+
+
 def parse_signatures(df: DataFrame, text: str | Column = "text", into: str = "sig") -> DataFrame:
     """Add a struct column with the parsed query.
 
@@ -215,14 +251,12 @@ def parse_signatures(df: DataFrame, text: str | Column = "text", into: str = "si
     gives neither a name nor a declaration has ``rejected`` set.
     """
     raw = F.col(text) if isinstance(text, str) else text
-    out = df.withColumn("_text", raw)
-    out = out.withColumn("_name", F.nullif(F.regexp_extract("_text", HEAD, 1), F.lit("")))
-    out = out.withColumn("_decl", F.regexp_replace("_text", HEAD, ""))
-    out = out.withColumn("_f", F.expr(_fold(_tokens("_decl"))))
-    # The arguments must be complete; an output type that breaks off inside the brackets of its
-    # outermost path still counts, without those brackets.
-    state = F.expr(f"""
-      transform(array(_f), f -> named_struct(
+    out = df.withColumn("_text", raw).withColumns({
+        "_name": F.nullif(F.regexp_extract("_text", HEAD, 1), F.lit("")),
+        "_decl": F.regexp_replace("_text", HEAD, ""),
+    })
+    # One expression with bound variables, so that no plan rewrite can make the fold run twice.
+    state = f"""named_struct(
         'ok', f.m <> 'start' AND (f.m IN ('tail', 'end') OR left(f.st, 1) = 'O'),
         'ret', CASE
             WHEN f.unit OR f.m = 'tail' THEN 'unit'
@@ -232,45 +266,13 @@ def parse_signatures(df: DataFrame, text: str | Column = "text", into: str = "si
             ELSE NULL END,
         'nodes', {_FINISH_NODE},
         'n_args', get(filter(f.closes, c -> c.slot = {ARITY_SLOT}), 0).n,
-        'cut_at', get(filter(f.nodes, n -> n.slot = {RET_SLOT} AND n.path = ''), 0).p1))[0]""")
-    out = out.withColumn("_s", state)
-    arity = _PSEUDO.format(slot=ARITY_SLOT, kind="arity", n="_s.n_args")
-    unit = _PSEUDO.format(slot=RET_SLOT, kind="unit", n="cast(NULL AS int)")
-    nodes = F.expr(f"""
-      IF(_s.ok, concat(
-        IF(_f.any_args, slice(array({arity}), 1, 0), array({arity})),
-        CASE
-          WHEN _s.ret = 'type' THEN _s.nodes
-          WHEN _s.ret = 'unit' THEN array_append(_s.nodes, {unit})
-          WHEN _s.ret = 'cut' THEN transform(
-            filter(_s.nodes, n -> n.slot <> {RET_SLOT} OR n.path = ''),
-            n -> IF(n.slot = {RET_SLOT}, named_struct(
-              'slot', n.slot, 'path', n.path, 'spine', n.spine, 'refs', n.refs, 'chain', n.chain,
-              'kind', n.kind, 'name', n.name, 'n_children', cast(NULL AS int), 'canon', n.name), n))
-          ELSE filter(_s.nodes, n -> n.slot <> {RET_SLOT}) END),
-        slice(array({arity}), 1, 0))""")
-    used = F.when(~F.col("_s.ok"), F.lit(0)).when(
-        F.col("_s.ret") == "cut", F.col("_s.cut_at")
-    ).when(
-        F.col("_s.ret").isNull() & F.expr("left(_f.st, 1) = 'O'"),
-        F.length(F.regexp_extract("_decl", r"(?s)^.*?\)(?=\s*->)", 0)),
-    ).otherwise(F.col("_f.pos"))
-    sig = F.struct(
-        F.col("_name").alias("name"),
-        F.coalesce(F.col("_s.ok"), F.lit(False)).alias("has_sig"),
-        F.col("_f.any_args").alias("any_args"),
-        F.when(F.col("_s.ok") & ~F.col("_f.any_args"), F.col("_s.n_args")).alias("n_args"),
-        F.when(F.col("_s.ok"), F.col("_f.args")).otherwise(F.slice("_f.args", 1, 0)).alias("args"),
-        F.when(F.col("_s.ok"), F.when(F.col("_s.ret") == "cut", "type").otherwise(F.col("_s.ret"))).alias("ret"),
-        nodes.alias("nodes"),
-        F.expr("substring(_decl, {} + 1)".format("CAST(_used AS INT)")).alias("unparsed"),
-        (F.col("_name").isNull() & ~F.coalesce(F.col("_s.ok"), F.lit(False))).alias("rejected"),
-    )
-    return out.withColumn("_used", used).withColumn(into, sig).drop(
-        "_text", "_name", "_decl", "_f", "_s", "_used"
-    )
+        'cut_at', get(filter(f.nodes, n -> n.slot = {RET_SLOT} AND n.path = ''), 0).p1)"""
+    return out.withColumn(into, F.expr(f"""
+        transform(array({_fold(_tokens('_decl'))}), f ->
+          transform(array({state}), s -> {_RESULT})[0])[0]""")).drop("_text", "_name", "_decl")
 
 
 def query_nodes(parsed: DataFrame, key: str, sig: str = "sig") -> DataFrame:
     """One row per type-tree node of each parsed text."""
-    return parsed.select(key, F.inline(f"{sig}.nodes"))
+    # The outer form keeps Spark from adding a filter that would work the parse out once more.
+    return parsed.select(key, F.inline_outer(f"{sig}.nodes")).filter("slot IS NOT NULL")

@@ -73,7 +73,7 @@ def located_impls(items: DataFrame, paths: DataFrame) -> DataFrame:
 
 def members(found_impls: DataFrame, items: DataFrame) -> DataFrame:
     """impl -> member items; ``kind`` is NULL where the member is not there."""
-    wanted = found_impls.withColumn("id", F.explode("members")).drop("members")
+    wanted = found_impls.withColumn("id", F.explode_outer("members")).drop("members").filter("id IS NOT NULL")
     return wanted.join(items.select("crate", "id", "kind", "name", "docs", "inner"), ["crate", "id"], "left")
 
 
@@ -154,7 +154,7 @@ def with_aliases(fns: DataFrame, reach: DataFrame | None) -> DataFrame:
     if reach is None:
         return fns.withColumn("_aliases", none)
     text = F.concat_ws(" ", F.col("_types"), F.col("_output"), F.col("_self"))
-    named = fns.select(*FN_KEY, text.alias("_text")).select(*FN_KEY, F.explode(_mentions("_text")).alias("id"))
+    named = fns.select(*FN_KEY, text.alias("_text")).select(*FN_KEY, F.explode_outer(_mentions("_text")).alias("id"))
     key = ["crate", "id"]
     met = named.join(F.broadcast(reach), key) if fits(reach) else split_hot_keys(named, reach, key, "item_id")
     used = met.groupBy(*FN_KEY).agg(

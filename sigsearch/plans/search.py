@@ -30,12 +30,15 @@ SIG_ID_BYTES = 32  # 16 and what a row adds
 ASK = ["text_id", "scope"]
 
 
+TEXTS_PER_TASK = 10_000
 TEXT_ID = "unhex(md5(text))"
 
 
 def prepare(asks: DataFrame) -> DataFrame:
     """Distinct texts, parsed: (text_id, text, sig)."""
-    texts = asks.select("text").filter(F.col("text").isNotNull()).distinct()
+    texts = asks.select("text").filter(F.col("text").isNotNull())
+    # Parsing costs far more than its bytes suggest, so a long log is spread by rows.
+    texts = texts.repartition(tasks_for(asks.sparkSession, asks.count(), TEXTS_PER_TASK), "text").distinct()
     return settle(parse_signatures(texts).withColumn("text_id", F.expr(TEXT_ID)))
 
 

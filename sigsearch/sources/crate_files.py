@@ -44,7 +44,8 @@ def file_entries(spark: SparkSession, directory: str) -> DataFrame:
     )
     entry = "struct('{0}' AS source, {1} AS id, {2} AS text)"
     none = "cast(NULL AS string)"
-    return files.selectExpr("crate", f"""inline(
+    # The outer form keeps Spark from adding a filter that would decode the file once more.
+    return files.selectExpr("crate", f"""inline_outer(
         CASE WHEN j IS NULL OR j._bad IS NOT NULL OR j.index IS NULL OR j.paths IS NULL
           THEN array({entry.format('bad', none, none)})
         ELSE concat(array({entry.format('good', none, none)}),
