@@ -130,7 +130,7 @@ def name_search_urls(spark, sf_dir):
     host = F.replace(F.regexp_extract("url", r"//(.*)\.example\.", 1), F.lit("."), F.lit("::"))
     names = settle(pages.select(last_segment(host).alias("name")).distinct().withColumn("letters", letters("name")))
     texts = names.select(F.expr("unhex(md5(name))").alias("text_id"), F.col("name").alias("q_name"))
-    near = se.near_names(texts, names, se.THRESHOLD, small=se.fits(texts))
+    near = se.near_names(texts, names, se.THRESHOLD)
     return near.join(texts, "text_id").select(
         F.col("q_name").alias("query"), "name", F.round("d", 6).alias("distance")
     )
@@ -228,7 +228,7 @@ def _rows(spark, sf_dir, aliased: bool) -> tuple[DataFrame, DataFrame]:
 
 def _plain_rows(spark, sf_dir) -> DataFrame:
     texts, sigs = _rows(spark, sf_dir, False)
-    return al.align(al.item_side(sigs), al.query_side(texts), True).join(
+    return al.align(al.item_side(sigs), al.query_side(texts)).join(
         F.broadcast(texts.select("text_id", "text")), "text_id"
     )
 
@@ -260,9 +260,8 @@ def generic_binding(spark, sf_dir):
 def ref_peel_cost(spark, sf_dir):
     _, catalog, _ = prepared(spark, sf_dir)
     texts = se.prepare(_texts(spark))
-    met = al.spread_join(
-        al.item_side(catalog.sigs.filter("NOT has_alias")), al.query_side(texts),
-        al.POSITION, "sig_id", True,
+    met = al.item_side(catalog.sigs.filter("NOT has_alias")).join(
+        F.broadcast(al.query_side(texts)), al.POSITION
     ).withColumn("f", F.expr(al.peel("q_refs", "i_refs")))
     return _per_function(spark, sf_dir, met).groupBy(
         F.array_join("q_refs", " ").alias("q_refs"), F.array_join("i_refs", " ").alias("i_refs"),
@@ -273,7 +272,7 @@ def ref_peel_cost(spark, sf_dir):
 def pair_scores(spark, sf_dir):
     _, catalog, _ = prepared(spark, sf_dir)
     texts = se.prepare(_texts(spark))
-    pairs = se.signature_scores(texts, catalog.sigs.repartition("sig_id"), catalog.alias_depth, True)
+    pairs = se.signature_scores(texts, catalog.sigs.repartition("sig_id"), catalog.alias_depth)
     pairs = pairs.withColumn("score", sc.score()).join(F.broadcast(texts.select("text_id", "text")), "text_id")
     return _per_function(spark, sf_dir, pairs).select("text", "item_id", _score().alias("score"), "c")
 
@@ -281,7 +280,7 @@ def pair_scores(spark, sf_dir):
 def alias_choice(spark, sf_dir):
     """Which reading of an aliased argument or result was taken: 0 as written, 1 and up expanded."""
     texts, sigs = _rows(spark, sf_dir, True)
-    chosen = se.component_rows(texts, sigs, 1, True).filter("size(alts) > 0")
+    chosen = se.component_rows(texts, sigs, 1).filter("size(alts) > 0")
     chosen = chosen.groupBy(*al.PAIR, "slot").agg(
         F.max(F.col("alts")[0]["b"]).alias("reading"), F.round(F.sum("s"), 6).alias("s"), F.sum("c").alias("c")
     ).join(F.broadcast(texts.select("text_id", "text")), "text_id")
@@ -294,7 +293,7 @@ def component_list(spark, sf_dir):
     texts = se.prepare(_texts(spark))
     hits = settle(se.search(_texts(spark), catalog, scopes))
     used = catalog.sigs.join(F.broadcast(hits.select("sig_id").distinct()), "sig_id", "left_semi")
-    rows = se.component_rows(texts, used, max(catalog.alias_depth, 1), True)
+    rows = se.component_rows(texts, used, max(catalog.alias_depth, 1))
     # One list per hit; its length is that of the signature.
     lists = rows.groupBy(*al.PAIR).agg(F.sort_array(F.collect_list(F.struct(
         "slot", "ord", "path", F.round("s", 6).alias("s"), "c"))).alias("parts"))

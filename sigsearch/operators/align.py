@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigsearch.functions.refs import REST_TYPE, as_text, peel, peel_step
-from sigsearch.operators.joins import spread_join
 
 # --- fixed values: scores ---------------------------------------------------------------------------
 EQUAL, NEAR, DIFFERENT = 0.0, 0.25, 1.0
@@ -84,14 +83,14 @@ def item_side(sigs: DataFrame) -> DataFrame:
     )
 
 
-def _meet(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshold: float) -> DataFrame:
-    """Pairs of nodes at the same position.
+def _meet(i_nodes: DataFrame, q_nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes at the same position; the texts are a piece that fits a broadcast.
 
     Surplus arguments cost 1 each.  At best all else is equal and every pointer on either side adds a
     quarter or nothing, whichever is better; a pair that is not below the threshold even so is left
     out inside the join.
     """
-    met = spread_join(i_nodes, q_nodes, POSITION, "sig_id", q_fits)
+    met = i_nodes.join(F.broadcast(q_nodes), POSITION)
     if threshold >= NO_LIMIT:
         return met
     surplus = "abs(q_args - i_args)"
@@ -111,9 +110,9 @@ def _scored(rows: DataFrame) -> DataFrame:
     })
 
 
-def align(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshold: float = NO_LIMIT) -> DataFrame:
+def align(i_nodes: DataFrame, q_nodes: DataFrame, threshold: float = NO_LIMIT) -> DataFrame:
     """Rows of signatures without aliases."""
-    met = _meet(i_nodes, q_nodes, q_fits, threshold)
+    met = _meet(i_nodes, q_nodes, threshold)
     return _scored(met.withColumn("f", F.expr(peel("q_refs", "i_refs")))).select(
         *PAIR, "slot", "path", "seq", "s", "c", "generic", "canon"
     )
@@ -148,9 +147,9 @@ _OWN = f"""transform({_READINGS}, r -> IF(r.d < size(q_chain) - 1,
   {_reading('size(q_chain) - 1', 'element_at(q_chain, -1)', '0', 'r.br', 'r.ord')}, r))"""
 
 
-def align_aliased(i_nodes: DataFrame, q_nodes: DataFrame, q_fits: bool, threshold: float = NO_LIMIT) -> DataFrame:
+def align_aliased(i_nodes: DataFrame, q_nodes: DataFrame, threshold: float = NO_LIMIT) -> DataFrame:
     """Rows of signatures with aliases, one per reading; ``alts`` lists the readings taken."""
-    met = _meet(i_nodes, q_nodes, q_fits, threshold)
+    met = _meet(i_nodes, q_nodes, threshold)
     plain = f"transform(array({peel('q_refs', 'i_refs')}), p -> {_reading('0', 'p.rest', 'p.k', 'NULL', 'ord')})"
     rows = met.withColumn("r", F.explode_outer(F.expr(f"IF(i_hops IS NULL, {plain}, {_OWN})")))
     rows = rows.withColumn("f", F.expr(f"cast(named_struct('rest', r.rest, 'k', r.k) AS {REST_TYPE})"))

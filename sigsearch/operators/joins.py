@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20  # text size up to which a measured side is broadcast
 ROWS_PER_KEY = 200_000  # rows of one key that one task may get
-SPREAD = 32  # copies of the small side where it is too big to broadcast
+MAX_PIECES = 1 << 16
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -51,17 +51,22 @@ def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return text_bytes(df) <= limit
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, small_fits: bool) -> DataFrame:
-    """Inner join on a handful of very frequent keys.
+def pieces(df: DataFrame, key: str, limit: int | None = None) -> list[DataFrame]:
+    """Cut a table by the hash of ``key`` into parts that were each measured to fit a broadcast.
 
-    A measured small side is broadcast, so ``big`` is not moved.  Otherwise ``big`` is cut into
-    slices by ``spread_by`` and the small side is copied once per slice, so no key lands in one task.
+    One part for all but very large query logs.  The other side of a join with a part stays where it
+    is, so its partitioning and balance do not depend on how frequent the join keys are.
     """
-    if small_fits:
-        return big.join(F.broadcast(small), on)
-    sliced = big.withColumn("_part", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
-    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return sliced.join(copies, [*on, "_part"]).drop("_part")
+    limit = limit or BROADCAST_BYTES
+    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    n = 1
+    while n <= MAX_PIECES:
+        part = F.pmod(F.xxhash64(key), F.lit(n))
+        worst = df.groupBy(part.alias("p")).agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0] or 0
+        if worst <= limit:
+            return [df] if n == 1 else [df.filter(part == i) for i in range(n)]
+        n *= max(2, -(-worst // limit))
+    raise ValueError(f"a row is larger than the {limit} bytes that may be broadcast")
 
 
 def split_hot_keys(

@@ -16,7 +16,7 @@ from sigsearch.functions import links
 from sigsearch.functions.names import letters, may_be_near, name_distance
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
-from sigsearch.operators.joins import BROADCAST_BYTES, fits, settle, split_hot_keys, spread_join, tasks_for
+from sigsearch.operators.joins import BROADCAST_BYTES, fits, pieces, settle, split_hot_keys, tasks_for
 from sigsearch.operators.parse import parse_signatures
 from sigsearch.operators.scope import in_scope
 from sigsearch.operators.topk import TIE_BREAK, first_per
@@ -53,7 +53,7 @@ class Asked:
 
     asks: DataFrame  # (text_id, text, scope)
     texts: DataFrame  # (text_id, text, sig)
-    small: bool  # everything derived from the texts can be broadcast
+    parts: list[DataFrame]  # the texts in parts that can be broadcast; nearly always one
     asks_small: bool
     n_texts: int
     plain: bool  # some texts have types but no names
@@ -65,16 +65,14 @@ def look_at(queries: DataFrame) -> Asked:
     asks = distinct_asks(queries)
     texts = prepare(asks)
     about = texts.select(
-        F.octet_length(F.to_json("sig")).cast("long").alias("b"),
         F.expr("size(sig.nodes) > 0 AND NOT sig.rejected").alias("typed"),
         F.expr("sig.name IS NULL AND NOT exists(sig.args, a -> a.arg_name IS NOT NULL)").alias("unnamed"),
     ).agg(
-        F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.count("*").alias("n"),
+        F.count("*").alias("n"),
         *[F.coalesce(F.max(F.expr(e)), F.lit(False)).alias(n) for n, e in (
             ("plain", "typed AND unnamed"), ("mixed", "typed AND NOT unnamed"), ("bare", "NOT typed"))],
     ).first()
-    small = about["bytes"] <= BROADCAST_BYTES
-    return Asked(asks, texts, small, fits(asks), about["n"], about["plain"], about["mixed"], about["bare"])
+    return Asked(asks, texts, pieces(texts, "text_id"), fits(asks), about["n"], about["plain"], about["mixed"], about["bare"])
 
 
 def rejected_queries(queries: DataFrame) -> DataFrame:
@@ -98,7 +96,7 @@ def _below(s: str, c: str, threshold: float):
 
 
 def signature_scores(
-    texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool, threshold: float = NO_LIMIT
+    texts: DataFrame, sigs: DataFrame, alias_depth: int, threshold: float = NO_LIMIT
 ) -> DataFrame:
     """(text_id, sig_id, s, c): components of the signature alone, for every text with types.
 
@@ -106,19 +104,19 @@ def signature_scores(
     argument counts alone put them at or above ``threshold`` are left out.
     """
     nodes = al.query_side(texts)
-    plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, small, threshold))
+    plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, threshold))
     if not alias_depth:
         return plain
-    chosen = component_rows(texts, sigs.filter("has_alias"), alias_depth, small, threshold)
+    chosen = component_rows(texts, sigs.filter("has_alias"), alias_depth, threshold)
     aliased = chosen.groupBy(*al.PAIR).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     return plain.unionByName(aliased)
 
 
 def component_rows(
-    texts: DataFrame, sigs: DataFrame, alias_depth: int, small: bool, threshold: float = NO_LIMIT
+    texts: DataFrame, sigs: DataFrame, alias_depth: int, threshold: float = NO_LIMIT
 ) -> DataFrame:
     """Aligned rows of each pair with bindings and readings settled: the score taken apart."""
-    rows = al.align_aliased(al.item_side(sigs), al.query_side(texts), small, threshold)
+    rows = al.align_aliased(al.item_side(sigs), al.query_side(texts), threshold)
     return sc.choose_readings(sc.bound_rows(rows, ["slot", "ord"]), alias_depth)
 
 
@@ -136,11 +134,12 @@ def signatures_of(fns: DataFrame, sigs: DataFrame, n_texts: int) -> DataFrame:
     return sigs.repartition(tasks, "sig_id").join(used, "sig_id", "left_semi")
 
 
-def near_names(texts: DataFrame, names: DataFrame, threshold: float, small: bool, prefilter: bool = True) -> DataFrame:
+def near_names(texts: DataFrame, names: DataFrame, threshold: float, prefilter: bool = True) -> DataFrame:
     """(text_id, name, d): function names whose distance to a query's name is below the threshold.
 
     Joined on the name's length: a text is listed under every length its near names can have.  Names
     with other than single-byte characters have a length group of their own that every text sees.
+    ``texts`` is a piece that fits a broadcast; the names stay in place.
     """
     asked = texts.select("text_id", "q_name").withColumn("q_letters", letters("q_name"))
     if not prefilter:
@@ -155,7 +154,7 @@ def near_names(texts: DataFrame, names: DataFrame, threshold: float, small: bool
         lengths = F.array_append(F.when(low <= top, F.sequence(low, top)).otherwise(F.expr("cast(array() AS array<int>)")), F.lit(-1))
         key = F.expr("IF(char_length(name) = octet_length(name), char_length(name), -1)")
     asked = asked.withColumn("len", F.explode(lengths))
-    pairs = spread_join(names.withColumn("len", key), asked, ["len"], "name", small)
+    pairs = names.withColumn("len", key).join(F.broadcast(asked), "len")
     if prefilter:
         pairs = pairs.filter(may_be_near("q_name", "name", "q_letters", "letters", threshold))
     return pairs.withColumn("d", name_distance("q_name", "name")).filter(
@@ -176,15 +175,16 @@ def _name_parts(pairs: DataFrame) -> DataFrame:
 
 def typed_pairs(asked: Asked, fns: DataFrame, catalog: Catalog, threshold: float) -> DataFrame:
     """Pairs of text and signature that are below the threshold, or would be with equal names."""
-    wants = _wants(asked.texts)
-    pairs = signature_scores(
-        asked.texts, signatures_of(fns, catalog.sigs, asked.n_texts), catalog.alias_depth, asked.small, threshold
-    )
-    return settle(
-        pairs.join(F.broadcast(wants) if asked.small else wants, "text_id").filter(
+    sigs = signatures_of(fns, catalog.sigs, asked.n_texts)
+    if len(asked.parts) > 1:
+        sigs = settle(sigs)
+    found = []
+    for texts in asked.parts:
+        pairs = signature_scores(texts, sigs, catalog.alias_depth, threshold)
+        found.append(settle(pairs.join(F.broadcast(_wants(texts)), "text_id").filter(
             _below("s", "c + size(q_args) + IF(q_name IS NULL, 0, 1)", threshold)
-        )
-    )
+        )))
+    return reduce(DataFrame.unionByName, found)
 
 
 def candidates(
@@ -222,9 +222,9 @@ def candidates(
             mixed = split_hot_keys(fns, below.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
             parts.append(_name_parts(mixed))
     if asked.bare:
-        bare = _wants(asked.texts).filter("NOT typed AND q_name IS NOT NULL")
-        near = settle(near_names(bare, catalog.names, threshold, asked.small, prefilter))
-        near = per_scope(near.withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long")))
+        bare = [_wants(texts).filter("NOT typed AND q_name IS NOT NULL") for texts in asked.parts]
+        near = [settle(near_names(texts, catalog.names, threshold, prefilter)) for texts in bare]
+        near = per_scope(reduce(DataFrame.unionByName, near).withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long")))
         parts.append(alike(fns.select(*FN_KEY, "name", "scope"), ["name", "scope"], near))
     if not parts:
         rows = asked.asks.limit(0).select(*ASK)
@@ -255,7 +255,7 @@ def with_details(hits: DataFrame, catalog: Catalog, asked: Asked) -> DataFrame:
     # Hits are few beside the functions: where they can be sent around, the functions stay in place.
     return (
         known.join(F.broadcast(hits) if fits(hits) else hits, FN_KEY)
-        .join(F.broadcast(texts) if asked.small else texts, "text_id")
+        .join(F.broadcast(texts) if len(asked.parts) == 1 else texts, "text_id")
         .select(
             "text", "scope", "rank", "score", "name", links.hit_path().alias("path"),
             links.hit_link().alias("link"), "docs", *FN_KEY, "kind", "text_id", "sig_id", "s", "c",

@@ -63,7 +63,7 @@ def scored(spark, tmp_path_factory):
     texts = sorted({c[0] for c in CASES.values()})
     queries = spark.createDataFrame([(i, t, "crate:pkg") for i, t in enumerate(texts)], "query_id int, text string, scope string")
     prepared = se.prepare(queries)
-    pairs = se.signature_scores(prepared, catalog.sigs.repartition(4, "sig_id"), catalog.alias_depth, True)
+    pairs = se.signature_scores(prepared, catalog.sigs.repartition(4, "sig_id"), catalog.alias_depth)
     named = catalog.fns.select("item_id", "sig_id").join(pairs, "sig_id").join(prepared.select("text_id", "text"), "text_id")
     sums = {(r.text, r.item_id): (r.s, r.c) for r in named.collect()}
     hits = {(r.text, r.item_id): r.score for r in se.search(queries, catalog, scopes, k=None).collect()}

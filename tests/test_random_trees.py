@@ -6,10 +6,14 @@ of a signature.
 """
 
 import random
+from functools import reduce
 
 import pytest
 from conftest import alias, arr, document, fn, gen, impl, path, prim, ptr, ref, sli, tup, write_index
 
+from pyspark.sql import DataFrame
+
+from sigsearch.operators.joins import pieces
 from sigsearch.plans import search as se
 
 
@@ -169,8 +173,8 @@ def test_every_pair(spark, tmp_path):
     expected = {
         (t, f): Walk(aliases, receivers.get(f)).signature(*q, *i) for t, q in queries.items() for f, i in fns.items()
     }
-    for small in (True, False):  # broadcast, and the slices that replace it
-        pairs = se.signature_scores(texts, catalog.sigs.repartition(8, "sig_id"), catalog.alias_depth, small)
+    for texts_now in (texts, reduce(DataFrame.unionByName, pieces(texts, "text_id", 20_000))):
+        pairs = se.signature_scores(texts_now, catalog.sigs.repartition(8, "sig_id"), catalog.alias_depth)
         got = {
             (x.text, x.item_id): (x.s, x.c)
             for x in catalog.fns.join(pairs, "sig_id").join(texts, "text_id").select("text", "item_id", "s", "c").collect()
@@ -180,7 +184,7 @@ def test_every_pair(spark, tmp_path):
                  if v[1] != len(expected[k]) or v[0] != pytest.approx(sum(expected[k]))}
         assert not wrong, f"{len(wrong)} of {len(got)}: {list(wrong.items())[:3]}"
     for threshold in (0.2, 0.4, 0.7):
-        pairs = se.signature_scores(texts, catalog.sigs.repartition(8, "sig_id"), catalog.alias_depth, True, threshold)
+        pairs = se.signature_scores(texts, catalog.sigs.repartition(8, "sig_id"), catalog.alias_depth, threshold)
         kept = {
             (x.text, x.item_id)
             for x in catalog.fns.join(pairs, "sig_id").join(texts, "text_id").select("text", "item_id").collect()
@@ -202,7 +206,7 @@ def test_grouping_equals_window(spark, tmp_path):
     tables = read_crate_files(spark, write_index(tmp_path, {"pkg": document(docs)}))
     catalog = build_catalog(tables["items"], tables["paths"], str(tmp_path / "catalog"))
     log = spark.createDataFrame([("(" + ", ".join(spell(random_query(r, 2)) for _ in range(3)) + ")",) for _ in range(30)], "text string")
-    rows = al.align(al.item_side(catalog.sigs), al.query_side(se.prepare(log)), True)
+    rows = al.align(al.item_side(catalog.sigs), al.query_side(se.prepare(log)))
     windowed = sc.bound_rows(rows, ["seq"]).groupBy(*al.PAIR).agg(F.sum("s").alias("s2"), F.sum("c").alias("c2"))
     both = sc.pair_sums(rows).join(windowed, al.PAIR, "full")
     assert both.filter("s IS NULL OR s2 IS NULL OR abs(s - s2) > 1e-9 OR c <> c2").count() == 0

@@ -50,7 +50,8 @@ def test_splitting_and_slicing_change_nothing(many, asks, monkeypatch):
     limited = rows(se.search(queries, catalog, scopes))
     split = joins.split_hot_keys
     monkeypatch.setattr(se, "split_hot_keys", lambda l, r, on, by: split(l, r, on, by, rows_per_key=3))
-    monkeypatch.setattr(se, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(se, "pieces", lambda df, key: joins.pieces(df, key, 3000))
+    assert len(joins.pieces(se.prepare(queries), "text_id", 3000)) > 1
     monkeypatch.setattr(se, "fits", lambda df, limit=0: False)
     monkeypatch.setattr(scope, "fits", lambda df, limit=0: False)
     assert rows(se.search(queries, catalog, scopes, k=None)) == expected
@@ -79,10 +80,10 @@ def test_near_names_is_whole(spark, threshold):
     names = spark.createDataFrame([(w,) for w in words], "name string").withColumn("letters", letters("name"))
     texts = spark.createDataFrame([(w, w) for w in asked], "text_id string, q_name string")
     got = [
-        sorted((x.text_id, x.name, round(x.d, 6)) for x in se.near_names(texts, names, threshold, small, prefilter).collect())
-        for small, prefilter in ((True, True), (False, True), (True, False))
+        sorted((x.text_id, x.name, round(x.d, 6)) for x in se.near_names(texts, names, threshold, prefilter).collect())
+        for prefilter in (True, False)
     ]
-    assert got[0] == got[1] == got[2]
+    assert got[0] == got[1]
     dist = names.crossJoin(texts).filter(
         F.expr(f"cast(levenshtein(q_name, name) / greatest(octet_length(q_name), octet_length(name)) AS float) < cast({threshold} AS float)"))
     assert len(got[0]) == dist.count() > 0
@@ -107,7 +108,7 @@ def test_scores_stay_below_one_shuffle(many, asks):
     """From signatures to sums nothing is moved but the signatures themselves."""
     _, catalog, _ = many
     texts = se.prepare(asks(*TEXTS))
-    pairs = se.signature_scores(texts, catalog.sigs.repartition(8, "sig_id"), 0, True)
+    pairs = se.signature_scores(texts, catalog.sigs.repartition(8, "sig_id"), 0)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
