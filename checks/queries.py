@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +41,17 @@ SCOPES = ("set:all", "set:odd", "crate:brand_12")
 # ------------------------------------------------------------------------------------------------------
 
 
-@cache
-def _prepared(app: str, sf_dir: str):
-    spark = SparkSession.getActiveSession()
-    tables = part_catalog(spark, sf_dir)
-    catalog = build_catalog(tables["items"], tables["paths"])
-    scopes = settle(make_scopes(tables["sets"], tables["crates"]))
-    return tables, catalog, scopes
+_BUILT: dict[tuple[str, str], tuple] = {}
 
 
 def prepared(spark: SparkSession, sf_dir: str):
-    """Source tables, catalogue and scopes; built once per session and directory, as an index is."""
-    return _prepared(spark.sparkContext.applicationId, sf_dir)
+    """Source tables, catalogue and scopes; built once per application and directory, as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        tables = part_catalog(spark, sf_dir)
+        catalog = build_catalog(tables["items"], tables["paths"])
+        _BUILT[key] = tables, catalog, settle(make_scopes(tables["sets"], tables["crates"]))
+    return _BUILT[key]
 
 
 def _texts(spark: SparkSession, scope: str | None = "set:all") -> DataFrame:

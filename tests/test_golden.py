@@ -2,7 +2,6 @@
 
 import pytest
 from conftest import alias, arr, document, fn, gen, path, prim, ptr, ref, sli, tup
-from pyspark.sql import functions as F
 
 from sigsearch.plans import search as se
 
