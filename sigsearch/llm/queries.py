@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsearch.llm import exact, packing, quality, simhash
+from sigsearch.llm import ann, exact, licenses, lines, packing, pieces, quality, simhash, tools, warc
 from sigsearch.llm.common import table
 
 
@@ -35,11 +35,56 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tools.derived_calls(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(tools.SCHEMAS, "name string, field string, type string, required boolean")
+    return tools.format_calls(calls, results, schemas)
+
+
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.derived_records(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "page", "refers_to", "status", warc.header_text(F.col("headers")).alias("headers"), "digest")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+    sure = F.filter("found", lambda f: f["confirmed"])
+    return found.select(
+        "doc_id", "paragraphs", F.size("found").alias("licensed"), F.size(sure).alias("confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents")
+    back = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    first, last = min(vocabulary.byte_ids), max(vocabulary.byte_ids)
+    return back.select(
+        "doc_id", F.size("ids").alias("n_ids"), F.size(F.filter("ids", lambda i: i.between(first, last))).alias("n_byte_ids"),
+        F.xxhash64("ids").alias("ids_hash"), F.xxhash64("text").alias("text_hash"))
+
+
+def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "lines_removed", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_simhash": op2_simhash,
+    "op3_revisits": op3_revisits,
+    "op4_licenses": op4_licenses,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pieces": op6_pieces,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_repeated_lines": op9_repeated_lines,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
