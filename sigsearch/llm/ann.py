@@ -214,10 +214,10 @@ def _product(k: int):
         out = []
         for at in range(0, len(asked), 512):
             part = asked.iloc[at:at + 512]
-            scores = np.stack(part["vector"].to_numpy()) @ base.T
+            scores = np.stack(part["q"].to_numpy()) @ base.T
             best = _best(scores, k)
             out.append(pd.DataFrame({
-                "query_id": np.repeat(part["vec_id"].to_numpy(), best.shape[1]),
+                "query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]),
                 "vec_id": block["vec_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
         return pd.concat(out)
     return run
@@ -256,17 +256,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, rec
 
     size = max(BLOCK_ROWS, min(window, 4 * BLOCK_ROWS))
     shares = max(1, (2 * window + size) // BLOCK_QUERIES)  # of the queries that meet one block
-    lot = F.pmod(F.xxhash64("vec_id"), F.lit(shares))
+    lot = F.pmod(F.xxhash64("vec_id"), F.lit(shares).cast("long"))
     blocks = placed.where("not query").select("vec_id", "curve", F.floor(F.col("rank") / size).alias("block"))
     last = (total - 1) // size
-    reach = F.sequence(F.greatest(F.floor((F.col("rank") - window) / size), F.lit(0)),
-                       F.least(F.floor((F.col("rank") + window) / size), F.lit(last)))
-    visits = placed.where("query").where(F.col("rank") - window <= total).select(
-        "vec_id", "curve", F.explode(F.transform(reach, lambda x: F.least(x, F.lit(last)))).alias("block"), lot.alias("lot"))
-    rows_at = blocks.join(base, "vec_id").withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long"))
-    asks_at = visits.join(asked, "vec_id")
+    reach = F.sequence(F.greatest(F.floor((F.col("rank") - window - 1) / size), F.lit(0).cast("long")),
+                       F.least(F.floor((F.col("rank") + window) / size), F.lit(last).cast("long")))
+    visits = placed.where("query").select(  # a query behind the last row has that row's rank and one more
+        F.col("vec_id").alias("query_id"), F.col("curve").alias("its_curve"), F.explode(reach).alias("its_block"), lot.alias("its_lot"))
+    rows_at = blocks.join(base, "vec_id").withColumn(
+        "lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    asks_at = visits.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id")
     keep = k + 1 + SPARE
-    found = rows_at.groupBy("curve", "block", "lot").cogroup(asks_at.groupBy("curve", "block", "lot")).applyInPandas(
+    found = rows_at.groupBy("curve", "block", "lot").cogroup(asks_at.groupBy("its_curve", "its_block", "its_lot")).applyInPandas(
         _product(keep), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))

@@ -45,34 +45,41 @@ def build_trie(words: dict[bytes, int]) -> Trie:
             if node == len(children):
                 children.append({})
         ends[node] = number
-    size = 2 * len(children) + 512
-    base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-    used = bytearray(size)
-    used[0] = 1
-    free, todo = 1, [(0, 0)]
+    # where a node's children go does not depend on where the node is: place the widest first, only children last
+    offset = np.zeros(len(children), np.int64)
+    free = np.ones(2 * len(children) + (1 << 16), bool)
+    free[0] = False
+    low, step = 0, 1 << 12
+    for node in sorted((n for n, c in enumerate(children) if len(c) > 1), key=lambda n: -len(children[n])):
+        keys = np.array(sorted(children[node])) + 1
+        at, found = low, False
+        while not found:
+            if at + step + 300 > len(free):
+                free = np.concatenate((free, np.ones(len(free), bool)))
+            fits = np.logical_and.reduce([free[at + k:at + k + step] for k in keys])
+            first = int(fits.argmax())
+            found = bool(fits[first])
+            at += first if found else step
+        offset[node] = at
+        free[at + keys] = False
+        low = max(low, at - 8 * step)
+    free = np.concatenate((free, np.ones(len(children) + 512, bool)))
+    slots = iter((np.flatnonzero(free[257:]) + 257).tolist())
+    for node, below in enumerate(children):
+        if len(below) == 1:
+            slot = next(slots)
+            offset[node] = slot - next(iter(below)) - 1
+            free[slot] = False
+    base, check, value = np.zeros(len(free), np.int64), np.full(len(free), -1, np.int64), np.full(len(free), -1, np.int64)
+    todo = [(0, 0)]
     while todo:
         node, state = todo.pop()
-        value[state] = ends.get(node, -1)
-        keys = sorted(children[node])
-        if not keys:
-            continue
-        while used[free]:
-            free += 1
-        at = max(free - keys[0] - 1, 0)
-        if len(keys) == 1:
-            at = free - keys[0] - 1 if free > keys[0] else 0
-        while any(used[at + c + 1] for c in keys):
-            at += 1
-            if at + 300 > len(used):
-                grow = len(used)
-                used.extend(bytes(grow))
-                base, check, value = (np.concatenate((x, np.full(grow, v))) for x, v in ((base, 0), (check, -1), (value, -1)))
-        base[state] = at
-        for c in keys:
-            used[at + c + 1] = 1
-            check[at + c + 1] = state
-            todo.append((children[node][c], at + c + 1))
-    return Trie(base, check, value)
+        value[state], base[state] = ends.get(node, -1), offset[node]
+        for c, below in children[node].items():
+            check[offset[node] + c + 1] = state
+            todo.append((below, int(offset[node]) + c + 1))
+    used = int(np.flatnonzero(~free).max()) + 300
+    return Trie(base[:used], check[:used], value[:used])
 
 
 @dataclass
