@@ -87,6 +87,95 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
 }
 ORACLE: dict[str, str] = {
+    "op1_tool_calls": """
+with recursive
+calls as (
+  select conv_id, 'c' || turn as call_id, turn, coalesce(text, '') as text,
+         (['search', 'lookup', 'note', 'erase'])[((conv_id + turn) % 4 + 1)::int] as name,
+         'c' || (turn // 2) as used
+  from conversations where role = 'assistant'),
+results as (
+  select conv_id, 'c' || (turn - 1) as call_id, text as content, true as answered from conversations where role = 'user' and turn > 0),
+depth(conv_id, call_id, level) as (
+  select c.conv_id, c.call_id, 0 from calls c
+  where c.used = c.call_id or not exists (select 1 from calls u where u.conv_id = c.conv_id and u.call_id = c.used)
+  union all
+  select c.conv_id, c.call_id, d.level + 1 from calls c join depth d on c.conv_id = d.conv_id and c.used = d.call_id and c.used <> c.call_id),
+given as (
+  select c.*, d.level, r.content, coalesce(r.answered, false) as answered,
+         case when c.turn % 5 = 4 then null when c.conv_id % 7 = 3 then '"many"' else (c.conv_id % 50)::varchar end as lim,
+         c.conv_id % 11 = 5 as color, c.conv_id % 2 = 0 as done
+  from calls c join depth d using (conv_id, call_id) left join results r using (conv_id, call_id)),
+judged as (
+  select *, case when name = 'erase' then ['no tool erase'] else list_filter([
+      case when name = 'note' and not done then 'missing done' end,
+      case when name = 'search' and lim is null then 'missing limit' end,
+      case when name in ('search', 'lookup') and lim = '"many"' then 'type limit' end,
+      case when color then 'unknown color' end,
+      case when name in ('search', 'lookup') and done then 'unknown done' end,
+      case when name = 'note' and lim is not null then 'unknown limit' end], lambda e: e is not null) end as problems,
+    case when answered then 'linked' else 'unanswered' end as status
+  from given)
+select conv_id, call_id, turn, level, status, len(problems) = 0 as valid, array_to_string(problems, '; ') as errors,
+       '{"arguments":{' || case when color then '"color":"red",' else '' end || case when done then '"done":true,' else '' end
+       || case when lim is not null then '"limit":' || lim || ',' else '' end || '"query":' || to_json(text)::varchar || '},"call":"' || call_id
+       || '","conversation":' || conv_id || ',"errors":' || to_json(problems)::varchar || ',"level":' || level || ',"name":"' || name
+       || '","result":' || coalesce(to_json(content)::varchar, 'null') || ',"status":"' || status || '"}' as line
+from judged
+union all
+select conv_id, call_id, null, null, 'stray', true, '',
+       '{"arguments":null,"call":"' || call_id || '","conversation":' || conv_id || ',"errors":[],"level":null,"name":null,"result":'
+       || coalesce(to_json(content)::varchar, 'null') || ',"status":"stray"}'
+from results where (conv_id, call_id) not in (select (conv_id, call_id) from calls)
+""",
+    "op3_revisits": r"""
+with plain as (
+  select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', '', 's'), '^https?://', '', 'i') as u from pages),
+parts as (
+  select page_id, html,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\.', '') as host,
+    regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'),
+      lambda f: f <> '' and not regexp_matches(f, '^(utm_[a-z]+|gclid|fbclid)(=|$)', 'i'))) as fields
+  from plain),
+paged as (
+  select page_id, html, host || path || case when len(fields) > 0 then '?' || array_to_string(fields, '&') else '' end as page,
+    '"' || substr(md5(html), 1, 12) || '"' as tag, page_id % 97 as day from parts),
+visits as (
+  select *, page_id * 4 + n as record_id, case when n in (0, 2) then 'response' else 'revisit' end as kind,
+    day * 10 + case n when 0 then 0 when 1 then page_id % 40 - 5 when 2 then 20 else page_id % 60 end as moment
+  from paged cross join (values (0), (1), (2), (3)) v(n)
+  where n = 0 or (n = 2 and page_id % 5 = 0) or (n in (1, 3) and page_id % 7 <> 6)),
+records as (
+  select record_id, page, kind, moment, 't' || moment as h_date, case when page_id % 4 <> 0 then 'd' || day end as h_mod,
+    case when kind = 'response' then 'text/html' else 'text/plain' end as h_type,
+    case when n <> 1 then 'max-age=' || record_id end as h_cache,
+    case when kind = 'revisit' and page_id % 13 = 5 then null when n = 2 then '"new-' || substr(tag, 2, 20)
+         when kind = 'revisit' and page_id % 11 = 3 then '"gone"' when kind = 'revisit' and page_id % 3 = 1 then 'W/' || tag else tag end as h_tag,
+    md5(case when n = 2 then html || '2' else html end) as digest
+  from visits),
+carried as (
+  select *, last_value(case when kind = 'response' then record_id end ignore nulls) over (
+    partition by page order by moment, record_id rows between unbounded preceding and 1 preceding) as refers_to from records),
+met as (
+  select a.*, r.h_date as r_date, r.h_mod as r_mod, r.h_type as r_type, r.h_cache as r_cache, r.h_tag as r_tag, r.digest as payload,
+    case when a.refers_to is null then 'orphan'
+         when coalesce(case when a.h_tag is not null and r.h_tag is not null then regexp_replace(a.h_tag, '^W/', '') = regexp_replace(r.h_tag, '^W/', '')
+              when a.h_mod is not null and r.h_mod is not null then a.h_mod = r.h_mod else a.digest = r.digest end, false) then 'resolved'
+         else 'mismatch' end as status
+  from carried a left join records r on a.refers_to = r.record_id where a.kind = 'revisit'),
+fields as (
+  select *, status = 'resolved' as ok from met)
+select record_id, page, refers_to, status,
+  array_to_string(list_filter([
+    'cache-control: ' || case when ok then coalesce(h_cache, r_cache) else h_cache end,
+    'content-type: ' || case when ok then r_type else h_type end,
+    'date: ' || h_date,
+    'etag: ' || case when ok then coalesce(h_tag, r_tag) else h_tag end,
+    'last-modified: ' || case when ok then coalesce(h_mod, r_mod) else h_mod end], lambda x: x is not null), chr(10)) as headers,
+  case when ok then payload end as digest
+from fields
+""",
     "op5_exact_dedup": """
 with t as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as plain
