@@ -17,8 +17,16 @@ BROADCAST_ROWS = 1_000_000  # narrow rows up to which a counted side is broadcas
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package even where it is not installed."""
+    """Let Python workers import this package even where it is not installed, and get texts in batches of bounded size.
+
+    A batch size that the session sets itself is left as it is.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

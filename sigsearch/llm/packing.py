@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from sigsearch.llm.common import ready, task_id, written
 
 CAPACITY = 2048
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+CACHED_WORDS, CACHED_BYTES = 250_000, 64
 TAIL = b".,!?;:%$#&*"  # marks that are split from a letter or digit in front, and end no special token
 
 
