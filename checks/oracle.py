@@ -316,8 +316,8 @@ ORACLE: dict[str, str] = {
         FROM {_ranked('hits', 'text', 30)}""",
     "query_log_answers": f"""{_with(*SEARCH, SCOPES)}, hs AS (
           SELECT h.*, s.scope FROM hits h JOIN scopes s ON s.crate = h.crate WHERE s.scope IN ('set:all', 'set:odd')),
-        best AS (SELECT * FROM {_ranked('hs', 'qid, scope', 1)})
-        SELECT e.event_id AS query_id, b.text, b.scope, b.name, b.crate, b.item_id, round(CAST(b.score AS DOUBLE), 6) AS score
+        best AS (SELECT * FROM {_ranked('hs', 'qid, scope', 30)})
+        SELECT e.event_id AS query_id, b.text, b.scope, b.rank, b.name, b.crate, b.item_id, round(CAST(b.score AS DOUBLE), 6) AS score
         FROM events e JOIN best b ON b.qid = e.event_id % 15
          AND b.scope = CASE WHEN e.event_type = 'error' THEN 'set:odd' ELSE 'set:all' END""",
     "name_search_topk": f"""{_with(FNS)}, asked AS (SELECT DISTINCT 'fn ' || substr(name, 2) AS text, substr(name, 2) AS q FROM f),
@@ -394,6 +394,11 @@ ORACLE: dict[str, str] = {
     "component_list": f"""{_with(*SEARCH)}, lists AS (
           SELECT qid, item_id, string_agg(concat_ws(':', slot, path, CAST(round(s * 1000000) AS BIGINT), c), ' '
                  ORDER BY slot, b, seq) AS parts
-          FROM chosen GROUP BY ALL)
-        SELECT text, crate, item_id, parts FROM {_ranked('hits', 'text', 30)} JOIN lists USING (qid, item_id)""",
+          FROM chosen GROUP BY ALL),
+        owns AS (SELECT qid, item_id, 'name::' || CAST(round(d * 1000000) AS BIGINT) || ':1' AS own FROM dist),
+        args AS (SELECT a.qid, f.item_id, string_agg('arg' || a.slot || '::' || CAST(round(
+                   levenshtein(a.arg, 'a' || a.slot) / CAST(greatest(strlen(a.arg), 2) AS DOUBLE) * 1000000) AS BIGINT) || ':1', ' ' ORDER BY a.slot) AS arg
+                 FROM argnames a JOIN fns f ON a.slot < f.n_args GROUP BY ALL)
+        SELECT text, crate, item_id, round(CAST(score AS DOUBLE), 6) AS score, concat_ws(' ', own, arg, parts) AS parts
+        FROM {_ranked('hits', 'text', 30)} LEFT JOIN lists USING (qid, item_id) LEFT JOIN owns USING (qid, item_id) LEFT JOIN args USING (qid, item_id)""",
 }

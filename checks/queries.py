@@ -82,9 +82,7 @@ def scoped_search_topk(spark, sf_dir):
 
 def search_all_hits(spark, sf_dir):
     _, catalog, scopes = prepared(spark, sf_dir)
-    asked = se.look_at(_texts(spark))
-    found = se.candidates(asked, catalog, scopes, k=None)
-    return found.join(F.broadcast(asked.texts.select("text_id", "text")), "text_id").select("text", "crate", "item_id", _score().alias("score"))
+    return se.search(_texts(spark), catalog, scopes, k=None).select("text", "crate", "item_id", _score().alias("score"))
 
 
 def search_wide_threshold(spark, sf_dir):
@@ -108,8 +106,8 @@ def query_log_answers(spark, sf_dir):
         F.when(F.col("event_type") == "error", "set:odd").otherwise("set:all").alias("scope"),
     )
     hits = settle(se.search(log, catalog, scopes))
-    return se.answers(log, hits).filter("rank = 1").select(
-        "query_id", "text", "scope", "name", "crate", "item_id", _score().alias("score")
+    return se.answers(log, hits).select(
+        "query_id", "text", "scope", "rank", "name", "crate", "item_id", _score().alias("score")
     )
 
 
@@ -117,7 +115,7 @@ def name_search_topk(spark, sf_dir):
     """Every function name without its first letter, as a query."""
     _, catalog, scopes = prepared(spark, sf_dir)
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    asked = part_functions(part).select(F.concat(F.lit("fn "), F.substring("name", 2, 1000)).alias("text")).distinct()
+    asked = part_functions(part).select(F.concat(F.lit("fn "), F.expr("substring(name, 2)")).alias("text")).distinct()
     queries = asked.select(F.col("text").alias("query_id"), "text", F.lit("set:all").alias("scope"))
     return _shown(se.search(queries, catalog, scopes))
 
@@ -286,17 +284,28 @@ def alias_choice(spark, sf_dir):
 
 
 def component_list(spark, sf_dir):
-    """The scores of all hits taken apart, node by node in visiting order."""
+    """The scores of all hits taken apart: names first, then node by node in visiting order."""
     _, catalog, scopes = prepared(spark, sf_dir)
     texts = se.prepare(_texts(spark))
     hits = settle(se.search(_texts(spark), catalog, scopes))
     used = catalog.sigs.join(F.broadcast(hits.select("sig_id").distinct()), "sig_id", "left_semi")
-    rows = se.component_rows(texts, used, max(catalog.alias_depth, 1))
+    pairs = F.broadcast(hits.select(*al.PAIR).distinct())  # thirty for each of fifteen texts at most
+    rows = se.component_rows(texts, used, max(catalog.alias_depth, 1)).join(pairs, al.PAIR, "left_semi")
     # One list per hit; its length is that of the signature.
     lists = rows.groupBy(*al.PAIR).agg(F.sort_array(F.collect_list(F.struct(
         "slot", "ord", "path", F.round("s", 6).alias("s"), "c"))).alias("parts"))
     shown = F.expr("array_join(transform(parts, p -> concat_ws(':', p.slot, p.path, cast(cast(round(p.s * 1000000) AS bigint) AS string), p.c)), ' ')")
-    return hits.join(lists, al.PAIR).select("text", "crate", "item_id", shown.alias("parts"))
+    args = prepared(spark, sf_dir)[1].fns.select(*se.FN_KEY, "arg_names")
+    named = hits.select("text_id", "sig_id", "text", "name", "score", *se.FN_KEY).join(args, se.FN_KEY).join(
+        F.broadcast(se._wants(texts)), "text_id")
+    dist = "levenshtein({0}, {1}) / greatest(octet_length({0}), octet_length({1}))"
+    entry = "concat({0}, cast(cast(round(({1}) * 1000000) AS bigint) AS string), ':1')"
+    own = F.expr(entry.format("'name::'", dist.format("q_name", se.ITEM)))
+    arg = dist.format("a.arg_name", "arg_names[a.slot]")
+    arg_list = F.expr(f"""array_join(transform(array_sort(filter(q_args, a -> a.slot < size(arg_names))),
+        a -> {entry.format("concat('arg', a.slot, '::')", arg)}), ' ')""")
+    whole = F.concat_ws(" ", own, F.when(arg_list != "", arg_list), shown)
+    return named.join(lists, al.PAIR, "left").select("text", "crate", "item_id", _score().alias("score"), whole.alias("parts"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

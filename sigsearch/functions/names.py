@@ -23,10 +23,9 @@ def letters(name: str | Column) -> Column:
     One edit adds at most one class and removes at most one, so the number of classes present on one
     side only is a lower bound of the edit distance.
     """
-    return F.expr(
-        "aggregate(array_distinct(split(lower({0}), '')), 0L,"
-        " (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))".format(name)
-    )
+    chars = F.array_distinct(F.split(F.lower(name), ""))
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))))
 
 
 def may_be_near(

@@ -22,7 +22,7 @@ PRIMITIVES = (
     "f32", "f64", "char", "bool", "str",
 )
 
-HEAD = r"^(?:fn(?![A-Za-z0-9_]))?\s*([A-Za-z_][A-Za-z0-9_]*)?"
+HEAD = r"^\s*(?:fn(?![A-Za-z0-9_]))?\s*([A-Za-z_][A-Za-z0-9_]*)?"
 TOKEN = (
     r"(?s)->\s*\(\)|->|\.\.|\*mut|\*const|&mut|[A-Za-z_][A-Za-z0-9_]*|\s+|."
 )

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sigsearch.operators.joins import fits, settle, split_hot_keys
 
 
+BUCKETS = 64  # folders of the functions table, by the hash of the package
+
+
 def list_scopes(scopes: DataFrame) -> DataFrame:
     return scopes.select("scope").distinct()
 
@@ -24,13 +27,26 @@ def scope_problems(queries: DataFrame, scopes: DataFrame, crates: DataFrame) ->
         "query_id", "scope", none.alias("crate"), F.lit("unknown scope").alias("problem")
     )
     missing = scopes.join(crates.select("crate").distinct(), "crate", "left_anti")
-    lost = asked.join(missing, "scope").select("query_id", "scope", "crate", F.lit("unknown crate").alias("problem"))
+    # A log has few scopes, each many times: the problems are found per scope and sent to the log where they fit.
+    lacking = missing.join(asked.filter(good).select("scope").distinct(), "scope", "left_semi")
+    lost = (asked.join(F.broadcast(lacking), "scope") if fits(lacking) else split_hot_keys(asked, lacking, ["scope"], "query_id")).select(
+        "query_id", "scope", "crate", F.lit("unknown crate").alias("problem"))
     return misspelt.unionByName(unknown).unionByName(lost)
 
 
+def check_scopes(queries: DataFrame, scopes: DataFrame, crates: DataFrame) -> None:
+    """Raise for a query whose scope is misspelt, unknown or names a package that is not there."""
+    first = scope_problems(queries, scopes, crates).orderBy("query_id", "crate").first()
+    if first is not None:
+        raise ValueError(f"query {first.query_id}: {first.problem} {first.crate or first.scope}")
+
+
 def in_scope(fns: DataFrame, scopes: DataFrame, asked: DataFrame) -> DataFrame:
     """Functions once per asked scope that contains their package."""
     used = settle(scopes.join(asked.select("scope").distinct(), "scope", "left_semi").distinct())
+    if "bucket" in fns.columns:  # at most as many numbers as there are folders
+        wanted = [r.b for r in used.select(F.pmod(F.hash("crate"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
+        fns = fns.filter(F.col("bucket").isin(wanted)).drop("bucket")
     if fits(used):
         return fns.join(F.broadcast(used), "crate")
     return split_hot_keys(fns, used, ["crate"], "item_id")

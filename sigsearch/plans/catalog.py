@@ -9,24 +9,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsearch.functions import links
-from sigsearch.functions.names import letters
+from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators.flatten import NODE_TYPE, flatten_signature
 from sigsearch.operators.joins import fits, settle, shared_folder, split_hot_keys, tasks_for
+from sigsearch.operators.scope import BUCKETS
 
 FN_KEY = ["crate", "item_id", "impl_id"]
 ID_IN_TEXT = r'"id":"((?:[^"\\]|\\.)*)"'
 ID_SQL = ID_IN_TEXT.replace("\\", "\\\\")
-MAX_CHAIN = 100  # an alias chain longer than this is reported as an error, not cut
 
 
+FN_SCHEMA = (
+    "crate string, item_id string, impl_id string, kind string, name string, docs string, arg_names array<string>, sig_id binary,"
+    " base_path array<string>, page string, reason string, path_id string, bucket int"
+)
 SIG_SCHEMA = f"sig_id binary, nodes array<{NODE_TYPE}>, alias_depth int, has_alias boolean"
 
 
+def bucket(crate: str) -> Column:
+    """The folder a package's functions are in."""
+    return F.pmod(F.hash(crate), F.lit(BUCKETS))
+
+
 @dataclass
 class Catalog:
     """Written tables.
 
-    ``fns`` (crate, item_id, impl_id, kind, name, docs, arg_names, sig_id, base_path, page),
+    ``fns`` (crate, item_id, impl_id, kind, name, docs, arg_names, sig_id, base_path, page, bucket),
     ``sigs`` (sig_id, nodes, has_alias, alias_depth), ``names`` (name, letters),
     ``quarantine`` (crate, item_id, impl_id, reason, missing_id).
     """
@@ -116,16 +125,12 @@ def alias_reach(items: DataFrame) -> DataFrame | None:
     if not edges.isEmpty():
         step = edges.select("crate", F.col("id").alias("dep_id"), F.col("dep_id").alias("next_id"))
         frontier = edges
-        for _ in range(MAX_CHAIN):
+        while not frontier.isEmpty():  # ends by itself: pairs reached once are not reached again
             reach = settle(reach.unionByName(frontier).distinct())
             frontier = settle(
                 frontier.join(step, ["crate", "dep_id"]).select("crate", "id", F.col("next_id").alias("dep_id"))
                 .distinct().join(reach, ["crate", "id", "dep_id"], "left_anti")
             )
-            if frontier.isEmpty():
-                break
-        else:
-            raise ValueError(f"alias definitions are chained more than {MAX_CHAIN} deep")
     return reach.join(defs.select("crate", F.col("id").alias("dep_id"), "text"), ["crate", "dep_id"])
 
 
@@ -137,6 +142,7 @@ def with_declaration(fns: DataFrame) -> DataFrame:
         .withColumns({
             "_inputs": F.coalesce(F.col("_d.inputs"), F.expr("cast(array() AS array<array<string>>)")),
             "_output": F.col("_d.output"),
+            "declared": F.col("_d").isNotNull(),
         })
         .withColumns({
             "arg_names": F.expr("transform(_inputs, p -> p[0])"),
@@ -209,6 +215,7 @@ def flatten_distinct(fns: DataFrame) -> DataFrame:
 # Why a function cannot be listed as a hit; NULL for all others.
 _BROKEN = """CASE
   WHEN name IS NULL THEN 'unnamed'
+  WHEN NOT declared THEN 'no declaration'
   WHEN flaw IS NOT NULL THEN flaw
   WHEN base_path IS NULL AND path_id IS NOT NULL THEN 'no path'
   WHEN base_path IS NULL THEN 'receiver without a page'
@@ -246,14 +253,14 @@ def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = No
     known = spellings.select("raw_id", "sig_id", F.expr(_FLAW).alias("flaw"))
     own = fns.drop(*RAW)
     named = own.join(F.broadcast(known), "raw_id") if fits(known) else split_hot_keys(own, known, ["raw_id"], "item_id")
-    # Ranges of (crate, item) keep packages together for file skipping and cut a huge package up.
-    named.withColumn("reason", F.expr(_BROKEN)).select(
-        *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "reason", "path_id"
-    ).repartitionByRange(tasks_for(spark, fns.count()), "crate", "item_id").sortWithinPartitions(
-        "crate", "item_id"
-    ).write.parquet(f"{directory}/functions")
-
-    functions = spark.read.parquet(f"{directory}/functions")
+    # A folder per bucket of packages, so that a search reads those of its scope; ranges cut a huge package up.
+    order = ["bucket", "crate", "item_id"]
+    named.withColumn("reason", F.expr(_BROKEN)).withColumn("bucket", bucket("crate")).select(
+        *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "reason", "path_id", "bucket"
+    ).repartitionByRange(tasks_for(spark, fns.count()), *order).sortWithinPartitions(*order).write.partitionBy(
+        "bucket").parquet(f"{directory}/functions")
+
+    functions = spark.read.schema(FN_SCHEMA).parquet(f"{directory}/functions")
     broken = functions.filter(F.col("reason").isNotNull()).select(
         *FN_KEY, "reason", F.when(F.col("reason") == "no path", F.col("path_id")).alias("missing_id")
     )
@@ -263,7 +270,7 @@ def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = No
                     F.lit("no member").alias("reason"), F.col("id").alias("missing_id"))
     ).write.parquet(f"{directory}/quarantine")
     functions.filter(F.col("reason").isNull()).select("name").distinct().withColumn(
-        "letters", letters("name")
+        "letters", letters(last_segment("name"))
     ).write.parquet(f"{directory}/names")
     return read_catalog(spark, directory)
 
@@ -273,7 +280,7 @@ def read_catalog(spark: SparkSession, directory: str) -> Catalog:
     sigs = spark.read.schema(SIG_SCHEMA).parquet(f"{directory}/sigs")
     depth = sigs.filter("has_alias").agg(F.max("alias_depth")).first()[0] or 0
     return Catalog(
-        fns=spark.read.parquet(f"{directory}/functions").filter(F.col("reason").isNull()).drop("reason", "path_id"),
+        fns=spark.read.schema(FN_SCHEMA).parquet(f"{directory}/functions").filter(F.col("reason").isNull()).drop("reason", "path_id"),
         sigs=sigs,
         names=spark.read.parquet(f"{directory}/names"),
         quarantine=spark.read.parquet(f"{directory}/quarantine"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigsearch.functions import links
-from sigsearch.functions.names import letters, may_be_near, name_distance
+from sigsearch.functions.names import last_segment, letters, may_be_near, name_distance
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
 from sigsearch.operators.joins import BROADCAST_BYTES, fits, pieces, settle, split_hot_keys, tasks_for
@@ -32,6 +32,7 @@ ASK = ["text_id", "scope"]
 
 TEXTS_PER_TASK = 10_000
 TEXT_ID = "unhex(md5(text))"
+ITEM = "substring_index(name, '::', -1)"  # what of a function's name is compared
 
 
 def prepare(asks: DataFrame) -> DataFrame:
@@ -152,22 +153,24 @@ def near_names(texts: DataFrame, names: DataFrame, threshold: float, prefilter:
         top = F.lit(longest) if same < 1e-3 else F.expr(
             f"least(cast(floor(char_length(q_name) / {same!r}D) AS int) + 1, {longest})")
         lengths = F.array_append(F.when(low <= top, F.sequence(low, top)).otherwise(F.expr("cast(array() AS array<int>)")), F.lit(-1))
-        key = F.expr("IF(char_length(name) = octet_length(name), char_length(name), -1)")
+        key = F.expr(f"IF(char_length({ITEM}) = octet_length({ITEM}), char_length({ITEM}), -1)")
     asked = asked.withColumn("len", F.explode(lengths))
-    pairs = names.withColumn("len", key).join(F.broadcast(asked), "len")
+    if not fits(asked):  # listed under many lengths: the names move as well
+        pairs = split_hot_keys(names.withColumn("len", key), asked, ["len"], "name")
+    else:
+        pairs = names.withColumn("len", key).join(F.broadcast(asked), "len")
     if prefilter:
-        pairs = pairs.filter(may_be_near("q_name", "name", "q_letters", "letters", threshold))
-    return pairs.withColumn("d", name_distance("q_name", "name")).filter(
+        pairs = pairs.filter(may_be_near("q_name", ITEM, "q_letters", "letters", threshold))
+    return pairs.withColumn("d", name_distance("q_name", last_segment("name"))).filter(
         f"cast(d AS float) < cast({threshold!r} AS float)"
     ).select("text_id", "name", "d")
 
 
 def _name_parts(pairs: DataFrame) -> DataFrame:
     """Add the components of the function's name and of its arguments' names to ``s`` and ``c``."""
-    item = "substring_index({0}, '::', -1)"
     dist = "levenshtein({0}, {1}) / greatest(octet_length({0}), octet_length({1}))"
-    own = dist.format("q_name", item.format("name"))
-    arg = dist.format("a.arg_name", item.format("arg_names[a.slot]"))
+    own = dist.format("q_name", ITEM)
+    arg = dist.format("a.arg_name", "substring_index(arg_names[a.slot], '::', -1)")
     return pairs.withColumn("_a", F.expr("filter(q_args, a -> a.slot < size(arg_names))")).withColumn(
         "s", F.expr(f"""s + coalesce({own}, 0D) + aggregate(_a, 0D, (n, a) -> n + {arg})""")
     ).withColumn("c", F.expr("c + IF(q_name IS NULL, 0, 1) + size(_a)"))
@@ -239,11 +242,15 @@ def search(
 ) -> DataFrame:
     """Hits of every distinct (text, scope): text, scope, rank, score, name, path, link, docs and keys.
 
-    ``queries`` has query_id, text and scope; ``answers`` joins the hits back to it.
+    ``queries`` has query_id, text and scope; ``answers`` joins the hits back to it.  Without ``k`` all hits come, in no
+    order and with no rank.
     """
     asked = look_at(queries)
     found = candidates(asked, catalog, scopes, threshold, k, prefilter)
-    best = first_per(found, ASK, ["score", *TIE_BREAK], k, rank="rank")
+    if k is None:  # no ranks: they would bring all hits of a query into one task
+        best = found.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        best = first_per(found, ASK, ["score", *TIE_BREAK], k, rank="rank")
     return with_details(best, catalog, asked)
 
 

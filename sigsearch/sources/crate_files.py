@@ -37,7 +37,8 @@ def _whole_files(spark: SparkSession, path: str, key: str) -> DataFrame:
 def file_entries(spark: SparkSession, directory: str) -> DataFrame:
     """(crate, source, id, text) of ``<directory>/crate``, every file decoded once.
 
-    ``source`` is 'item' or 'path' for the members of a good file, and 'good' or 'bad' for the file.
+    ``source`` is 'item' or 'path' for the members of a good file, and 'good' or 'bad' for the file; the text of a
+    bad one is the reason: 'no JSON' (or nested too deeply for the reader), 'no index or paths', or 'unknown layout' if a member of the index has no kind.
     """
     files = _whole_files(spark, f"{directory}/crate", "crate").withColumn(
         "j", F.from_json("value", FILE_SCHEMA, JSON_OPTIONS)
@@ -46,8 +47,10 @@ def file_entries(spark: SparkSession, directory: str) -> DataFrame:
     none = "cast(NULL AS string)"
     # The outer form keeps Spark from adding a filter that would decode the file once more.
     return files.selectExpr("crate", f"""inline_outer(
-        CASE WHEN j IS NULL OR j._bad IS NOT NULL OR j.index IS NULL OR j.paths IS NULL
-          THEN array({entry.format('bad', none, none)})
+        CASE WHEN j IS NULL OR j._bad IS NOT NULL THEN array({entry.format('bad', none, "'no JSON'")})
+          WHEN j.index IS NULL OR j.paths IS NULL THEN array({entry.format('bad', none, "'no index or paths'")})
+          WHEN exists(map_values(j.index), t -> get_json_object(t, '$.kind') IS NULL)
+            THEN array({entry.format('bad', none, "'unknown layout'")})
         ELSE concat(array({entry.format('good', none, none)}),
           transform(map_entries(j.index), e -> {entry.format('item', 'e.key', 'e.value')}),
           transform(map_entries(j.paths), e -> {entry.format('path', 'e.key', 'e.value')})) END)""")
@@ -57,7 +60,7 @@ def stage(entries: DataFrame, directory: str | None = None) -> dict[str, DataFra
     """Write the entries a search needs, split by kind, and return them as tables.
 
     ``items`` (crate, id, kind, name, docs, inner), ``paths`` (crate, id, path, kind), ``bad_files``
-    (crate) and ``crates`` (crate).  Rows are spread over all tasks on the way, since one file may hold
+    (crate, reason) and ``crates`` (crate).  Rows are spread over all tasks on the way, since one file may hold
     a large part of them.
     """
     spark = entries.sparkSession
@@ -67,7 +70,8 @@ def stage(entries: DataFrame, directory: str | None = None) -> dict[str, DataFra
     kept |= F.col("source").isin("good", "bad")
     (
         entries.withColumn("e", F.from_json("text", ENTRY_SCHEMA))
-        .select("source", "crate", "id", F.coalesce("e.kind", F.lit("-")).alias("kind"), "e.name", "e.docs", "e.inner", "e.path")
+        .select("source", "crate", "id", F.coalesce("e.kind", F.lit("-")).alias("kind"), "e.name",
+                F.when(F.col("source") == "bad", F.col("text")).otherwise(F.col("e.docs")).alias("docs"), "e.inner", "e.path")
         .filter(kept)
         .repartition("crate", "id")
         .write.partitionBy("source", "kind").parquet(directory)
@@ -77,30 +81,54 @@ def stage(entries: DataFrame, directory: str | None = None) -> dict[str, DataFra
     return {
         "items": items.select("crate", "id", "kind", "name", "docs", "inner"),
         "paths": paths.select("crate", "id", "path", "kind"),
-        "bad_files": bad.select("crate"),
+        "bad_files": bad.select("crate", F.col("docs").alias("reason")),
         "crates": good.select("crate").unionByName(bad.select("crate")),
     }
 
 
-def read_crate_files(spark: SparkSession, directory: str, staged: str | None = None) -> dict[str, DataFrame]:
-    """The tables of ``stage`` for ``<directory>/crate``."""
-    return stage(file_entries(spark, directory), staged)
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of the files that Spark's readers pass over because of how their names begin."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [s.getPath().getName() for s in found if s.isFile()]
+    skipped = [(n,) for n in names if n[0] in "._" and not n.endswith(".crc")]
+    return spark.createDataFrame(skipped, "file string").select(F.regexp_replace("file", r"(?<=.)\.[^.]*$", "").alias("name"))
 
 
-def read_sets(spark: SparkSession, directory: str) -> DataFrame:
-    """(set, crate) rows of ``<directory>/set``; no rows if there is no such directory.
+def read_crate_files(spark: SparkSession, directory: str, staged: str | None = None) -> dict[str, DataFrame]:
+    """The tables of ``stage`` for ``<directory>/crate``; files that the reader passes over are bad ones too."""
+    tables = stage(file_entries(spark, directory), staged)
+    skipped = skipped_files(spark, f"{directory}/crate").select(F.col("name").alias("crate"))
+    return tables | {
+        "bad_files": tables["bad_files"].unionByName(skipped.withColumn("reason", F.lit("skipped by its name"))),
+        "crates": tables["crates"].unionByName(skipped),
+    }
 
-    A set file that is no list of texts is left out.
-    """
+
+def _set_files(spark: SparkSession, directory: str) -> DataFrame:
+    """(set, crates) of ``<directory>/set``; crates is NULL for a file that is no list of texts."""
     try:
         files = _whole_files(spark, f"{directory}/set", "set")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "set string, crate string")
-    return files.select(
-        "set", F.explode(F.from_json("value", "array<string>")).alias("crate")
-    ).filter(F.col("crate").isNotNull())
+        return spark.createDataFrame([], "set string, crates array<string>")
+    return files.select("set", F.from_json("value", "array<string>").alias("crates"))
+
+
+def read_sets(spark: SparkSession, directory: str) -> DataFrame:
+    """(set, crate) rows of ``<directory>/set``; no rows if there is no such directory.
+
+    A set file that is no list of texts has no rows here; ``bad_sets`` names it.
+    """
+    return _set_files(spark, directory).select("set", F.explode("crates").alias("crate")).filter(F.col("crate").isNotNull())
+
+
+def bad_sets(spark: SparkSession, directory: str) -> DataFrame:
+    """(set, reason) of the set files that cannot be used, or only in part."""
+    reason = F.when(F.col("crates").isNull(), "no list of names").when(F.exists("crates", lambda c: c.isNull()), "a name is null")
+    return _set_files(spark, directory).select("set", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def make_scopes(sets: DataFrame, crates: DataFrame) -> DataFrame:

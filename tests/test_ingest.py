@@ -4,9 +4,9 @@ import pytest
 from conftest import alias, arr, document, fn, gen, impl, path, prim, ptr, ref, sli, tup, write_index
 from pyspark.sql import functions as F
 
-from sigsearch.operators.scope import scope_problems
+from sigsearch.operators.scope import check_scopes, in_scope, scope_problems
 from sigsearch.plans import search as se
-from sigsearch.sources.crate_files import read_crate_files, read_sets
+from sigsearch.sources.crate_files import bad_sets, read_crate_files, read_sets
 
 I32 = prim("i32")
 
@@ -26,6 +26,33 @@ def test_files_sets_and_scopes(load):
     }
 
 
+def test_nothing_is_lost_in_silence(load, spark, tmp_path):
+    bare = fn("b", "bare", [])
+    del bare["inner"]["decl"]
+    present = {"index": {"0": {"id": 0, "name": "f", "inner": {"function": {"sig": {"inputs": [], "output": None}}}}}, "paths": {}}
+    tables, catalog, _ = load(
+        {"pkg": document([bare, fn("a", "whole", [])]), "present": json.dumps(present), "_under": document([]), "half": '{"index": {}}', "cut": "{"},
+        {"good": ["pkg"], "text": "3", "hole": '["pkg", null]'},
+    )
+    assert {(r.crate, r.reason) for r in tables["bad_files"].collect()} == {
+        ("present", "unknown layout"), ("_under", "skipped by its name"), ("half", "no index or paths"), ("cut", "no JSON")}
+    assert {(r.item_id, r.reason) for r in catalog.quarantine.collect()} == {("b", "no declaration")}
+    assert [r.name for r in catalog.fns.collect()] == ["whole"]
+    assert {(r.set, r.reason) for r in bad_sets(spark, str(tmp_path)).collect()} == {("text", "no list of names"), ("hole", "a name is null")}
+
+
+def test_scopes_are_pruned_and_checked(load, asks):
+    tables, catalog, scopes = load({f"p{i}": document([fn(f"f{i}", "go", [I32])]) for i in range(12)}, {"two": ["p1", "p2"], "lost": ["nowhere"]})
+    asked = asks("(i32)", scope="set:two")
+    plan = in_scope(catalog.fns, scopes, asked)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert {r.crate for r in se.search(asked, catalog, scopes, k=None).collect()} == {"p1", "p2"}
+    check_scopes(asked, scopes, tables["crates"])
+    for wrong in ("set:none", "set:lost", "p1"):
+        with pytest.raises(ValueError):
+            check_scopes(asks("(i32)", scope=wrong), scopes, tables["crates"])
+
+
 def test_scope_problems(load, spark):
     tables, _, scopes = load({"pkg": document([])}, {"lost": ["pkg", "nowhere"]})
     asked = spark.createDataFrame(

@@ -9,6 +9,8 @@ ACCEPTED = {
     "()  ": (None, True, 0, "unit", ""),
     "(..)": (None, True, None, "unit", ""),
     "fn foo": ("foo", False, None, None, ""),
+    " fn go(i32)": ("go", True, 1, "unit", ""),
+    "\tgo": ("go", False, None, None, ""),
     "foo": ("foo", False, None, None, ""),
     "fn f(i32) -> bool": ("f", True, 1, "type", ""),
     "fn(i32) -> bool": (None, True, 1, "type", ""),
@@ -23,7 +25,7 @@ ACCEPTED = {
     "() -> &": (None, True, 0, None, " -> &"),
 }
 REJECTED = [
-    "", "(i32 , u8)", "(_x: i32)", "(&'a str)", "([u8; 4])", "(std::String)", "( )", "(i32,)", "((i32,))", "([])",
+    "", "  ", "(i32 , u8)", "(_x: i32)", "(&'a str)", "([u8; 4])", "(std::String)", "( )", "(i32,)", "((i32,))", "([])",
     "(Vec<T)", "(T1)", "(A_B)", "(Vec<T>u8)", "(.. )", "(i32", "-> i32", "(i32 x)", "(x : i32)", "(*u8)", "(Vec<T u>)",
 ]
 
