@@ -23,7 +23,8 @@ MARK = "▁"  # stands for a space
 UNKNOWN_PENALTY = 10.0  # an uncovered character costs this much more than the worst piece
 SIDE_BY_SIDE = 64  # bytes up to which units are solved together
 REMEMBERED = 300_000  # units; the memory is emptied when full
-BATCH_BYTES = 8 << 20  # text whose units are looked up at once
+SOLVED_AT_ONCE = 8_000  # units
+BATCH_BYTES = 2 << 20  # text whose units are looked up at once
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ class Vocabulary:
     unknown_score: float
     split: str
     sounds: list[bytes]  # what each id decodes to
-    memory: dict[str, list[int]] = field(default_factory=dict, compare=False)
+    memory: dict[str, bytes] = field(default_factory=dict, compare=False)  # ids as little-endian 32-bit numbers
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -239,31 +240,31 @@ def _ids(unit: bytes, path: list[tuple[int, int, int]], v: Vocabulary) -> list[i
     return ids
 
 
-def encode_texts(texts: list[str], v: Vocabulary) -> Iterator[list[int]]:
+def encode_texts(texts: list[str], v: Vocabulary) -> list[list[int]]:
     """Ids of whole texts: a marker in front, spaces as markers; an empty text has none."""
+    return [np.frombuffer(ids, "<i4").tolist() for ids in _encode(texts, v)]
+
+
+def _encode(texts: list[str], v: Vocabulary) -> list[bytes]:
     cut = re.compile(v.split)
     parts = [cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
     if len(v.memory) > REMEMBERED:
         v.memory.clear()
     new = {u for p in parts for u in p if u not in v.memory}
-    long: dict[str, list[int]] = {}
+    long: dict[str, bytes] = {}
     coded = {u: u.encode("utf-8", "replace") for u in new}
     order = sorted((u for u in new if len(coded[u]) <= SIDE_BY_SIDE), key=lambda u: len(coded[u]))
-    for at in range(0, len(order), 20_000):
-        group = order[at:at + 20_000]
-        v.memory.update(zip(group, _solve([coded[u] for u in group], v), strict=True))
+    for at in range(0, len(order), SOLVED_AT_ONCE):
+        group = order[at:at + SOLVED_AT_ONCE]
+        v.memory.update(zip(group, (np.array(x, "<i4").tobytes() for x in _solve([coded[u] for u in group], v)), strict=True))
     for u in new:
         if len(coded[u]) > SIDE_BY_SIDE:
-            long[u] = _solve_long(coded[u], v)
+            long[u] = np.array(_solve_long(coded[u], v), "<i4").tobytes()
     v.memory.update(long)
-    known = v.memory
-    for p in parts:
-        ids: list[int] = []
-        for u in p:
-            ids += known[u]
-        yield ids
+    found = [b"".join(map(v.memory.__getitem__, p)) for p in parts]
     for u in long:
         del v.memory[u]
+    return found
 
 
 def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
@@ -301,7 +302,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             at = 0
             for texts in _batches(b.column(1)):
                 if texts:
-                    ids = pa.array(list(encode_texts(texts, v)), pa.list_(pa.int32()))
+                    found = _encode(texts, v)
+                    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), "<i4")))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), ids], ["doc_id", "ids"])
                     at += len(texts)
 
