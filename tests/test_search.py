@@ -35,7 +35,8 @@ def rows(hits, *cols):
 def test_limits_agree_with_all_hits(many, asks, spark):
     _, catalog, scopes = many
     queries = asks(*TEXTS, scope="set:both").unionByName(asks(*TEXTS, scope="crate:six"))
-    every = rows(se.search(queries, catalog, scopes, k=None), "rank")
+    every = rows(se.search(queries, catalog, scopes, k=100_000), "rank")
+    assert rows(se.search(queries, catalog, scopes, k=None)) == sorted(r[:-1] for r in every)
     for k in (1, 7):
         assert rows(se.search(queries, catalog, scopes, k=k), "rank") == [r for r in every if r[-1] <= k]
     assert {r[2] for r in every if r[1] == "set:both"} == {"pkg", "two"}
