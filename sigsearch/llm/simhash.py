@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from sigsearch.llm.common import ready, without, written
 from sigsearch.llm.components import components
+from sigsearch.operators.joins import tasks_for
 
 SEED = 42
 CHUNK = 1 << 20  # bytes of text whose shingles are in memory at once
+POINTS_PER_TASK = 20_000  # fingerprints that one task replicates
 # --- fixed values: the binary Golay code -------------------------------------------------------------
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 LENGTH, RADIUS = 23, 3
@@ -239,8 +241,10 @@ def links(points: DataFrame, threshold: int = 3) -> DataFrame:
             at = homes(fps.view(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fps)], ["anchor", "fp"])
 
+    # a fingerprint is a few bytes in its file and some three hundred rows here: deal them out by number
+    dealt = points.select("fp").repartition(tasks_for(points.sparkSession, points.count(), POINTS_PER_TASK))
     home = points.select("fp").mapInArrow(live, "anchor int, fp long")
-    visits = points.select("fp").mapInArrow(visit, "anchor int, visitor long")
+    visits = dealt.mapInArrow(visit, "anchor int, visitor long")
     near = (F.col("fp") < F.col("visitor")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("visitor"))) <= threshold)
     met = home.hint("shuffle_hash").join(visits.withColumnRenamed("anchor", "at"), (F.col("anchor") == F.col("at")) & near)
     return met.select(F.col("fp").alias("a"), F.col("visitor").alias("b"))
