@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigsearch.llm.common import ready, task_id, written
+from sigsearch.llm.common import bounded_sample, ready, task_id, written
 
 CURVES, DIRECTIONS, BITS = 16, 12, 9
 SAMPLE_ROWS = 4_000  # rows that centre and spread of the directions are measured on
@@ -192,7 +192,7 @@ def _scan(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> Da
 
 def measure_window(rows: DataFrame, asked: DataFrame, placed: DataFrame, k: int, recall: float = RECALL) -> int:
     """Rank distance within which ``recall`` of a sample's true neighbours lie on at least one curve."""
-    sample = [(r.vec_id, r.vector) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()]
+    sample = [(r.vec_id, r.vector) for r in bounded_sample(asked, SAMPLE_QUERIES, "vec_id").collect()]
     if not sample:
         return 0
     true = F.broadcast(_scan(rows, sample, k))  # SAMPLE_QUERIES times k rows at most
@@ -248,7 +248,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, rec
     empty = "query_id long, rank int, vec_id long, score double"
     if not total or asked.isEmpty():
         return spark.createDataFrame([], empty)
-    sample = np.array([r.vector for r in base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()])
+    sample = np.array([r.vector for r in bounded_sample(base, SAMPLE_ROWS, "vec_id").collect()])
     fitted = fit_curves(sample, math.sqrt(longest), curves)
     tasks = max(spark.sparkContext.defaultParallelism, curves * total // 200_000)
     placed = written(ranks(_keyed(base, fitted, False).unionByName(_keyed(asked, fitted, True)), tasks), "placed")

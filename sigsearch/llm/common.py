@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sigsearch.operators.joins import shared_folder
 
 ROOT = str(Path(__file__).resolve().parents[2])
-BROADCAST_ROWS = 1_000_000  # narrow rows up to which a counted side is broadcast
+BROADCAST_ROWS = 400_000  # narrow rows up to which a counted side is broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,6 +46,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows, chosen by the hash of ``key``.
+
+    The table is thinned to about twice as many first, so that what the tasks send on does not grow with their number.
+    """
+    h = F.xxhash64(*key)
+    share = max(1, df.count() // (2 * rows))
+    return df.where(F.pmod(h, F.lit(share)) == 0).orderBy(h, *key).limit(rows)
+
+
 def task_id() -> int:
     return TaskContext.get().partitionId()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigsearch.llm.common import ready
+from sigsearch.llm.common import bounded_sample, ready
 
 NEGATIVE_ROWS = 2_000  # documents whose paragraphs teach what is no licence, at most; chosen by the hash of their id
 NEGATIVES_EACH = 3  # paragraphs of each
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, rows: int = NEGATIVE_ROWS) -> Classifier:
     Paragraphs that speak of a licence or copyright at all are no such examples.
     """
     ready(docs.sparkSession)
-    chosen = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where("text is not null").orderBy("h").limit(rows)
+    chosen = bounded_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null"), rows, "doc_id")
     parts = F.filter(F.split("text", "\n"), lambda p: ~F.lower(p).rlike("licen|copyright|public|permi|free soft") & (F.length(p) > 0))
     return train([p for r in chosen.select(F.slice(parts, 1, NEGATIVES_EACH).alias("p")).collect() for p in r.p])
 
