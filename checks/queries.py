@@ -276,7 +276,8 @@ def pair_scores(spark, sf_dir):
 def alias_choice(spark, sf_dir):
     """Which reading of an aliased argument or result was taken: 0 as written, 1 and up expanded."""
     texts, sigs = _rows(spark, sf_dir, True)
-    chosen = se.component_rows(texts, sigs, 1).filter("size(alts) > 0")
+    depth = max(prepared(spark, sf_dir)[1].alias_depth, 1)
+    chosen = se.component_rows(texts, sigs, depth).filter("size(alts) > 0")
     chosen = chosen.groupBy(*al.PAIR, "slot").agg(
         F.max(F.col("alts")[0]["b"]).alias("reading"), F.round(F.sum("s"), 6).alias("s"), F.sum("c").alias("c")
     ).join(F.broadcast(texts.select("text_id", "text")), "text_id")
@@ -289,8 +290,7 @@ def component_list(spark, sf_dir):
     texts = se.prepare(_texts(spark))
     hits = settle(se.search(_texts(spark), catalog, scopes))
     used = catalog.sigs.join(F.broadcast(hits.select("sig_id").distinct()), "sig_id", "left_semi")
-    pairs = F.broadcast(hits.select(*al.PAIR).distinct())  # thirty for each of fifteen texts at most
-    rows = se.component_rows(texts, used, max(catalog.alias_depth, 1)).join(pairs, al.PAIR, "left_semi")
+    rows = se.component_rows(texts, used, max(catalog.alias_depth, 1), only=hits.select(*al.PAIR).distinct())
     # One list per hit; its length is that of the signature.
     lists = rows.groupBy(*al.PAIR).agg(F.sort_array(F.collect_list(F.struct(
         "slot", "ord", "path", F.round("s", 6).alias("s"), "c"))).alias("parts"))

@@ -114,10 +114,15 @@ def signature_scores(
 
 
 def component_rows(
-    texts: DataFrame, sigs: DataFrame, alias_depth: int, threshold: float = NO_LIMIT
+    texts: DataFrame, sigs: DataFrame, alias_depth: int, threshold: float = NO_LIMIT, only: DataFrame | None = None
 ) -> DataFrame:
-    """Aligned rows of each pair with bindings and readings settled: the score taken apart."""
+    """Aligned rows of each pair with bindings and readings settled: the score taken apart.
+
+    ``only`` holds the pairs (text_id, sig_id) that are wanted, if not all are.
+    """
     rows = al.align_aliased(al.item_side(sigs), al.query_side(texts), threshold)
+    if only is not None:
+        rows = rows.join(F.broadcast(only) if fits(only) else only, al.PAIR, "left_semi")
     return sc.choose_readings(sc.bound_rows(rows, ["slot", "ord"]), alias_depth)
 
 
