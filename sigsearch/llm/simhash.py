@@ -106,8 +106,8 @@ def hash_slices(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def fingerprint_many(texts: list[bytes], size: int = 3) -> np.ndarray:
-    """Fingerprints of a few megabytes of texts at once; equals ``fingerprint`` on each."""
+def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of a few megabytes of texts, text by text, and how many each text has."""
     data = b"\n".join(texts).lower() + b"\n"
     raw = np.frombuffer(data, np.uint8)
     space = (raw == 32) | (raw >= 9) & (raw <= 13)
@@ -123,12 +123,20 @@ def fingerprint_many(texts: list[bytes], size: int = 3) -> np.ndarray:
     first = np.cumsum(words) - words
     number = np.where(words >= size, words - size + 1, np.minimum(words, 1))
     has = np.flatnonzero(number)
-    fps = np.zeros(len(texts), np.uint64)
     if not len(has):
-        return fps
+        return np.empty(0, np.uint64), number
     head = np.repeat(first[has] - np.cumsum(number[has]) + number[has], number[has]) + np.arange(number.sum())
     tail = head + np.repeat(np.minimum(words[has], size) - 1, number[has])
-    hashes = hash_slices(flat.tobytes(), starts[head], ends[tail])
+    return hash_slices(flat.tobytes(), starts[head], ends[tail]), number
+
+
+def fingerprint_many(texts: list[bytes], size: int = 3) -> np.ndarray:
+    """Fingerprints of a few megabytes of texts at once; equals ``fingerprint`` on each."""
+    hashes, number = shingle_hashes(texts, size)
+    has = np.flatnonzero(number)
+    fps = np.zeros(len(texts), np.uint64)
+    if not len(has):
+        return fps
     at = np.cumsum(number[has]) - number[has]
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * np.add.reduceat(bits, at, axis=0, dtype=np.int32) > number[has][:, None]
