@@ -23,20 +23,26 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (ids of the calls it uses); ``results``:
     conv_id, call_id, turn, content.  ``status`` is ``linked``, ``unanswered`` or ``stray``.  Of several results
     of a call the first by (turn, content) counts; of several calls with one id the first by (turn, name,
-    arguments) does.  Null conversations or ids link to nothing but give rows.
+    arguments) does.  Rows with a null conversation or id link to nothing, and each of
+    them gives a row.
     """
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     # the rows that count are found by an aggregate, which is partial before the exchange: no sorted groups
-    first_call = calls.groupBy(*KEY).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select(
+    first_call = calls.where(named).groupBy(*KEY).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select(
         *KEY, F.lit(True).alias("_called"), "c.*")
-    first_result = results.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r")).select(
+    first_result = results.where(named).groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r")).select(
         F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.lit(True).alias("_answered"),
         F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"))
     on = (F.col("conv_id") == F.col("_conv")) & (F.col("call_id") == F.col("_call"))
     both = first_call.join(first_result.hint("shuffle_hash"), on, "full_outer")
     status = F.when(F.col("_called") & F.col("_answered"), "linked").when(F.col("_called"), "unanswered").otherwise("stray")
-    return both.select(
+    met = both.select(
         F.coalesce("conv_id", "_conv").alias("conv_id"), F.coalesce("call_id", "_call").alias("call_id"), "turn", "name",
         "arguments", "after", "result_turn", "content", status.alias("status"))
+    # a null names nothing: each row without a whole key stands for itself
+    loose = calls.where(~named).select(*KEY, "turn", "name", "arguments", "after", F.lit("unanswered").alias("status"))
+    strays = results.where(~named).select(*KEY, F.col("turn").alias("result_turn"), "content", F.lit("stray").alias("status"))
+    return met.unionByName(loose.unionByName(strays, allowMissingColumns=True), allowMissingColumns=True)
 
 
 def levels(calls: DataFrame) -> DataFrame:

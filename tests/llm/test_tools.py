@@ -56,6 +56,16 @@ def test_calls_are_linked_checked_and_canonical(spark):
     assert json.loads(found[1, "c", 5].line)["arguments"] == "no json"
 
 
+def test_rows_with_null_keys_each_give_a_row(spark):
+    keys = [(1, None), (1, None), (1, None), (None, "a"), (None, "a"), (None, None), (None, None)]
+    calls = [(*k, n // 2, "search", "{}", None, 0) for n, k in enumerate(keys)] + [(1, "a", 1, "search", "{}", None, 0)]
+    results = [(*k, n // 2, "text") for n, k in enumerate(keys)] + [(1, "a", 2, "text")]
+    rows = tools.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS)).collect()
+    found = sorted(((r.conv_id, r.call_id, r.turn, r.result_turn, r.status) for r in rows), key=str)
+    want = [(*k, n // 2, None, "unanswered") for n, k in enumerate(keys)] + [(*k, None, n // 2, "stray") for n, k in enumerate(keys)]
+    assert found == sorted([*want, (1, "a", 1, 2, "linked")], key=str)
+
+
 def test_empty_tables(spark):
     empty = tools.format_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), spark.createDataFrame([], SCHEMA))
     assert empty.collect() == []
