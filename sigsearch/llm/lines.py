@@ -1,9 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line of some length overlap.  Every later holder of a shared line is paired with the first
-holder alone, the rarest line first in the pair's record, so a line that thousands share gives thousands of pairs,
-not millions.  The lines of a pair are aligned by patience diff, and common blocks that hold enough words are deleted from
-the later document.  The first copy of a line is never deleted: its document is aligned with earlier ones only.
+Documents that share a run of lines with enough words to be deleted overlap.  Runs are the shortest ones that begin or
+end at a line, so that every line of a longer common block lies in a run inside the block.  Every later holder of a run
+is paired with its first holder, so a run that thousands share gives thousands of pairs, not millions.  The lines of a
+pair are aligned by patience diff, and common blocks that hold enough words are deleted from the later document.  Runs
+that the alignment leaves, since the documents order them differently, meet their next holders, until they are deleted
+or all earlier holders were tried: what is deleted is what aligning all pairs of documents would delete.  The first
+copy of a line is never deleted: its document is aligned with earlier ones only.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sigsearch.llm.common import fresh, ready, small, written
 
-ANCHOR_WORDS = 5  # words of a line that may bring two documents together
 BLOCK_WORDS = 10  # words of a common block that is deleted
+MIX = 0x9E3779B185EBCA87  # odd, so that it has an inverse modulo 2^64
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,22 +101,44 @@ def _sheets(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>")
 
 
-def overlaps(sheets: DataFrame, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """(later, earlier, rarest): each document with the first holders of its shared lines, and how many documents
-    hold the rarest line that brings them together."""
-    kept = F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] >= anchor_words)
-    lines = sheets.select("doc_id", F.explode(F.array_distinct(F.transform(kept, lambda x: x["hashes"]))).alias("line"))
-    holders = lines.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    holders = written(holders, "shared-lines")
-    pairs = lines.join(holders, "line").where("doc_id > earlier")
-    return pairs.groupBy(F.col("doc_id").alias("later"), "earlier").agg(F.min("held").alias("rarest"))
+def runs(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the shortest runs of lines with at least ``least`` words from each line on and up to each line."""
+    n = len(hashes)
+    words = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    start = np.arange(n)
+    end = np.searchsorted(words, words[:n] + least, "left")
+    back = np.searchsorted(words, words[1:] - least, "right") - 1
+    begin = np.concatenate((start[end <= n], back[back >= 0]))
+    end = np.concatenate((end[end <= n], start[back >= 0] + 1))
+    begin, end = np.unique(np.stack((begin, end)), axis=1)
+    power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, MIX, np.uint64))))
+    inverse = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(MIX, -1, 1 << 64), np.uint64))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power[:n])))
+    value = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+    return value.view(np.int64), begin, end
+
+
+def _held(sheets: DataFrame, least: int) -> DataFrame:
+    """(doc_id, run, start, until): the runs of every document; ``until`` is behind the last line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, h, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                value, begin, end = runs(h.values.to_numpy(), s.values.to_numpy(), least)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(value), doc, np.int64)), pa.array(value), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
+                    ["doc_id", "run", "start", "until"])
+
+    return sheets.select("doc_id", "hashes", "sizes").mapInArrow(run, "doc_id long, run long, start int, until int")
 
 
-def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, gone): positions of the lines to delete, ascending, for documents that have any."""
     ready(docs.sparkSession)
     sheets = written(_sheets(docs), "sheets")
-    pairs = overlaps(sheets, anchor_words)
+    held = _held(sheets, block_words)
+    first = held.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last")
+    first = written(first.select("run", "earlier"), "shared-runs")
+    held = written(held.join(first, "run"), "held")
     ours = sheets.select(F.col("doc_id").alias("later"), F.col("hashes").alias("a"), "sizes")
     theirs = sheets.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("b"))
 
@@ -121,12 +147,24 @@ def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_word
             gone = [common_blocks(a.tolist(), s.tolist(), b.tolist(), block_words) for a, s, b in zip(f["a"], f["sizes"], f["b"], strict=True)]
             yield pd.DataFrame({"doc_id": f["later"], "gone": gone})[[bool(g) for g in gone]]
 
-    both = pairs.join(ours, "later").join(theirs, "earlier").select("later", "a", "sizes", "b")
-    cut = both.mapInPandas(align, "doc_id long, gone array<int>")
-    return cut.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def deduplicate_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    todo = held.where("doc_id > earlier")
+    cuts = []
+    while not todo.isEmpty():
+        pairs = todo.select(F.col("doc_id").alias("later"), "earlier").distinct()
+        both = pairs.join(ours, "later").join(theirs, "earlier").select("later", "a", "sizes", "b")
+        cuts.append(written(both.mapInPandas(align, "doc_id long, gone array<int>"), "cut"))
+        cut = reduce(DataFrame.unionByName, cuts).groupBy("doc_id").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+        # runs that still stand meet the next document that holds them
+        whole = F.size(F.array_intersect("gone", F.sequence("start", F.col("until") - 1))) == F.col("until") - F.col("start")
+        left = todo.join(cut, "doc_id", "left").where(~F.coalesce(whole, F.lit(False))).drop("gone")
+        others = held.select(F.col("run").alias("its_run"), F.col("doc_id").alias("other")).distinct()
+        met = left.join(others, (F.col("run") == F.col("its_run")) & (F.col("other") > F.col("earlier")) & (F.col("other") < F.col("doc_id")))
+        todo = written(met.groupBy("doc_id", "run", "start", "until").agg(F.min("other").alias("earlier")), "standing")
+    return cut if cuts else docs.sparkSession.createDataFrame([], "doc_id long, gone array<int>")
+
+
+def deduplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its repeated blocks, and ``lines_removed``; other columns as they are.
 
     Nulls stay null.  Rows with a null doc_id are left as they are; a column ``lines_removed`` of ``docs`` is
@@ -134,7 +172,7 @@ def deduplicate_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_w
     them.  Line ends are ``\\n``; an empty table gives no rows.
     """
     key, gone = fresh(docs, "key"), fresh(docs, "gone")
-    found = written(repeated_lines(docs, anchor_words, block_words), "repeated")
+    found = written(repeated_lines(docs, block_words), "repeated")
     found = small(found.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)))
     rows = docs.join(found, F.col("doc_id") == F.col(key), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))

@@ -57,5 +57,41 @@ def test_documents_equal_brute_force(spark):
     assert found[93] == ("", len(rows[3][1].split("\n")))
 
 
+def all_pairs(rows, block=10):
+    """Every document aligned with every earlier one."""
+    docs = {d: [x.strip() for x in t.split("\n")] for d, t in rows}
+    gone = {d: set() for d in docs}
+    for d, a in docs.items():
+        for e in (e for e in docs if e < d):
+            names = {x: n for n, x in enumerate({*a, *docs[e]})}
+            gone[d] |= set(lines.common_blocks([names[x] for x in a], [len(x.split()) for x in a], [names[x] for x in docs[e]], block))
+    return {d: len(g) for d, g in gone.items()}
+
+
+def test_documents_equal_all_pairs(spark):
+    rng = random.Random(22)
+    pool = [[" ".join(f"p{p}l{i}w{k}" for k in range(rng.randint(0, 7))) for i in range(rng.randint(2, 6))] for p in range(12)]
+    rows = []
+    for d in range(70):
+        text = []
+        for _ in range(rng.randint(1, 5)):
+            part = rng.choice(pool)
+            a = rng.randrange(len(part))
+            text += part if rng.random() < 0.6 else part[a:a + 2]
+            if rng.random() < 0.5:
+                text.append(f"only here {d}")
+        rows.append((d, "\n".join(text)))
+    found = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.lines_removed for r in found} == all_pairs(rows)
+
+
+def test_blocks_of_middle_documents(spark):
+    one, two = "one a b c d", "two e f g h"
+    rows = [(1, f"{one}\nalone 1"), (2, f"{two}\nalone 2"), (3, f"x 3\n{one}\n{two}\ny 3"), (4, f"x 4\n{one}\n{two}\ny 4")]
+    rows += [(8, "\n".join(["x 8", "m " * 10, "y 8", "n " * 10])), (9, "\n".join(["n " * 10, "y 9", "m " * 10]))]
+    found = {r.doc_id: r.lines_removed for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == all_pairs(rows) and found[4] == 2
+
+
 def test_empty_table(nothing):
     assert lines.deduplicate_lines(nothing).collect() == []
