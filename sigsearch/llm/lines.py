@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from sigsearch.llm.common import fresh, ready, small, written
 
 BLOCK_WORDS = 10  # words of a common block that is deleted
+FULL_TABLE = 1 << 26  # bits of an alignment table; larger ones are cut in two first
 MIX = 0x9E3779B185EBCA87  # odd, so that it has an inverse modulo 2^64
 
 
@@ -46,8 +47,62 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of ``a`` a bit row over ``b``: bit j is clear where the common subsequence grows at b[j]."""
+    where: dict[int, int] = {}
+    for j, h in enumerate(b):
+        where[h] = where.get(h, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for h in a:
+        hit = row & where.get(h, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, in memory that does not grow with the product of the lengths."""
+    common = set(a) & set(b)
+    at_a, at_b = [k for k, h in enumerate(a) if h in common], [k for k, h in enumerate(b) if h in common]
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(at_a), 0, len(at_b))]
+    while todo:
+        i, end_a, j, end_b = todo.pop()
+        if i == end_a or j == end_b:
+            continue
+        x, y = [a[k] for k in at_a[i:end_a]], [b[k] for k in at_b[j:end_b]]
+        if len(x) > 1 and len(x) * len(y) > FULL_TABLE:
+            half = len(x) // 2
+            cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+            todo += [(i, i + half, j, j + cut), (i + half, end_a, j + cut, end_b)]
+            continue
+        rows = [(1 << len(y)) - 1, *_rows(x, y)]
+        p, q = len(x), len(y)
+        while p and q:
+            if x[p - 1] == y[q - 1]:
+                p, q = p - 1, q - 1
+                out.append((at_a[i + p], at_b[j + q]))
+            elif rows[p] >> q - 1 & 1:  # y[q - 1] adds nothing
+                q -= 1
+            else:
+                p -= 1
+    return out
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of two lists of line hashes: equal ends, then lines unique in both, then what lies between."""
+    """Aligned positions of two lists of line hashes: equal ends, then lines unique in both, then what lies between.
+
+    Where no line is unique in both, a longest common subsequence is taken.
+    """
     matched: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -67,6 +122,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             edges = [(i - 1, j - 1), *anchors, (end_a, end_b)]
             matched += anchors
             todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:], strict=False)]
+        else:
+            matched += [(i + p, j + q) for p, q in subsequence(a[i:end_a], b[j:end_b])]
     return sorted(matched)
 
 

@@ -85,12 +85,29 @@ def test_documents_equal_all_pairs(spark):
     assert {r.doc_id: r.lines_removed for r in found} == all_pairs(rows)
 
 
-def test_blocks_of_middle_documents(spark):
+def test_blocks_of_middle_documents_short_lines_and_repeats(spark):
     one, two = "one a b c d", "two e f g h"
-    rows = [(1, f"{one}\nalone 1"), (2, f"{two}\nalone 2"), (3, f"x 3\n{one}\n{two}\ny 3"), (4, f"x 4\n{one}\n{two}\ny 4")]
-    rows += [(8, "\n".join(["x 8", "m " * 10, "y 8", "n " * 10])), (9, "\n".join(["n " * 10, "y 9", "m " * 10]))]
+    verse = ["v1 v2 v3", "w1 w2 w3", "x1 x2 x3", "y1 y2 y3"]
+    rows = [(1, f"{one}\nalone 1"), (2, f"{two}\nalone 2"), (3, f"x 3\n{one}\n{two}\ny 3"), (4, f"x 4\n{one}\n{two}\ny 4"),
+            (5, "\n".join(["x 5", *verse, "y 5"])), (6, "\n".join(["x 6", *verse, "y 6", *verse, "z 6"]))]
+    rows += [(7, "\n".join(["x 7", *verse, *verse, "z 7"])), (8, "\n".join(["x 8", "m " * 10, "y 8", "n " * 10])), (9, "\n".join(["n " * 10, "y 9", "m " * 10]))]
     found = {r.doc_id: r.lines_removed for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == all_pairs(rows) and found[4] == 2
+    assert found == all_pairs(rows) and (found[4], found[6], found[7]) == (2, 4, 8)
+
+
+@given(st.lists(st.integers(0, 3), max_size=20), st.lists(st.integers(0, 3), max_size=20))
+def test_subsequences_are_longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    full, lines.FULL_TABLE = lines.FULL_TABLE, 30
+    try:
+        pairs = sorted(lines.subsequence(a, b))
+    finally:
+        lines.FULL_TABLE = full
+    assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
 def test_empty_table(nothing):
