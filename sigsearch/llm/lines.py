@@ -20,13 +20,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigsearch.llm.common import fresh, ready, small, written
 
 BLOCK_WORDS = 10  # words of a common block that is deleted
 FULL_TABLE = 1 << 26  # bits of an alignment table; larger ones are cut in two first
+MORE = 8  # further holders in the first round behind the first holders; so many times more in each next one
 MIX = 0x9E3779B185EBCA87  # odd, so that it has an inverse modulo 2^64
 
 
@@ -204,21 +205,34 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
             gone = [common_blocks(a.tolist(), s.tolist(), b.tolist(), block_words) for a, s, b in zip(f["a"], f["sizes"], f["b"], strict=True)]
             yield pd.DataFrame({"doc_id": f["later"], "gone": gone})[[bool(g) for g in gone]]
 
-    todo = held.where("doc_id > earlier")
-    cuts = []
-    while not todo.isEmpty():
-        pairs = todo.select(F.col("doc_id").alias("later"), "earlier").distinct()
+    def cut_by(pairs: DataFrame) -> DataFrame:
         both = pairs.join(ours, "later").join(theirs, "earlier").select("later", "a", "sizes", "b")
         cuts.append(written(both.mapInPandas(align, "doc_id long, gone array<int>"), "cut"))
-        cut = reduce(DataFrame.unionByName, cuts).groupBy("doc_id").agg(
+        return reduce(DataFrame.unionByName, cuts).groupBy("doc_id").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-        # runs that still stand meet the next document that holds them
+
+    def standing(todo: DataFrame, cut: DataFrame) -> DataFrame:
         whole = F.size(F.array_intersect("gone", F.sequence("start", F.col("until") - 1))) == F.col("until") - F.col("start")
-        left = todo.join(cut, "doc_id", "left").where(~F.coalesce(whole, F.lit(False))).drop("gone")
-        others = held.select(F.col("run").alias("its_run"), F.col("doc_id").alias("other")).distinct()
-        met = left.join(others, (F.col("run") == F.col("its_run")) & (F.col("other") > F.col("earlier")) & (F.col("other") < F.col("doc_id")))
-        todo = written(met.groupBy("doc_id", "run", "start", "until").agg(F.min("other").alias("earlier")), "standing")
-    return cut if cuts else docs.sparkSession.createDataFrame([], "doc_id long, gone array<int>")
+        return written(todo.join(cut, "doc_id", "left").where(~F.coalesce(whole, F.lit(False))).drop("gone"), "standing")
+
+    cuts: list[DataFrame] = []
+    todo = held.where("doc_id > earlier")
+    cut = cut_by(todo.select(F.col("doc_id").alias("later"), "earlier").distinct())
+    todo = standing(todo, cut)
+    # runs that still stand meet the next documents that hold them, more in each round
+    rest = held.select("run", "doc_id").distinct().join(todo.select("run").distinct(), "run", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("run").orderBy("doc_id"))
+    holders = written(rest.withColumn("nth", nth), "holders")
+    todo = todo.join(holders, ["run", "doc_id"]).where("nth > 2")
+    tried, more = 1, MORE
+    while not todo.isEmpty():
+        span = F.sequence(F.lit(tried + 1), F.least(F.lit(tried + more), F.col("nth") - 1))
+        asked = todo.select(F.col("doc_id").alias("later"), "run", F.explode(span).alias("nth")).distinct()
+        found = asked.join(holders.withColumnRenamed("doc_id", "earlier"), ["run", "nth"])
+        cut = cut_by(found.select("later", "earlier").distinct())
+        tried, more = tried + more, more * MORE
+        todo = standing(todo.where(F.col("nth") > tried + 1), cut)
+    return cut
 
 
 def deduplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
