@@ -163,11 +163,29 @@ def ranks(keyed: DataFrame, tasks: int) -> DataFrame:
     return placed.join(base, ["curve", "part"]).select("vec_id", "query", "curve", (F.col("base") + F.col("nth")).alias("rank"))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest in each row (all, if fewer), in no order."""
+def _best(scores: np.ndarray, k: int, ids: np.ndarray | None = None, left: np.ndarray | None = None,
+          right: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the k largest in each row (all, if fewer), in no order.
+
+    With ids and vectors, scores within rounding of the k-th are summed anew in the order of the components, and equal
+    ones go by the smaller id.
+    """
     if scores.shape[1] <= k:
         return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    if ids is None:
+        return best
+    border = np.take_along_axis(scores, best, 1).min(axis=1)
+    length = np.sqrt((left * left).sum(axis=1)) * np.sqrt((right * right).sum(axis=1).max())
+    margin = 4 * left.shape[1] * np.finfo(float).eps * length
+    for r in np.flatnonzero((scores >= (border - margin)[:, None]).sum(axis=1) > k).tolist():
+        sure = np.flatnonzero(scores[r] > border[r] + margin[r])
+        near = np.flatnonzero(np.abs(scores[r] - border[r]) <= margin[r])
+        exact = np.zeros(len(near))
+        for c in range(left.shape[1]):
+            exact += left[r, c] * right[near, c]
+        best[r] = np.concatenate((sure, near[np.lexsort((ids[near], -exact))]))[:k]
+    return best
 
 
 def _scan(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -210,12 +228,13 @@ def _product(k: int):
     def run(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        base = np.stack(block["vector"].to_numpy())
+        base, ids = np.stack(block["vector"].to_numpy()), block["vec_id"].to_numpy()
         out = []
         for at in range(0, len(asked), 512):
             part = asked.iloc[at:at + 512]
-            scores = np.stack(part["q"].to_numpy()) @ base.T
-            best = _best(scores, k)
+            left = np.stack(part["q"].to_numpy())
+            scores = left @ base.T
+            best = _best(scores, k, ids, left, base)
             out.append(pd.DataFrame({
                 "query_id": np.repeat(part["query_id"].to_numpy(), best.shape[1]),
                 "vec_id": block["vec_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))

@@ -57,3 +57,17 @@ def test_few_rows_give_all_of_them(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     found = sorted(map(tuple, ann.nearest(frame, lambda v: v == 0, k=20).collect()))
     assert [(q, r, v) for q, r, v, _ in found] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_ties_at_the_border_go_by_id():
+    import pandas as pd
+
+    rng = np.random.default_rng(31)
+    base = rng.integers(0, 2, (400, 12)).astype(float)
+    ids = rng.permutation(400)
+    asked = rng.integers(0, 2, (20, 12)).astype(float)
+    block = pd.DataFrame({"vec_id": ids, "vector": list(base)})
+    found = ann._product(25)(block, pd.DataFrame({"query_id": range(20), "q": list(asked)}))
+    for n, q in enumerate(asked):
+        want = ids[np.lexsort((ids, -(base @ q)))[:25]]
+        assert set(found[found["query_id"] == n]["vec_id"]) == set(want)
