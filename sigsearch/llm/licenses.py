@@ -176,10 +176,47 @@ def fit(docs: DataFrame, rows: int = NEGATIVE_ROWS) -> Classifier:
     return train([p for r in chosen.select(F.slice(parts, 1, NEGATIVES_EACH).alias("p")).collect() for p in r.p])
 
 
+def _starts(c: Classifier) -> dict[tuple[str, ...], set[tuple[int, int]]]:
+    """Where in a template of which length each of its three-word runs lies."""
+    out: dict[tuple[str, ...], set[tuple[int, int]]] = {}
+    for t in (t for ts in c.templates.values() for t in ts):
+        for k in range(len(t) - 2):
+            out.setdefault(tuple(t[k:k + 3]), set()).add((k, len(t)))
+    return out
+
+
+def wrapped(c: Classifier, starts: dict, lines: list[list[str]], first: int, hits: list[dict]) -> list[dict]:
+    """Hits of a paragraph's lines, the first of them numbered ``first``, with those of windows over its words.
+
+    A window is as long as a template and lies where three words of it stand; a similarity of 0.8 needs such a run.
+    The words about it, half as many on each side, count for the similarity.  A window that overlaps a hit of its
+    family counts only if it is confirmed and the hit is not; it takes the hit's place.
+    """
+    words = [w for ws in lines for w in ws]
+    at = [n for n, ws in enumerate(lines, first) for _ in ws]
+    spots = {(max(0, p - k), n) for p in range(len(words) - 2) if words[p] in c.words for k, n in starts.get(tuple(words[p:p + 3]), ())}
+    found = []
+    for s, n in spots:
+        prob = c.probabilities(words[s:s + n])
+        best = int(prob.argmax())
+        if best and prob[best] >= PROBABILITY:
+            like = c.similarity(words[max(0, s - n // 2):s + n + n // 2], FAMILIES[best])
+            where = [x for x in range(s, min(s + n, len(words))) if words[x] in c.words]
+            found.append((like, float(prob[best]), -where[0], at[where[0]], at[where[-1]], FAMILIES[best]))
+    taken = [(h["paragraph"], h["paragraph"], h) for h in hits]
+    for like, prob, _, low, high, family in sorted(found, reverse=True):
+        met = [x for x in taken if x[2]["family"] == family and x[0] <= high and low <= x[1]]
+        if not met or like >= SIMILARITY and not any(x[2]["confirmed"] for x in met):
+            taken = [x for x in taken if x not in met]
+            taken.append((low, high, {"paragraph": low, "family": family, "probability": prob, "similarity": like, "confirmed": like >= SIMILARITY}))
+    return sorted((x[2] for x in taken), key=lambda h: (h["paragraph"], h["family"]))
+
+
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(doc_id, paragraphs, found): found lists (paragraph, family, probability, similarity, confirmed).
 
-    Paragraphs are the text's lines.  Listed are those whose likeliest family is not ``unknown``, with its calibrated
+    Paragraphs are numbered by lines: each line is judged, and then windows over neighbouring lines that are not blank,
+    so that wrapped notices and notices inside long lines are found; these are listed at their first line.  Listed are those whose likeliest family is not ``unknown``, with its calibrated
     probability; those below PROBABILITY are unknown too.  Confirmed means SIMILARITY or more of a template's
     n-grams.  A null or empty text has none; every row gives a row; other columns are not read.
     """
@@ -192,6 +229,7 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
         kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()),
                                    ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
         blank: dict[int, bool] = {}
+        starts = _starts(c)
         for b in batches:
             counts, found = [], []
             for t in b.column(1):
@@ -199,8 +237,8 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 lines = text.split("\n") if text else []
                 counts.append(len(lines))
                 hits = []
-                for n, line in enumerate(lines):
-                    words = tokens(line)
+                told = [tokens(line) for line in lines]
+                for n, words in enumerate(told):
                     known = sum(w in c.words for w in words)
                     # without two words of the notices the features are bias and share alone, or nearly so
                     if known < 2 and not blank.setdefault(known, int(c.probabilities(["zz"] * 5).argmax()) != 0):
@@ -211,7 +249,15 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
                         like = c.similarity(words, FAMILIES[best])
                         hits.append({"paragraph": n, "family": FAMILIES[best], "probability": float(p[best]),
                                      "similarity": like, "confirmed": like >= SIMILARITY})
-                found.append(hits)
+                full, n = [], 0
+                while n < len(lines):
+                    end = n
+                    while end < len(lines) and lines[end].strip():
+                        end += 1
+                    if end > n:
+                        full += wrapped(c, starts, told[n:end], n, [h for h in hits if n <= h["paragraph"] < end])
+                    n = end + 1
+                found.append(full)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(found, kind)], ["doc_id", "paragraphs", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -53,3 +53,14 @@ def test_whole_documents(spark, corpus, nothing, prose, classifier):
     assert by_id[None].paragraphs in (0, 1) and not by_id[None].found
     assert licenses.scan(nothing, classifier).collect() == []
     assert licenses.fit(nothing).temperature > 0
+
+
+def test_wrapped_notices_and_notices_in_long_lines(spark, prose, classifier):
+    import textwrap
+
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(n, prose[n] + "\n" + textwrap.fill(t, 30) + "\n" + prose[n + 50]) for n, (_, t) in enumerate(notices)]
+    rows += [(100 + n, " ".join(prose[:40]) + " " + t + " " + " ".join(prose[40:80])) for n, (_, t) in enumerate(notices)]
+    got = {r.doc_id: {f.family for f in r.found if f.confirmed} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), classifier).collect()}
+    missed = [(n, f) for n, (f, _) in enumerate(notices) for k in (0, 100) if f not in got[n + k]]
+    assert not missed
