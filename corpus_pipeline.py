@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigsearch.llm import exact, packing, quality, similar
+from sigsearch.llm import exact, packing, quality, simhash
 from sigsearch.llm.common import table, written
 from sigsearch.llm.queries import tokenizer_file
 
@@ -24,8 +24,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with 0.8 or more of their five-word shingles in common, the row with the smallest doc_id."""
-    return similar.deduplicate(docs)
+    """Of each group of fingerprints (three-word shingles) linked at 3 or fewer differing bits, the row with the smallest doc_id."""
+    return simhash.deduplicate(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
