@@ -12,77 +12,17 @@ import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from sigsearch.llm.common import ready, task_id, written
+from sigsearch.llm.subwords import encoder, with_end
 
 CAPACITY = 2048
-CACHED_WORDS, CACHED_BYTES = 250_000, 64
-TAIL = b".,!?;:%$#&*"  # marks that are split from a letter or digit in front, and end no special token
-
-
-def _ends_in_letter(word: bytes) -> bool:
-    if word[-1:].isalnum():
-        return True
-    return word.decode("utf-8", "replace")[-1].lower()[-1].isalpha()  # lower case may end in a mark
-
-
-class Words(dict[bytes, bytes]):
-    """Ids of words as little-endian 32-bit numbers, looked up or encoded.
-
-    Short words are remembered as they stand, and in ``cores`` without case and marks behind; either memory is
-    emptied when full.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-        self.cores: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(TAIL)
-        if core and len(core) < len(word) and _ends_in_letter(core):
-            ids = self.core(core) + self.core(word[len(core):])
-        else:
-            ids = self.core(word)
-        if len(word) <= CACHED_BYTES:
-            self[word] = ids
-        return ids
-
-    def core(self, word: bytes) -> bytes:
-        if word.isascii() and b"<|" not in word:
-            word = word.lower()  # as the tokenizer does, once it has looked for special tokens
-        ids = self.cores.get(word)
-        if ids is None:
-            coded = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids = np.array(coded, "<u4").tobytes()
-            if len(word) <= CACHED_BYTES:
-                self.cores[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        """Ids of a whole text, without special tokens.
-
-        The tokenizer drops white space and merges nothing across it, so words between ASCII white space are
-        encoded one by one.
-        """
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        if len(self.cores) > CACHED_WORDS:
-            self.cores.clear()
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-@lru_cache(maxsize=2)
-def _words(path: str) -> Words:
-    return Words(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -98,18 +38,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
-        task, end, wide = task_id(), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        task = task_id()
         for b in batches:
             rows = []
-            words = _words(tokenizer)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                ids = words.ids(text.as_py() or b"") + end
-                for k, at in enumerate(range(0, len(ids), wide)):
-                    part = ids[at:at + wide]
-                    length = len(part) // 4
-                    row = doc, k, at // 4, length, zlib.crc32(part), task, seen[length]
+            ids, edges = with_end(*encoder(tokenizer).encode(b.column(1)), end_id) if b.num_rows else (None, np.zeros(1, int))
+            for doc, first, end in zip(b.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for k, at in enumerate(range(first, end, capacity)):
+                    part = ids[at:min(at + capacity, end)]
+                    length = len(part)
+                    row = doc, k, at - first, length, zlib.crc32(part), task, seen[length]
                     seen[length] += 1
-                    rows.append((*row, np.frombuffer(part, "<i4")) if keep_ids else row)
+                    rows.append((*row, part.astype(np.int32)) if keep_ids else row)
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -1,8 +1,9 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from sigsearch.llm import exact, packing, quality, simhash
+from sigsearch.llm import exact, quality, simhash
 from sigsearch.llm.queries import tokenizer_file
+from sigsearch.llm.subwords import encoder
 
 DIR = "/root/testdata/sf0.001"
 
@@ -27,8 +28,21 @@ def test_stages_take_effect_in_order(spark):
     stay = set(group.values())
     got = corpus_pipeline.run(spark, DIR)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == stay
-    ids = {d: [*packing._words(tokenizer_file("word_bpe_49k.json")).encode(texts[d], add_special_tokens=False).ids, 0] for d in stay}
+    ids = {d: [*encoder(tokenizer_file("word_bpe_49k.json")).tokenizer.encode(texts[d], add_special_tokens=False).ids, 0] for d in stay}
     assert got.agg(F.sum("length")).first()[0] == sum(map(len, ids.values()))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "best-fit packing"]
     middle = exact.deduplicate(docs)
     assert middle.schema == docs.schema
+
+
+def test_stages_on_awkward_rows(spark, corpus, nothing):
+    frame, rows = corpus
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, DIR)
+        assert out.schema == frame.schema, name
+        left = [(r.doc_id, r.text) for r in out.collect()]
+        assert 0 < len(left) <= len(rows) and all(r in rows for r in left), name
+        assert stage(spark, nothing, DIR).collect() == [], name
+    packed = corpus_pipeline.packed(spark, frame, DIR).collect()
+    assert {r.doc_id for r in packed} == {d for d, _ in rows}
+    assert corpus_pipeline.packed(spark, nothing, DIR).collect() == []
