@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigsearch.llm import ann, exact, licenses, lines, packing, pieces, quality, simhash, tools, warc
+from sigsearch.llm import (
+    ann, exact, huffman, licenses, lines, negatives, packing, periods, pieces, quality, simhash, tools, warc,
+)
 from sigsearch.llm.common import table
 
 
@@ -74,6 +76,22 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mine(negatives.usable(vectors.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.described(periods.find_runs(periods.with_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = huffman.write_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return huffman.read_files(files).select(
+        "doc_id", "start", F.expr("cast(octet_length(ids) div 4 AS bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_calls": op1_tool_calls,
     "op2_simhash": op2_simhash,
@@ -85,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_repeated_lines": op9_repeated_lines,
     "op10_neighbours": op10_neighbours,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periods": op12_periods,
+    "op13_token_files": op13_token_files,
 }
 ORACLE: dict[str, str] = {
     "op1_tool_calls": """
@@ -183,5 +204,25 @@ with t as (
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(plain) as text_sha256
 from t window w as (partition by plain)
+""",
+    "op11_hard_negatives": """
+with fine as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from fine a join fine b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+met as (
+  select p.anchor_id, p.positive_id, n.vec_id as negative_id, p.positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as rank
+  from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same
+    and 30 * p.positive_score <= 100 * n.score and 100 * n.score <= 90 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from met where rank <= 10
 """,
 }
