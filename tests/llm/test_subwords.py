@@ -10,7 +10,8 @@ from sigsearch.llm.queries import tokenizer_file
 from sigsearch.llm.subwords import Encoder, encoder, with_end
 
 PARTS = [" ", "  ", "\n", "\t ", " ", " ", "　", "\x1c", "\x85", "a", "Foo", "it's", "don't ", "123", "é", "́", "“q”", "...", "<|endoftext|>",
-         " <|endoftext|> ", "日本", "😀", "_", "'s", "\r\n", "\x0b", "x" * 90]
+         " <|endoftext|> ", "日本", "😀", "_", "'s", "\r\n", "\x0b", "x" * 90,
+         "<|EndOfText|>", "<|startoftext|>", "|", "<", ">", "Ab", "İ", "Σ", "a.Σ", "'", "ll", "***", "9", "ﬁ", "≠", "<|"]
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
