@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-KNOWN_CHUNKS, KNOWN_BYTES = 700_000, 64  # chunks remembered, and how long one of them may be
+KNOWN_CHUNKS, KNOWN_BYTES = 250_000, 64  # chunks remembered, and how long one of them may be
 ENCODED_AT_ONCE = 4_096
 
 
