@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-KNOWN_CHUNKS, KNOWN_BYTES = 250_000, 64  # chunks remembered, and how long one of them may be
+KNOWN_CHUNKS, KNOWN_BYTES = 150_000, 64  # chunks of each of two generations that are remembered, and how long one may be
 ENCODED_AT_ONCE = 4_096
 
 
@@ -80,6 +80,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.loose = self._ids("Ab \n\x0b Cd") == self._ids("ab cd")  # neither case nor white space counts
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes that a token stands for, or 1 if it ends a word
@@ -122,11 +123,18 @@ class Encoder:
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) > KNOWN_CHUNKS:
-            known.clear()
+        if len(self.known) > KNOWN_CHUNKS:  # what was not met since the last time is forgotten
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         found = [known.get(c) for c in chunks]
-        new = [n for n, ids in enumerate(found) if ids is None]
+        new = []
+        for n, ids in enumerate(found):
+            if ids is None:
+                ids = older.get(chunks[n])
+                if ids is None:
+                    new.append(n)
+                else:
+                    found[n] = known[chunks[n]] = ids
         plain = [self._plain(chunks[n]) for n in new]
         for encode, numbers in ((self._together, [n for n, p in zip(new, plain) if p]), (self._alone, [n for n, p in zip(new, plain) if not p])):
             for at in range(0, len(numbers), ENCODED_AT_ONCE):
