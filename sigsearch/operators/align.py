@@ -53,31 +53,37 @@ def query_side(texts: DataFrame) -> DataFrame:
     """Node rows of parsed texts.
 
     ``q_args``, ``q_cores`` and ``q_steps`` describe the whole text: arguments (NULL = any), how many
-    components it can have besides those of surplus arguments and pointers, and its pointers.
+    components it can have besides those of surplus arguments and pointers, and its pointers; ``limit`` is the
+    text's own threshold where it has one.
     """
+    limit = F.col("limit") if "limit" in texts.columns else F.lit(NO_LIMIT)
     whole = texts.select(
-        "text_id", F.col("sig.n_args").alias("q_args"),
+        "text_id", limit.alias("limit"), F.col("sig.n_args").alias("q_args"),
         F.expr("""size(filter(sig.nodes, n -> n.kind <> 'arity')) + size(filter(sig.args, a -> a.arg_name IS NOT NULL))
                   + IF(sig.name IS NULL, 0, 1)""").alias("q_cores"),
         F.expr("aggregate(sig.nodes, 0, (k, n) -> k + size(n.refs))").alias("q_steps"),
         F.explode("sig.nodes").alias("n"),
     )
     return whole.select(
-        "text_id", "q_args", "q_cores", "q_steps", *[F.col(f"n.{c}").alias(c) for c in POSITION],
+        "text_id", "limit", "q_args", "q_cores", "q_steps", *[F.col(f"n.{c}").alias(c) for c in POSITION],
         F.col("n.refs").alias("q_refs"), F.col("n.chain").alias("q_chain"), F.col("n.kind").alias("q_kind"),
         F.col("n.name").alias("q_name"), F.col("n.n_children").alias("q_n"), F.col("n.canon").alias("q_canon"),
     )
 
 
 def item_side(sigs: DataFrame) -> DataFrame:
-    """Node rows of signatures; ``seq`` numbers them in visiting order."""
+    """Node rows of signatures; ``seq`` numbers them in visiting order.
+
+    With a column ``text_id`` the rows are those of the signature for that text only.
+    """
+    key = ["sig_id", *[c for c in ("text_id",) if c in sigs.columns]]
     whole = sigs.select(
-        "sig_id", F.expr("nodes[0].n_children").alias("i_args"),
+        *key, F.expr("nodes[0].n_children").alias("i_args"),
         F.expr("aggregate(nodes, 0, (k, n) -> k + size(n.refs))").alias("i_steps"),
         F.posexplode("nodes").alias("seq", "n"),
     )
     return whole.select(
-        "sig_id", "i_args", "i_steps", "seq", *[F.col(f"n.{c}").alias(c) for c in POSITION],
+        *key, "i_args", "i_steps", "seq", *[F.col(f"n.{c}").alias(c) for c in POSITION],
         F.col("n.ord").alias("ord"), F.col("n.refs").alias("i_refs"), F.col("n.hops").alias("i_hops"),
         F.col("n.kind").alias("i_kind"), F.col("n.name").alias("i_name"), F.col("n.n_children").alias("i_n"),
     )
@@ -90,13 +96,13 @@ def _meet(i_nodes: DataFrame, q_nodes: DataFrame, threshold: float) -> DataFrame
     quarter or nothing, whichever is better; a pair that is not below the threshold even so is left
     out inside the join.
     """
-    met = i_nodes.join(F.broadcast(q_nodes), POSITION)
+    met = i_nodes.join(F.broadcast(q_nodes), [*POSITION, *[c for c in ("text_id",) if c in i_nodes.columns]])
     if threshold >= NO_LIMIT:
         return met
     surplus = "abs(q_args - i_args)"
     best = f"least({surplus} / ({surplus} + q_cores), ({surplus} + {NEAR}D * (q_steps + i_steps)) / ({surplus} + q_cores + q_steps + i_steps))"
     # The margin keeps rounding on the safe side.
-    return met.filter(F.expr(f"coalesce({surplus}, 0) = 0 OR {best} < {threshold!r}D + 1e-6D"))
+    return met.filter(F.expr(f"coalesce({surplus}, 0) = 0 OR {best} < least({threshold!r}D, limit) + 1e-6D"))
 
 
 def _scored(rows: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def align(i_nodes: DataFrame, q_nodes: DataFrame, threshold: float = NO_LIMIT) -
     """Rows of signatures without aliases."""
     met = _meet(i_nodes, q_nodes, threshold)
     return _scored(met.withColumn("f", F.expr(peel("q_refs", "i_refs")))).select(
-        *PAIR, "slot", "path", "seq", "s", "c", "generic", "canon"
+        *PAIR, "slot", "path", "seq", "s", "c", "generic", "canon", "q_refs", "i_refs", F.col("f.rest").alias("rest"), F.col("f.k").alias("k"),
     )
 
 
@@ -154,6 +160,7 @@ def align_aliased(i_nodes: DataFrame, q_nodes: DataFrame, threshold: float = NO_
     rows = met.withColumn("r", F.explode_outer(F.expr(f"IF(i_hops IS NULL, {plain}, {_OWN})")))
     rows = rows.withColumn("f", F.expr(f"cast(named_struct('rest', r.rest, 'k', r.k) AS {REST_TYPE})"))
     return _scored(rows).select(
-        *PAIR, "slot", "path", F.col("r.ord").alias("ord"), "s", "c", "generic", "canon",
+        *PAIR, "slot", "path", F.col("r.ord").alias("ord"), "s", "c", "generic", "canon", "q_refs", "i_refs",
+        F.col("f.rest").alias("rest"), F.col("f.k").alias("k"),
         F.coalesce(F.col("r.br"), F.expr("cast(array() AS array<struct<alt:string,b:int>>)")).alias("alts"),
     )

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsearch.functions import links
 from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators.flatten import NODE_TYPE, flatten_signature
+from sigsearch.operators.index import signature_features, type_names
 from sigsearch.operators.joins import fits, settle, shared_folder, split_hot_keys, tasks_for
 from sigsearch.operators.scope import BUCKETS
 
@@ -31,6 +33,37 @@ def bucket(crate: str) -> Column:
     return F.pmod(F.hash(crate), F.lit(BUCKETS))
 
 
+@dataclass
+class Index:
+    """Written tables: ``postings`` (feature, steps, sig_id) in the order of features, ``counts`` (feature, steps, n),
+    ``type_names`` (name, letters)."""
+
+    postings: DataFrame
+    counts: DataFrame
+    type_names: DataFrame
+    n_sigs: int
+
+
+def read_index(sigs: DataFrame, directory: str) -> Index:
+    """The index of a catalogue, built if it is not there."""
+    spark = sigs.sparkSession
+    try:
+        spark.read.parquet(f"{directory}/type_names")  # written last
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listed = signature_features(sigs)
+        # A posting list may hold a third of all signatures: lists are cut into ranges of signatures.
+        order = ["feature", "steps", "sig_id"]
+        listed.repartitionByRange(tasks_for(spark, sigs.count(), 50_000), *order).sortWithinPartitions(*order).write.mode(
+            "overwrite").parquet(f"{directory}/postings")
+        spark.read.parquet(f"{directory}/postings").groupBy("feature", "steps").agg(F.count(F.lit(1)).alias("n")).write.mode(
+            "overwrite").parquet(f"{directory}/counts")
+        type_names(sigs).write.mode("overwrite").parquet(f"{directory}/type_names")
+    tables = [spark.read.parquet(f"{directory}/{t}") for t in ("postings", "counts", "type_names")]
+    return Index(*tables, sigs.count())
+
+
 @dataclass
 class Catalog:
     """Written tables.
@@ -45,6 +78,14 @@ class Catalog:
     names: DataFrame
     quarantine: DataFrame
     alias_depth: int
+    directory: str = ""
+    _index: Index | None = None
+
+    def index(self) -> Index:
+        """The index of signatures; written when it is first asked for."""
+        if self._index is None:
+            self._index = read_index(self.sigs, f"{self.directory}/index")
+        return self._index
 
 
 def impls(items: DataFrame) -> DataFrame:
@@ -285,4 +326,5 @@ def read_catalog(spark: SparkSession, directory: str) -> Catalog:
         names=spark.read.parquet(f"{directory}/names"),
         quarantine=spark.read.parquet(f"{directory}/quarantine"),
         alias_depth=depth,
+        directory=directory,
     )

@@ -6,21 +6,22 @@ afterwards, and only those that can still be among the results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigsearch.functions import links
 from sigsearch.functions.names import last_segment, letters, may_be_near, name_distance
 from sigsearch.operators import align as al
+from sigsearch.operators import index as ix
 from sigsearch.operators import score as sc
 from sigsearch.operators.joins import BROADCAST_BYTES, fits, pieces, settle, split_hot_keys, tasks_for
 from sigsearch.operators.parse import parse_signatures
-from sigsearch.operators.scope import in_scope
+from sigsearch.operators.scope import check_scopes, in_scope
 from sigsearch.operators.topk import TIE_BREAK, first_per
-from sigsearch.plans.catalog import FN_KEY, Catalog
+from sigsearch.plans.catalog import FN_KEY, Catalog, Index
 
 THRESHOLD = 0.4
 LIMIT = 30
@@ -102,7 +103,8 @@ def signature_scores(
     """(text_id, sig_id, s, c): components of the signature alone, for every text with types.
 
     ``sigs`` comes partitioned by sig_id, and everything up to the sums keeps to that.  Pairs whose
-    argument counts alone put them at or above ``threshold`` are left out.
+    argument counts alone put them at or above ``threshold`` are left out.  With a column ``text_id``,
+    ``sigs`` are the pairs that are wanted.
     """
     nodes = al.query_side(texts)
     plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, threshold))
@@ -181,14 +183,39 @@ def _name_parts(pairs: DataFrame) -> DataFrame:
     ).withColumn("c", F.expr("c + IF(q_name IS NULL, 0, 1) + size(_a)"))
 
 
-def typed_pairs(asked: Asked, fns: DataFrame, catalog: Catalog, threshold: float) -> DataFrame:
-    """Pairs of text and signature that are below the threshold, or would be with equal names."""
+INDEX_PAIRS = 4_000_000  # pairs of texts and signatures from which looking them up is cheaper than aligning all
+FIRST_SHARE = 16  # one signature of so many is scored first, to bound what the others must reach
+
+
+def _wanted(asked: Asked, texts: DataFrame, sigs: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """``sigs`` once per text that the index cannot rule out."""
+    features = settle(ix.text_features(texts, ix.near_type_names(al.query_side(texts), index.type_names, threshold)))
+    looked = settle(ix.prefixes(features, index.counts, threshold).unionByName(ix.named_only(texts, features)))
+    tasks = tasks_for(sigs.sparkSession, asked.n_texts * index.n_sigs, PAIRS_PER_TASK)
+    return sigs.join(ix.meet(index.postings, looked, tasks), "sig_id")
+
+
+def typed_pairs(
+    asked: Asked, fns: DataFrame, catalog: Catalog, threshold: float, index: Index | None = None, limits: DataFrame | None = None,
+) -> DataFrame:
+    """Pairs of text and signature that are below the threshold, or would be with equal names.
+
+    With an ``index`` only pairs that it cannot rule out are aligned.  ``limits`` (text_id, limit) are
+    thresholds of single texts, not above the common one.
+    """
     sigs = signatures_of(fns, catalog.sigs, asked.n_texts)
-    if len(asked.parts) > 1:
+    if len(asked.parts) > 1 or index is not None:
         sigs = settle(sigs)
     found = []
     for texts in asked.parts:
-        pairs = signature_scores(texts, sigs, catalog.alias_depth, threshold)
+        if limits is not None:
+            texts = texts.join(limits, "text_id", "left")
+        elif index is not None:
+            texts = texts.withColumn("limit", F.lit(threshold))
+        if "limit" in texts.columns:
+            texts = settle(texts.withColumn("limit", F.coalesce("limit", F.lit(threshold))))
+        some = sigs if index is None else _wanted(asked, texts, sigs, index, threshold)
+        pairs = signature_scores(texts, some, catalog.alias_depth, threshold)
         found.append(settle(pairs.join(F.broadcast(_wants(texts)), "text_id").filter(
             _below("s", "c + size(q_args) + IF(q_name IS NULL, 0, 1)", threshold)
         )))
@@ -197,15 +224,49 @@ def typed_pairs(asked: Asked, fns: DataFrame, catalog: Catalog, threshold: float
 
 def candidates(
     asked: Asked, catalog: Catalog, scopes: DataFrame, threshold: float = THRESHOLD,
-    k: int | None = LIMIT, prefilter: bool = True,
+    k: int | None = LIMIT, prefilter: bool = True, use_index: bool | None = None,
 ) -> DataFrame:
     """(text_id, scope, function key, s, c, score) of all pairs below the threshold.
 
-    With ``k``, functions that cannot be among the first ``k`` of any query are left out.
+    With ``k``, functions that cannot be among the first ``k`` of any query are left out.  Large searches look pairs up in
+    the index of signatures (``use_index`` decides otherwise); with ``k`` they score a share of the signatures first,
+    and the k-th best of these bounds what the others must reach.
     """
+    fns = in_scope(catalog.fns, scopes, asked.asks).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
+    typed = asked.plain or asked.mixed
+    if use_index is None:
+        use_index = prefilter and typed and threshold < 1 and asked.n_texts * catalog.sigs.count() >= INDEX_PAIRS
+    if not (use_index and typed):
+        return _candidates(asked, catalog, fns, threshold, k, prefilter)
+    index = catalog.index()
+    if k is None:
+        return _candidates(asked, catalog, fns, threshold, k, prefilter, index)
+    share = F.pmod(F.xxhash64("sig_id"), F.lit(FIRST_SHARE)) == 0
+    typed_only = replace(asked, bare=False)
+    first = settle(first_per(_candidates(typed_only, catalog, fns.filter(share), threshold, k, prefilter, index), ASK, ["score", *TIE_BREAK], k))
+    rest = _candidates(asked, catalog, fns, threshold, k, prefilter, index, reached(asked, first, threshold, k), F.coalesce(~share, F.lit(True)))
+    return first.unionByName(rest)
+
+
+def reached(asked: Asked, first: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(text_id, limit): per text the k-th best score in the scope where that is worst; the threshold where a scope has fewer.
+
+    A little above the score itself, so that equal ones still count.
+    """
+    kth = first.groupBy(*ASK).agg(F.count(F.lit(1)).alias("n"), F.max("score").cast("double").alias("worst"))
+    enough = F.when(F.col("n") >= k, F.least(F.col("worst") + 1e-6, F.lit(threshold)))
+    return settle(asked.asks.select(*ASK).join(kth, ASK, "left").groupBy("text_id").agg(
+        F.max(F.coalesce(enough, F.lit(threshold))).alias("limit")))
+
+
+def _candidates(
+    asked: Asked, catalog: Catalog, fns: DataFrame, threshold: float, k: int | None, prefilter: bool,
+    index: Index | None = None, limits: DataFrame | None = None, rest: Column | None = None,
+) -> DataFrame:
+    """``candidates`` of some functions; ``rest`` tells whose types still count, names count for all."""
     out_cols = [*ASK, *FN_KEY, "s", "c"]
     unnamed = "q_name IS NULL AND size(q_args) = 0"
-    fns = in_scope(catalog.fns, scopes, asked.asks).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
+    by_types = fns if rest is None else fns.filter(rest)
 
     def per_scope(pairs: DataFrame) -> DataFrame:
         asks = asked.asks.select(*ASK)
@@ -222,12 +283,12 @@ def candidates(
 
     parts = []
     if asked.plain or asked.mixed:
-        below = per_scope(typed_pairs(asked, fns, catalog, threshold if prefilter else NO_LIMIT))
+        below = per_scope(typed_pairs(asked, by_types, catalog, threshold if prefilter else NO_LIMIT, index, limits))
         if asked.plain:
             group = ["sig_id", "scope"]
-            parts.append(alike(fns.select(*FN_KEY, *group), group, below.filter(unnamed)))
+            parts.append(alike(by_types.select(*FN_KEY, *group), group, below.filter(unnamed)))
         if asked.mixed:
-            mixed = split_hot_keys(fns, below.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
+            mixed = split_hot_keys(by_types, below.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
             parts.append(_name_parts(mixed))
     if asked.bare:
         bare = [_wants(texts).filter("NOT typed AND q_name IS NOT NULL") for texts in asked.parts]
@@ -243,15 +304,20 @@ def candidates(
 
 def search(
     queries: DataFrame, catalog: Catalog, scopes: DataFrame, threshold: float = THRESHOLD,
-    k: int | None = LIMIT, prefilter: bool = True,
+    k: int | None = LIMIT, prefilter: bool = True, use_index: bool | None = None, strict: DataFrame | None = None,
 ) -> DataFrame:
     """Hits of every distinct (text, scope): text, scope, rank, score, name, path, link, docs and keys.
 
     ``queries`` has query_id, text and scope; ``answers`` joins the hits back to it.  Without ``k`` all hits come, in no
-    order and with no rank.
+    order and with no rank.  With ``strict``, the table of packages that are there, a query whose scope is misspelt, unknown or
+    names another package is refused, and so is one whose scope has entries in quarantine.
     """
     asked = look_at(queries)
-    found = candidates(asked, catalog, scopes, threshold, k, prefilter)
+    if strict is not None:
+        wanted = asked.asks.select("scope").distinct()
+        check_scopes(wanted.withColumn("query_id", F.col("scope")), scopes, strict)
+        check_whole(catalog, scopes.join(wanted, "scope", "left_semi"))
+    found = candidates(asked, catalog, scopes, threshold, k, prefilter, use_index)
     if k is None:  # no ranks: they would bring all hits of a query into one task
         best = found.withColumn("rank", F.lit(None).cast("int"))
     else:
