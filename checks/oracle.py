@@ -250,6 +250,15 @@ scopes AS (
   UNION ALL SELECT 'set:odd', 'brand_' || (count(DISTINCT crate) + 75) FROM f
   UNION ALL SELECT DISTINCT 'crate:' || crate, crate FROM f)"""
 
+# Package files: cut off at the end, without paths, skipped by their names, with a member of no kind.
+FILES = """
+packages AS (
+  SELECT DISTINCT crate, CASE WHEN num IN (14, 34) THEN '_' || crate ELSE crate END AS file,
+         CASE WHEN num % 10 = 5 AND num % 20 < 10 THEN 'no JSON' WHEN num % 10 = 5 THEN 'no index or paths'
+              WHEN num IN (14, 34) THEN 'skipped by its name' WHEN num IN (24, 44) THEN 'unknown layout' END AS fault
+  FROM (SELECT *, CAST(split_part(crate, '_', 2) AS INT) AS num FROM f)),
+good AS (SELECT crate FROM packages WHERE fault IS NULL)"""
+
 SHOWN = f"""text, scope, rank, round(CAST(score AS DOUBLE), 6) AS score, name, {PATH} AS path, {LINK} AS link, docs,
   crate, item_id"""
 
@@ -331,14 +340,30 @@ ORACLE: dict[str, str] = {
         SELECT a.name AS query, b.name, round(levenshtein(a.name, b.name) / CAST(greatest(strlen(a.name), strlen(b.name)) AS DOUBLE), 6) AS distance
         FROM n a, n b WHERE CAST(levenshtein(a.name, b.name) / CAST(greatest(strlen(a.name), strlen(b.name)) AS DOUBLE) AS FLOAT) < CAST(0.4 AS FLOAT)""",
     "scope_listing": f"{_with(FNS, SCOPES)} SELECT DISTINCT scope FROM scopes",
-    "scope_check": f"""{_with(FNS, SCOPES)}, asked AS (
+    "scope_check": f"""WITH {FNS}, {SCOPES}, asked AS (
           SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN 'set:odd' WHEN 1 THEN 'crate:brand_' || (s_nationkey + 5)
-             WHEN 2 THEN 'brand_' || s_nationkey ELSE 'crate:brand_1:x' END AS scope FROM supplier)
+             WHEN 2 THEN 'brand_' || s_nationkey ELSE 'crate:brand_1:x' END AS scope FROM supplier),
+        known AS (SELECT DISTINCT scope FROM scopes)
         SELECT query_id, scope, CAST(NULL AS VARCHAR) AS crate, 'misspelt' AS problem FROM asked WHERE query_id % 4 IN (2, 3)
-        UNION ALL SELECT query_id, scope, NULL, 'unknown scope' FROM asked
-          WHERE query_id % 4 IN (0, 1) AND scope NOT IN (SELECT scope FROM scopes)
-        UNION ALL SELECT query_id, scope, crate, 'unknown crate' FROM asked JOIN scopes USING (scope)
-          WHERE crate NOT IN (SELECT crate FROM f)""",
+        UNION ALL SELECT query_id, scope, NULL, 'unknown scope' FROM asked ANTI JOIN known USING (scope) WHERE query_id % 4 IN (0, 1)
+        UNION ALL SELECT query_id, scope, crate, 'unknown crate' FROM asked
+          JOIN (SELECT scope, crate FROM scopes ANTI JOIN f USING (crate)) lacking USING (scope)""",
+    "file_items": f"""{_with(FNS, FILES)}, g AS (SELECT f.* FROM f SEMI JOIN good USING (crate))
+        SELECT crate, CASE WHEN is_method THEN 'method' ELSE 'function' END AS kind, count(*) AS n, 'item' AS source FROM g GROUP BY ALL
+        UNION ALL SELECT crate, 'impl', count(DISTINCT block), 'item' FROM g WHERE is_method GROUP BY ALL
+        UNION ALL SELECT DISTINCT crate, 'typedef', 1, 'item' FROM g
+        UNION ALL SELECT crate, 'function', count(*), 'path' FROM g WHERE NOT is_method AND p_partkey % 97 <> 0 GROUP BY ALL
+        UNION ALL SELECT DISTINCT g.crate, k.kind, 1, 'path' FROM g, (VALUES ('struct'), ('enum'), ('union')) k(kind)""",
+    "file_problems": f"""{_with(FNS, FILES)}
+        SELECT file, fault AS reason FROM packages WHERE fault IS NOT NULL
+        UNION ALL VALUES ('words', 'no list of names'), ('holes', 'a name is null')""",
+    "file_scopes": f"""{_with(FNS, FILES, SCOPES)}
+        SELECT 'set:all' AS scope, crate FROM packages
+        UNION ALL SELECT scope, crate FROM scopes WHERE scope = 'set:odd'
+        UNION ALL SELECT 'set:holes', 'brand_12'
+        UNION ALL SELECT 'crate:' || file, file FROM packages""",
+    "file_search": f"""{_with(*SEARCH, FILES)}, hs AS (SELECT h.*, 'set:all' AS scope FROM hits h SEMI JOIN good USING (crate))
+        SELECT {SHOWN} FROM {_ranked('hs', 'text', 30)}""",
     "kept_items": f"""{_with(FNS)}
         SELECT crate, CASE WHEN is_method THEN 'method' ELSE 'function' END AS kind, count(*) AS n, 'item' AS source FROM f GROUP BY ALL
         UNION ALL SELECT crate, 'impl', count(DISTINCT block), 'item' FROM f WHERE is_method GROUP BY ALL
@@ -373,19 +398,19 @@ ORACLE: dict[str, str] = {
                     WHEN ret = 19 THEN '<''a, str>' ELSE '' END AS unparsed,
                NOT ok AND p_partkey % 3 <> 2 AS rejected, CASE WHEN ok THEN arg_names ELSE '' END AS arg_names
         FROM written""",
-    "arity_components": f"""{_with(*ROWS)}, aliased AS (SELECT DISTINCT item_id FROM inodes WHERE reading <> '-')
-        SELECT text, item_id, s, c FROM aligned JOIN texts USING (qid) WHERE slot = -1 AND item_id NOT IN (FROM aliased)""",
-    "node_components": f"""{_with(*ROWS)}, aliased AS (SELECT DISTINCT item_id FROM inodes WHERE reading <> '-')
-        SELECT text, slot, path, round(s, 6) AS s, c, count(*) AS n FROM aligned JOIN texts USING (qid)
-        WHERE item_id NOT IN (FROM aliased) GROUP BY ALL""",
-    "generic_binding": f"""{_with(*ROWS)}, aliased AS (SELECT DISTINCT item_id FROM inodes WHERE reading <> '-')
-        SELECT text, b.item_id, b.slot, b.path, b.generic, b.canon, b.s - a.s AS s
-        FROM bound b JOIN aligned a ON a.qid = b.qid AND a.item_id = b.item_id AND a.slot = b.slot AND a.path = b.path
-        JOIN texts ON texts.qid = b.qid WHERE b.generic IS NOT NULL AND b.item_id NOT IN (FROM aliased)""",
-    "ref_peel_cost": f"""{_with(*ROWS)}, aliased AS (SELECT DISTINCT item_id FROM inodes WHERE reading <> '-')
+    "arity_components": f"""{_with(*ROWS)}
+        SELECT text, item_id, s, c FROM aligned JOIN texts USING (qid) WHERE slot = -1""",
+    "node_components": f"""{_with(*ROWS)}
+        SELECT text, slot, path, CAST(b AS INT) AS reading, round(s, 6) AS s, c, count(*) AS n FROM aligned JOIN texts USING (qid) GROUP BY ALL""",
+    "generic_binding": f"""{_with(*ROWS)}
+        SELECT text, x.item_id, x.slot, x.path, CAST(x.b AS INT) AS reading, x.generic, x.canon, x.s - a.s AS s
+        FROM bound x JOIN aligned a ON a.qid = x.qid AND a.item_id = x.item_id AND a.slot = x.slot AND a.path = x.path
+         AND a.b = x.b AND a.reading = x.reading
+        JOIN texts ON texts.qid = x.qid WHERE x.generic IS NOT NULL""",
+    "ref_peel_cost": f"""{_with(*ROWS)}
         SELECT array_to_string(q_refs, ' ') AS q_refs, array_to_string(i_refs, ' ') AS i_refs,
                array_to_string(rest, ' ') AS rest, k, count(*) AS n
-        FROM aligned WHERE item_id NOT IN (FROM aliased) GROUP BY ALL""",
+        FROM aligned GROUP BY ALL""",
     "pair_scores": f"""{_with(*ROWS)}
         SELECT text, item_id, round(CAST(CAST(s / c AS FLOAT) AS DOUBLE), 6) AS score, c FROM sums JOIN texts USING (qid)""",
     "alias_choice": f"""{_with(*ROWS)}

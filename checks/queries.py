@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,13 @@ from sigsearch.functions import links
 from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
-from sigsearch.operators.joins import settle, tasks_for
+from sigsearch.operators.joins import settle, shared_folder, tasks_for
 from sigsearch.operators.parse import ARITY_SLOT, parse_signatures, query_nodes
 from sigsearch.operators.scope import list_scopes, scope_problems
 from sigsearch.plans import search as se
 from sigsearch.plans.catalog import build_catalog
-from sigsearch.sources.crate_files import make_scopes
-from sigsearch.sources.parts import VOCABULARY_TEXT, part_catalog, part_functions
+from sigsearch.sources.crate_files import bad_sets, file_lines, make_scopes, read_crate_files, read_sets, write_lines
+from sigsearch.sources.parts import VOCABULARY_TEXT, part_catalog, part_entries, part_functions, part_sets
 
 # --- fixed values: the texts that are searched for ---------------------------------------------------
 TEXTS = (
@@ -54,6 +55,58 @@ def prepared(spark: SparkSession, sf_dir: str):
     return _BUILT[key]
 
 
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def _package_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of package and set files derived from ``part``, some of which cannot be used; written once per directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FILES:
+        fns = part_functions(spark.read.parquet(f"{sf_dir}/part.parquet"))
+        entries = part_entries(fns).filter("source <> 'good'")
+        crates = fns.select("crate").distinct().withColumn("num", F.expr("cast(split(crate, '_')[1] AS int)"))
+        odd = crates.filter("num IN (24, 44)").selectExpr("crate", "'item' AS source", "'odd' AS id", """'{"name":"x"}' AS text""")
+        folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+        lines = file_lines(entries.unionByName(odd)).join(F.broadcast(crates), "crate")  # a row per package
+        cut = lines.filter("NOT (num % 10 = 5 AND num % 20 < 10 AND part = 5) AND NOT (num % 10 = 5 AND num % 20 >= 10 AND part IN (3, 4))")
+        write_lines(cut.withColumn("crate", F.expr("IF(num IN (14, 34), concat('_', crate), crate)")).drop("num"), f"{folder}/crate")
+        members = part_sets(crates.select("crate"))
+        texts = members.groupBy("set").agg(F.to_json(F.sort_array(F.collect_list("crate"))).alias("line"))  # names of packages only
+        broken = spark.sql("""SELECT * FROM VALUES ('holes', '["brand_12",null]'), ('words', 'brand_12'), ('none', '[]') AS t(set, line)""")
+        write_lines(texts.unionByName(broken).selectExpr("set AS crate", "0 AS part", "0 AS nth", "line"), f"{folder}/set")
+        _FILES[key] = folder
+    return _FILES[key]
+
+
+def file_items(spark, sf_dir):
+    """What package files hold, read back from files."""
+    tables = read_crate_files(spark, _package_files(spark, sf_dir))
+    count = F.count("*").alias("n")
+    return tables["items"].groupBy("crate", "kind").agg(count).withColumn("source", F.lit("item")).unionByName(
+        tables["paths"].groupBy("crate", "kind").agg(count).withColumn("source", F.lit("path")))
+
+
+def file_problems(spark, sf_dir):
+    """Package and set files that cannot be used, or only in part, with the reason."""
+    folder = _package_files(spark, sf_dir)
+    return read_crate_files(spark, folder)["bad_files"].selectExpr("crate AS file", "reason").unionByName(
+        bad_sets(spark, folder).selectExpr("set AS file", "reason"))
+
+
+def file_scopes(spark, sf_dir):
+    """Scopes made of set files and of the packages there are, usable or not."""
+    folder = _package_files(spark, sf_dir)
+    return make_scopes(read_sets(spark, folder), read_crate_files(spark, folder)["crates"])
+
+
+def file_search(spark, sf_dir):
+    """Hits in a catalogue that was built from files."""
+    folder = _package_files(spark, sf_dir)
+    tables = read_crate_files(spark, folder)
+    scopes = settle(make_scopes(read_sets(spark, folder), tables["crates"]))
+    return _shown(se.search(_texts(spark), build_catalog(tables["items"], tables["paths"]), scopes))
+
+
 def _texts(spark: SparkSession, scope: str | None = "set:all") -> DataFrame:
     rows = [(i, t, scope or SCOPES[i % len(SCOPES)]) for i, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, "query_id int, text string, scope string")
@@ -214,19 +267,17 @@ def signature_slots(spark, sf_dir):
     )
 
 
-def _rows(spark, sf_dir, aliased: bool) -> tuple[DataFrame, DataFrame]:
-    """Texts and the fns with (or without) aliases in their signature, to spell pair results out."""
+def _aligned(spark, sf_dir) -> DataFrame:
+    """Aligned rows of all signatures; ``reading`` tells the readings of an alias apart, ``at`` is the visiting order."""
     _, catalog, _ = prepared(spark, sf_dir)
     texts = se.prepare(_texts(spark))
-    sigs = catalog.sigs.filter("has_alias" if aliased else "NOT has_alias")
-    return texts, sigs
-
-
-def _plain_rows(spark, sf_dir) -> DataFrame:
-    texts, sigs = _rows(spark, sf_dir, False)
-    return al.align(al.item_side(sigs), al.query_side(texts)).join(
-        F.broadcast(texts.select("text_id", "text")), "text_id"
-    )
+    nodes = al.query_side(texts)
+    plain = al.align(al.item_side(catalog.sigs.filter("NOT has_alias")), nodes)
+    aliased = al.align_aliased(al.item_side(catalog.sigs.filter("has_alias")), nodes)
+    same = [*al.PAIR, "slot", "path", "s", "c", "generic", "canon", "q_refs", "i_refs", "rest", "k"]
+    both = plain.select(*same, F.lit(0).alias("reading"), F.array("seq").alias("at")).unionByName(
+        aliased.select(*same, F.coalesce(F.get("alts", F.lit(0))["b"], F.lit(0)).alias("reading"), F.col("ord").alias("at")))
+    return both.join(F.broadcast(texts.select("text_id", "text")), "text_id")
 
 
 def _per_function(spark, sf_dir, pairs: DataFrame) -> DataFrame:
@@ -235,33 +286,28 @@ def _per_function(spark, sf_dir, pairs: DataFrame) -> DataFrame:
 
 
 def arity_components(spark, sf_dir):
-    rows = _plain_rows(spark, sf_dir).filter(f"slot = {ARITY_SLOT}")
+    rows = _aligned(spark, sf_dir).filter(f"slot = {ARITY_SLOT}")
     return _per_function(spark, sf_dir, rows).select("text", "item_id", "s", "c")
 
 
 def node_components(spark, sf_dir):
-    rows = _plain_rows(spark, sf_dir)
+    rows = _aligned(spark, sf_dir)
     return (
         _per_function(spark, sf_dir, rows)
-        .groupBy("text", "slot", "path", F.round("s", 6).alias("s"), "c").agg(F.count("*").alias("n"))
+        .groupBy("text", "slot", "path", "reading", F.round("s", 6).alias("s"), "c").agg(F.count("*").alias("n"))
     )
 
 
 def generic_binding(spark, sf_dir):
-    rows = _plain_rows(spark, sf_dir).filter("generic IS NOT NULL")
-    bound = sc.bound_rows(rows.withColumn("s", F.lit(0.0)), ["seq"])
-    return _per_function(spark, sf_dir, bound).select("text", "item_id", "slot", "path", "generic", "canon", "s")
+    rows = _aligned(spark, sf_dir).filter("generic IS NOT NULL")
+    bound = sc.bound_rows(rows.withColumn("s", F.lit(0.0)), ["slot", "at"])
+    return _per_function(spark, sf_dir, bound).select("text", "item_id", "slot", "path", "reading", "generic", "canon", "s")
 
 
 def ref_peel_cost(spark, sf_dir):
-    _, catalog, _ = prepared(spark, sf_dir)
-    texts = se.prepare(_texts(spark))
-    met = al.item_side(catalog.sigs.filter("NOT has_alias")).join(
-        F.broadcast(al.query_side(texts)), al.POSITION
-    ).withColumn("f", F.expr(al.peel("q_refs", "i_refs")))
-    return _per_function(spark, sf_dir, met).groupBy(
+    return _per_function(spark, sf_dir, _aligned(spark, sf_dir)).groupBy(
         F.array_join("q_refs", " ").alias("q_refs"), F.array_join("i_refs", " ").alias("i_refs"),
-        F.array_join("f.rest", " ").alias("rest"), F.col("f.k").alias("k"),
+        F.array_join("rest", " ").alias("rest"), F.col("k").alias("k"),
     ).agg(F.count("*").alias("n"))
 
 
@@ -275,9 +321,9 @@ def pair_scores(spark, sf_dir):
 
 def alias_choice(spark, sf_dir):
     """Which reading of an aliased argument or result was taken: 0 as written, 1 and up expanded."""
-    texts, sigs = _rows(spark, sf_dir, True)
-    depth = max(prepared(spark, sf_dir)[1].alias_depth, 1)
-    chosen = se.component_rows(texts, sigs, depth).filter("size(alts) > 0")
+    catalog = prepared(spark, sf_dir)[1]
+    texts = se.prepare(_texts(spark))
+    chosen = se.component_rows(texts, catalog.sigs.filter("has_alias"), max(catalog.alias_depth, 1)).filter("size(alts) > 0")
     chosen = chosen.groupBy(*al.PAIR, "slot").agg(
         F.max(F.col("alts")[0]["b"]).alias("reading"), F.round(F.sum("s"), 6).alias("s"), F.sum("c").alias("c")
     ).join(F.broadcast(texts.select("text_id", "text")), "text_id")
@@ -312,7 +358,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_topk, scoped_search_topk, search_all_hits, search_wide_threshold, hits_json, query_log_answers,
-        name_search_topk, name_search_urls, scope_listing, scope_check, kept_items, catalog_by_kind,
+        name_search_topk, name_search_urls, scope_listing, scope_check, file_items, file_problems, file_scopes, file_search,
+        kept_items, catalog_by_kind,
         flattened_nodes, hit_links, dangling_refs, signature_nodes, signature_slots, arity_components,
         node_components, generic_binding, ref_peel_cost, pair_scores, alias_choice, component_list,
     )

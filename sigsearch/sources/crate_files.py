@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigsearch.operators.joins import shared_folder
@@ -138,3 +138,42 @@ def make_scopes(sets: DataFrame, crates: DataFrame) -> DataFrame:
         .unionByName(crates.select(F.concat(F.lit("crate:"), "crate").alias("scope"), "crate"))
         .distinct()
     )
+
+
+def file_lines(entries: DataFrame) -> DataFrame:
+    """(crate, part, nth, line): the lines of one documentation file per package, in order.
+
+    ``entries`` are (crate, source, id, text) with source 'item' or 'path'.  The members of a package are numbered
+    as they stream by, in the order of their ids; no package is gathered.
+    """
+    rows = entries.select("crate", F.when(F.col("source") == "item", 1).otherwise(3).alias("part"), "id", "text")
+    nth = F.row_number().over(Window.partitionBy("crate").orderBy("part", "id"))
+    start = F.lag("part").over(Window.partitionBy("crate").orderBy("part", "id"))
+    member = F.concat(F.when(start == F.col("part"), ",").otherwise(""), F.to_json(F.struct("id")).substr(F.lit(7), F.length(F.to_json(F.struct("id"))) - 7), F.lit(":"), "text")
+    members = rows.select("crate", "part", nth.alias("nth"), member.alias("line"))
+    frame = entries.select("crate").distinct().selectExpr(
+        "crate", """stack(5, 0, 0, '{"index":{', 2, 0, '}', 3, 0, ',"paths":{', 4, 0, '}', 5, 0, '}') AS (part, nth, line)""")
+    return members.unionByName(frame)
+
+
+def write_lines(lines: DataFrame, directory: str) -> None:
+    """Write ``<directory>/<crate>.json`` for every package from (crate, part, nth, line).
+
+    A task writes the lines of its packages one behind the other into a folder of each package, under Spark's commit
+    protocol; then the files get their names.
+    """
+    spark = lines.sparkSession
+    staged = f"{directory}-staged-{uuid.uuid4().hex}"
+    order = ["crate", "part", "nth"]
+    lines.repartition("crate").sortWithinPartitions(*order).select(F.col("crate").alias("file"), "line").write.partitionBy("file").text(staged)
+    jvm = spark.sparkContext._jvm
+    Path, unescaped = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    folder = Path(staged)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(Path(directory))
+    for at in system.listStatus(folder):  # one rename per package
+        if at.isDirectory():
+            for file in system.listStatus(at.getPath()):
+                name = unescaped(at.getPath().getName().removeprefix("file="))
+                if file.getPath().getName().startswith("part-"):
+                    system.rename(file.getPath(), Path(f"{directory}/{name}.json"))

@@ -164,9 +164,11 @@ def part_catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Tables ``items``, ``paths``, ``bad_files``, ``crates`` and ``sets`` derived from ``part``."""
     fns = part_functions(spark.read.parquet(f"{sf_dir}/part.parquet"))
     tables = stage(part_entries(fns))
-    crates = tables["crates"]
-    # ``set:odd`` also names a package that does not exist.
-    sets = crates.selectExpr("explode(array('all', 'odd')) AS set", "crate").filter(
+    return {**tables, "sets": part_sets(tables["crates"])}
+
+
+def part_sets(crates: DataFrame) -> DataFrame:
+    """(set, crate): all packages, and those of odd number; the latter also names a package that does not exist."""
+    return crates.selectExpr("explode(array('all', 'odd')) AS set", "crate").filter(
         "set = 'all' OR cast(split(crate, '_')[1] AS int) % 2 = 1"
     ).unionByName(crates.agg(F.count("*").alias("n")).selectExpr("'odd' AS set", "concat('brand_', n + 75) AS crate"))
-    return {**tables, "sets": sets}
