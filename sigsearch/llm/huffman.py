@@ -40,6 +40,7 @@ BLOCK_IDS, EVERY = 1 << 16, 64
 LIMIT = 18  # bits of the longest code; longer where a vocabulary needs it
 IDS_PER_FILE = 16 << 20
 BLOCKS_AT_ONCE = 16  # blocks that are decoded together
+REMEMBERED = 350_000  # chunks of each generation that an encoding task remembers
 ROW_BYTES = 4 << 20  # bytes of ids in one batch of rows
 
 
@@ -273,7 +274,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, edges = with_end(*encoder(tokenizer).encode(b.column(1)), end_id)
+            ids, edges = with_end(*encoder(tokenizer, REMEMBERED).encode(b.column(1)), end_id)
             small = ids.astype(kind)
             wide = np.dtype(kind).itemsize
             n = b.num_rows

@@ -75,10 +75,11 @@ SMALL[65:91] += 32
 class Encoder:
     """Ids of texts, special tokens added by none; short chunks are remembered from batch to batch."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = KNOWN_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.remember = remember
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.loose = self._ids("Ab \n\x0b Cd") == self._ids("ab cd")  # neither case nor white space counts
@@ -123,7 +124,7 @@ class Encoder:
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        if len(self.known) > KNOWN_CHUNKS:  # what was not met since the last time is forgotten
+        if len(self.known) > self.remember:  # what was not met since the last time is forgotten
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         found = [known.get(c) for c in chunks]
@@ -168,8 +169,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remember: int = KNOWN_CHUNKS) -> Encoder:
+    return Encoder(path, remember)
 
 
 def with_end(ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

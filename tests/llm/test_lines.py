@@ -19,19 +19,14 @@ def test_shifted_copies_align_whole(a, head, tail):
     assert [i for i, _ in lines.patience(a, b)] == list(range(len(a)))
 
 
-def brute(rows, anchor=5, block=10):
-    """All lines of all documents, first holders by a scan, the same alignment."""
+def brute(rows, block=10):
+    """Every document aligned with every earlier one; what is left of its text, and how many lines are gone."""
     docs = {d: (t or "").split("\n") for d, t in rows if d is not None}
     gone = {d: set() for d in docs}
-    first = {}
-    for d in sorted(docs):
-        for x in docs[d]:
-            if len(x.split()) >= anchor:
-                first.setdefault(x.strip(), d)
     for d, text in docs.items():
-        for e in {first[x.strip()] for x in text if len(x.split()) >= anchor} - {d}:
+        for e in (e for e in docs if e < d):
             a, b = [x.strip() for x in text], [x.strip() for x in docs[e]]
-            names = {x: n for n, x in enumerate(set(a) | set(b))}
+            names = {x: n for n, x in enumerate({*a, *b})}
             gone[d] |= set(lines.common_blocks([names[x] for x in a], [len(x.split()) for x in a], [names[x] for x in b], block))
     return {d: ("\n".join(x for i, x in enumerate(text) if i not in gone[d]), len(gone[d])) for d, text in docs.items()}
 

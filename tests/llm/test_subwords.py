@@ -35,12 +35,11 @@ def test_chunks_equal_whole_texts(name, texts):
 def test_long_texts_slices_and_a_full_memory(name, monkeypatch):
     import sigsearch.llm.subwords as sw
 
-    monkeypatch.setattr(sw, "KNOWN_CHUNKS", 10)
     monkeypatch.setattr(sw, "ENCODED_AT_ONCE", 7)
     rng = random.Random(4)
     texts = ["".join(rng.choice(PARTS) for _ in range(n)) for n in (0, 5, 3000, 1, 400)] + [None, "z" * 20_000]
     path = tokenizer_file(name)
-    own = Encoder(path)
+    own = Encoder(path, 10)
     for _ in range(2):
         assert split(*own.encode(pa.array(["x y", *texts], pa.string()).slice(1))) == whole(path, texts)
 
