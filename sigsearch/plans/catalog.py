@@ -115,7 +115,12 @@ def located_impls(items: DataFrame, paths: DataFrame) -> DataFrame:
         .withColumn("path_id", F.col("_ref.id"))
     )
     summary = paths.select("crate", F.col("id").alias("path_id"), "path", F.col("kind").alias("path_kind"))
-    return found.join(summary, ["crate", "path_id"], "left").select(
+    # Primitives, tuples and the like have no path to look up: their impls stay where they are.
+    pathless = found.filter(F.col("path_id").isNull())
+    for name, kind in (("path", "array<string>"), ("path_kind", "string")):
+        pathless = pathless.withColumn(name, F.lit(None).cast(kind))
+    looked_up = found.filter(F.col("path_id").isNotNull()).join(summary, ["crate", "path_id"], "left")
+    return looked_up.unionByName(pathless).select(
         "crate", "impl_id", "for_text", "members", "path_id",
         links.receiver_path().alias("base_path"), links.receiver_page().alias("page"),
     )
@@ -164,14 +169,13 @@ def alias_reach(items: DataFrame) -> DataFrame | None:
     )
     reach = defs.select("crate", "id", F.col("id").alias("dep_id"))
     if not edges.isEmpty():
-        step = edges.select("crate", F.col("id").alias("dep_id"), F.col("dep_id").alias("next_id"))
-        frontier = edges
-        while not frontier.isEmpty():  # ends by itself: pairs reached once are not reached again
-            reach = settle(reach.unionByName(frontier).distinct())
-            frontier = settle(
-                frontier.join(step, ["crate", "dep_id"]).select("crate", "id", F.col("next_id").alias("dep_id"))
-                .distinct().join(reach, ["crate", "id", "dep_id"], "left_anti")
-            )
+        # Ways of up to 1, 2, 4, ... steps: a chain of n aliases takes about log n rounds.
+        reach, size, before = settle(reach.unionByName(edges).distinct()), 0, -1
+        while size != before:
+            on = reach.select("crate", F.col("id").alias("dep_id"), F.col("dep_id").alias("next_id"))
+            longer = reach.join(on, ["crate", "dep_id"]).select("crate", "id", F.col("next_id").alias("dep_id")).distinct()
+            reach, before = settle(longer), size  # each alias reaches itself, so nothing is lost
+            size = reach.count()
     return reach.join(defs.select("crate", F.col("id").alias("dep_id"), "text"), ["crate", "dep_id"])
 
 

@@ -23,11 +23,11 @@ def trees(spark, tmp_path_factory):
     docs = [alias(k, k, v) for k, v in aliases.items()]
     plain = [prim("i32"), prim("bool"), prim("u8"), path("Foo"), path("Fob", gen("T")), path("Option", gen("T")), gen("T"), arr(prim("u8")),
              ref(ref(ref(prim("u8")))), tup(prim("i32"), gen("T"))]
-    for n in range(400):
+    for n in range(240):
         pick = (lambda: random_item(r, 2, list(aliases), False)) if n % 2 else (lambda: r.choice(plain))
         docs.append(fn(f"f{n}", r.choice(["get", "set", "gets", "push"]) + str(n % 7), [pick() for _ in range(r.randint(0, 3))], r.choice([None, pick()])))
     texts = set()
-    while len(texts) < 60:
+    while len(texts) < 30:
         args = [random_query(r, 2) if r.random() < 0.9 else None for _ in range(r.randint(0, 3))]
         ret = None if r.random() < 0.2 else random_query(r, 2)
         texts.add("(" + ", ".join(map(spell, args)) + ")" + ("" if ret is None else " -> " + spell(ret)))

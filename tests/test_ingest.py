@@ -141,3 +141,37 @@ def test_written_catalog_reads_back(load, spark, tmp_path, asks):
     again = read_catalog(spark, str(tmp_path / "catalog"))
     rows = [se.search(asks("(i32)"), c, scopes).drop("text_id", "sig_id").collect() for c in (catalog, again)]
     assert rows[0] == rows[1] and rows[0][0].docs == "d"
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    from sigsearch.sources.crate_files import file_entries, file_lines, write_lines
+
+    rows = [("a b", "item", 'odd "id"', '{"kind":"function"}'), ("a b", "path", "p", '{"kind":"struct"}'), ("a b", "item", "2", '{"kind":"x\\ny"}'),
+            ("paths=only", "path", "p", '{"kind":"enum"}'), ("c", "item", "1", '{"kind":"impl"}')]
+    entries = spark.createDataFrame(rows, "crate string, source string, id string, text string")
+    write_lines(file_lines(entries), f"{tmp_path}/crate")
+    assert sorted(p.name for p in (tmp_path / "crate").iterdir() if p.name[0] != ".") == ["a b.json", "c.json", "paths=only.json"]
+    back = file_entries(spark, str(tmp_path)).filter("source IN ('item', 'path')").select("crate", "source", "id", "text")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_alias_chains_take_logarithmic_rounds(spark, monkeypatch):
+    import json
+
+    from conftest import alias, path
+    from sigsearch.plans import catalog
+
+    n = 500
+    items = [alias(f"al{k}", f"al{k}", path("X", id=f"al{k + 1}")) for k in range(n)]
+    rows = [("pkg", i["id"], "typedef", json.dumps(i["inner"], separators=(",", ":"))) for i in items]
+    rows += [("pkg", f"lo{k}", "typedef", json.dumps(alias("l", "l", path("X", id=f"lo{1 - k}"))["inner"], separators=(",", ":"))) for k in (0, 1)]
+    rounds = []
+    settle = catalog.settle
+    monkeypatch.setattr(catalog, "settle", lambda df: rounds.append(1) or settle(df))
+    reach = catalog.alias_reach(spark.createDataFrame(rows, "crate string, id string, kind string, inner string"))
+    got = {}
+    for r in reach.collect():
+        got.setdefault(r.id, set()).add(r.dep_id)
+    assert got["al0"] == {f"al{k}" for k in range(n)} and got["al490"] == {f"al{k}" for k in range(490, n)}
+    assert got["lo0"] == got["lo1"] == {"lo0", "lo1"}
+    assert len(rounds) <= 14  # two tables, and at most twelve rounds

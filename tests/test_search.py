@@ -113,3 +113,25 @@ def test_scores_stay_below_one_shuffle(many, asks):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_strict_refuses(many, asks, spark):
+    tables, catalog, scopes = many
+    crates = tables["crates"]
+    assert se.search(asks("()", scope="set:both"), catalog, scopes, strict=crates).count() > 0
+    for scope_ in ("set:bth", "crate:none", "both", "crate:six:x", None):
+        with pytest.raises(ValueError):
+            se.search(asks("()", scope=scope_), catalog, scopes, strict=crates)
+    more = scopes.unionByName(spark.createDataFrame([("set:more", "pkg"), ("set:more", "gone")], "scope string, crate string"))
+    with pytest.raises(ValueError, match="unknown crate gone"):
+        se.search(asks("()", scope="set:more"), catalog, more, strict=crates)
+
+
+def test_strict_refuses_quarantined_packages(load, asks):
+    bad = document([fn("f", "f", []), fn("g", "g", [])])
+    del bad["paths"]["g"]
+    tables, catalog, scopes = load({"pkg": bad, "good": document([fn("h", "h", [])])})
+    assert se.search(asks("()", scope="crate:good"), catalog, scopes, strict=tables["crates"]).count() == 1
+    with pytest.raises(ValueError, match="quarantine"):
+        se.search(asks("()"), catalog, scopes, strict=tables["crates"])
+    assert se.search(asks("()"), catalog, scopes).count() == 1
