@@ -27,7 +27,8 @@ JSON_OPTIONS = {"columnNameOfCorruptRecord": "_bad", "maxNestingDepth": "1000000
 
 
 def _stem() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_name"), r"(?<=.)\.[^.]*$", "")
+    name = F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # names come as part of a URL
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
 def _whole_files(spark: SparkSession, path: str, key: str) -> DataFrame:
