@@ -12,9 +12,9 @@ def last_segment(name: str | Column) -> Column:
 
 
 def name_distance(query: str | Column, item: str | Column) -> Column:
-    """Edit distance in characters over the longer name's length in bytes, 0 = equal."""
+    """Edit distance in characters over the longer name's length in bytes, 0 = equal; null for two empty names."""
     longer = F.greatest(F.octet_length(query), F.octet_length(item))
-    return F.levenshtein(query, item).cast("double") / longer
+    return F.try_divide(F.levenshtein(query, item).cast("double"), longer)
 
 
 def letters(name: str | Column) -> Column:

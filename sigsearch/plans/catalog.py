@@ -13,6 +13,7 @@ from sigsearch.functions import links
 from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators.flatten import NODE_TYPE, flatten_signature
 from sigsearch.operators.index import signature_features, type_names
+from sigsearch.operators.name_index import KEYS, classes_of, pieces_of
 from sigsearch.operators.joins import fits, settle, shared_folder, split_hot_keys, tasks_for
 from sigsearch.operators.scope import BUCKETS
 
@@ -64,6 +65,25 @@ def read_index(sigs: DataFrame, directory: str) -> Index:
     return Index(*tables, sigs.count())
 
 
+COMPARED = "substring_index(name, '::', -1)"  # what of a function's name is compared
+
+
+def read_name_pieces(names: DataFrame, directory: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The names of a catalogue by their pieces, and the lengths there are, for one threshold; built if not there."""
+    spark = names.sparkSession
+    directory = f"{directory}/{threshold!r}"
+    try:
+        spark.read.parquet(f"{directory}/classes")  # written last
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        order = [*KEYS, "name"]  # a piece may be in a third of all names: its list is cut into ranges of names
+        pieces_of(names, COMPARED, threshold).repartitionByRange(tasks_for(spark, names.count(), 50_000), *order).sortWithinPartitions(
+            *order).write.mode("overwrite").parquet(f"{directory}/pieces")
+        classes_of(spark.read.parquet(f"{directory}/pieces")).write.mode("overwrite").parquet(f"{directory}/classes")
+    return spark.read.parquet(f"{directory}/pieces"), spark.read.parquet(f"{directory}/classes")
+
+
 @dataclass
 class Catalog:
     """Written tables.
@@ -87,6 +107,10 @@ class Catalog:
             self._index = read_index(self.sigs, f"{self.directory}/index")
         return self._index
 
+    def name_pieces(self, threshold: float) -> tuple[DataFrame, DataFrame]:
+        """The names by their pieces, and their lengths; written when they are first asked for with this threshold."""
+        return read_name_pieces(self.names, f"{self.directory}/name_pieces", threshold)
+
 
 def impls(items: DataFrame) -> DataFrame:
     """Inherent impls: (crate, impl_id, for_text, members)."""

@@ -18,9 +18,11 @@ from sigsearch.operators import align as al
 from sigsearch.operators import index as ix
 from sigsearch.operators import score as sc
 from sigsearch.operators.joins import BROADCAST_BYTES, fits, pieces, settle, split_hot_keys, tasks_for
+from sigsearch.operators.name_index import near_by_pieces
 from sigsearch.operators.parse import parse_signatures
 from sigsearch.operators.scope import check_scopes, in_scope
 from sigsearch.operators.topk import TIE_BREAK, first_per
+from sigsearch.plans.catalog import COMPARED as ITEM
 from sigsearch.plans.catalog import FN_KEY, Catalog, Index
 
 THRESHOLD = 0.4
@@ -33,7 +35,6 @@ ASK = ["text_id", "scope"]
 
 TEXTS_PER_TASK = 10_000
 TEXT_ID = "unhex(md5(text))"
-ITEM = "substring_index(name, '::', -1)"  # what of a function's name is compared
 
 
 def prepare(asks: DataFrame) -> DataFrame:
@@ -184,6 +185,7 @@ def _name_parts(pairs: DataFrame) -> DataFrame:
 
 
 INDEX_PAIRS = 4_000_000  # pairs of texts and signatures from which looking them up is cheaper than aligning all
+PIECES_BELOW = 0.8  # threshold up to which pieces of names are long enough to tell them apart
 FIRST_SHARE = 16  # one signature of so many is scored first, to bound what the others must reach
 
 
@@ -229,22 +231,25 @@ def candidates(
     """(text_id, scope, function key, s, c, score) of all pairs below the threshold.
 
     With ``k``, functions that cannot be among the first ``k`` of any query are left out.  Large searches look pairs up in
-    the index of signatures (``use_index`` decides otherwise); with ``k`` they score a share of the signatures first,
+    the index of signatures and names in that of their pieces (``use_index`` decides otherwise); with ``k`` they score a share of the signatures first,
     and the k-th best of these bounds what the others must reach.
     """
     fns = in_scope(catalog.fns, scopes, asked.asks).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
     typed = asked.plain or asked.mixed
+    use_pieces = prefilter and asked.bare and threshold <= PIECES_BELOW and use_index is not False
     if use_index is None:
+        use_pieces = use_pieces and asked.n_texts * catalog.names.count() >= INDEX_PAIRS
         use_index = prefilter and typed and threshold < 1 and asked.n_texts * catalog.sigs.count() >= INDEX_PAIRS
+    listed = catalog.name_pieces(threshold) if use_pieces else None
     if not (use_index and typed):
-        return _candidates(asked, catalog, fns, threshold, k, prefilter)
+        return _candidates(asked, catalog, fns, threshold, k, prefilter, listed=listed)
     index = catalog.index()
     if k is None:
-        return _candidates(asked, catalog, fns, threshold, k, prefilter, index)
+        return _candidates(asked, catalog, fns, threshold, k, prefilter, index, listed=listed)
     share = F.pmod(F.xxhash64("sig_id"), F.lit(FIRST_SHARE)) == 0
     typed_only = replace(asked, bare=False)
     first = settle(first_per(_candidates(typed_only, catalog, fns.filter(share), threshold, k, prefilter, index), ASK, ["score", *TIE_BREAK], k))
-    rest = _candidates(asked, catalog, fns, threshold, k, prefilter, index, reached(asked, first, threshold, k), F.coalesce(~share, F.lit(True)))
+    rest = _candidates(asked, catalog, fns, threshold, k, prefilter, index, reached(asked, first, threshold, k), F.coalesce(~share, F.lit(True)), listed)
     return first.unionByName(rest)
 
 
@@ -262,6 +267,7 @@ def reached(asked: Asked, first: DataFrame, threshold: float, k: int) -> DataFra
 def _candidates(
     asked: Asked, catalog: Catalog, fns: DataFrame, threshold: float, k: int | None, prefilter: bool,
     index: Index | None = None, limits: DataFrame | None = None, rest: Column | None = None,
+    listed: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """``candidates`` of some functions; ``rest`` tells whose types still count, names count for all."""
     out_cols = [*ASK, *FN_KEY, "s", "c"]
@@ -292,7 +298,8 @@ def _candidates(
             parts.append(_name_parts(mixed))
     if asked.bare:
         bare = [_wants(texts).filter("NOT typed AND q_name IS NOT NULL") for texts in asked.parts]
-        near = [settle(near_names(texts, catalog.names, threshold, prefilter)) for texts in bare]
+        near = [settle(near_names(texts, catalog.names, threshold, prefilter) if listed is None
+                       else near_by_pieces(texts, *listed, ITEM, threshold)) for texts in bare]
         near = per_scope(reduce(DataFrame.unionByName, near).withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long")))
         parts.append(alike(fns.select(*FN_KEY, "name", "scope"), ["name", "scope"], near))
     if not parts:
