@@ -185,6 +185,7 @@ def _name_parts(pairs: DataFrame) -> DataFrame:
 
 
 INDEX_PAIRS = 4_000_000  # pairs of texts and signatures from which looking them up is cheaper than aligning all
+NAME_PAIRS = 50_000_000  # pairs of texts and names from which pieces are cheaper than comparing all of near length
 PIECES_BELOW = 0.8  # threshold up to which pieces of names are long enough to tell them apart
 FIRST_SHARE = 16  # one signature of so many is scored first, to bound what the others must reach
 
@@ -238,7 +239,7 @@ def candidates(
     typed = asked.plain or asked.mixed
     use_pieces = prefilter and asked.bare and threshold <= PIECES_BELOW and use_index is not False
     if use_index is None:
-        use_pieces = use_pieces and asked.n_texts * catalog.names.count() >= INDEX_PAIRS
+        use_pieces = use_pieces and asked.n_texts * catalog.names.count() >= NAME_PAIRS
         use_index = prefilter and typed and threshold < 1 and asked.n_texts * catalog.sigs.count() >= INDEX_PAIRS
     listed = catalog.name_pieces(threshold) if use_pieces else None
     if not (use_index and typed):
