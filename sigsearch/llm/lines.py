@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigsearch.llm.common import fresh, ready, small, written
+from sigsearch.llm.common import fresh, ready, written
+from sigsearch.operators.joins import fits
 
 BLOCK_WORDS = 10  # words of a common block that is deleted
 FULL_TABLE = 1 << 26  # bits of an alignment table; larger ones are cut in two first
@@ -155,8 +156,7 @@ def _sheets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "hashes", "sizes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>")
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<int>")
 
 
 def runs(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def runs(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray,
     back = np.searchsorted(words, words[1:] - least, "right") - 1
     begin = np.concatenate((start[end <= n], back[back >= 0]))
     end = np.concatenate((end[end <= n], start[back >= 0] + 1))
-    begin, end = np.unique(np.stack((begin, end)), axis=1)
+    begin, end = np.divmod(np.unique(begin * (n + 1) + end), n + 1)
     power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, MIX, np.uint64))))
     inverse = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(MIX, -1, 1 << 64), np.uint64))))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * power[:n])))
@@ -180,20 +180,45 @@ def _held(sheets: DataFrame, least: int) -> DataFrame:
     """(doc_id, run, start, until): the runs of every document; ``until`` is behind the last line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, h, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                value, begin, end = runs(h.values.to_numpy(), s.values.to_numpy(), least)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(value), doc, np.int64)), pa.array(value), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    ["doc_id", "run", "start", "until"])
+            found = [runs(h.values.to_numpy(), s.values.to_numpy(), least) for h, s in zip(b.column(1), b.column(2), strict=True)]
+            if not found:
+                continue
+            value, begin, end = (np.concatenate(part) for part in zip(*found, strict=True))
+            doc = np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc), pa.array(value), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
+                ["doc_id", "run", "start", "until"])
 
     return sheets.select("doc_id", "hashes", "sizes").mapInArrow(run, "doc_id long, run long, start int, until int")
 
 
+MARK = "xxhash64(coalesce(text, ''))"
+
+
+def documents_of(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row (doc_id, text) for each document, and (doc_id, mark, number) if doc_ids repeat.
+
+    Rows of one doc_id with different texts are documents of their own.  They are then numbered in the order of (doc_id, mark),
+    and the numbers take the place of the doc_ids.
+    """
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows, None
+    key = ["doc_id", "mark"]
+    single = rows.withColumn("mark", F.expr(MARK)).groupBy(*key).agg(F.min("text").alias("text"))
+    # the ids that Spark deals out rise with the partition and within it, so over sorted ranges they keep the order
+    order = single.select(*key).repartitionByRange(*key).sortWithinPartitions(*key)
+    numbers = written(order.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return single.join(numbers, key).select(F.col("number").alias("doc_id"), "text"), numbers
+
+
 def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, gone): positions of the lines to delete, ascending, for documents that have any."""
+    """(doc_id, gone): positions of the lines to delete, ascending, for documents (doc_id, text) that have any.
+
+    No doc_id may be null or repeat; see ``documents_of``.
+    """
     ready(docs.sparkSession)
     sheets = written(_sheets(docs), "sheets")
-    held = _held(sheets, block_words)
+    held = written(_held(sheets, block_words), "runs")
     first = held.groupBy("run").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last")
     first = written(first.select("run", "earlier"), "shared-runs")
     held = written(held.join(first, "run"), "held")
@@ -239,13 +264,23 @@ def deduplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFr
     """Every row of ``docs`` with ``text`` less its repeated blocks, and ``lines_removed``; other columns as they are.
 
     Nulls stay null.  Rows with a null doc_id are left as they are; a column ``lines_removed`` of ``docs`` is
-    replaced.  Rows that repeat a doc_id are not aligned with each other, and lose the lines that any of them loses.  Blank lines go with the block around
+    replaced.  Rows that repeat a doc_id with different texts are documents of their own, the one with the smaller hash of its
+    text being the earlier; rows equal in both are one document, and lose the same lines.  Blank lines go with the block around
     them.  Line ends are ``\\n``; an empty table gives no rows.
     """
-    key, gone = fresh(docs, "key"), fresh(docs, "gone")
-    found = written(repeated_lines(docs, block_words), "repeated")
-    found = small(found.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)))
-    rows = docs.join(found, F.col("doc_id") == F.col(key), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).withColumn("lines_removed", F.coalesce(F.size(gone), F.lit(0))).drop(key, gone)
+    key, mark, gone = fresh(docs, "key"), fresh(docs, "mark"), fresh(docs, "gone")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    single, numbers = documents_of(rows.where(F.col("doc_id").isNotNull()))
+    found = written(repeated_lines(single, block_words), "repeated")
+    on = F.col("doc_id") == F.col(key)
+    if numbers is not None:
+        found = found.withColumnRenamed("doc_id", "number").join(numbers, "number")
+        on = on & (F.expr(MARK) == F.col(mark))
+    taken = [F.col("doc_id").alias(key), F.col("gone").alias(gone), *([] if numbers is None else [F.col("mark").alias(mark)])]
+    found = found.select(*taken)
+    rows = docs.join(F.broadcast(found) if fits(found) else found, on, "left")
+    # positions that stay by a set, not by a search for each line; the array holds the lines, which are split once
+    stay = F.transform(F.array(F.split("text", "\n", -1)), lambda x: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.get(stay, F.lit(0)), "\n"))
+    return rows.withColumn("text", text).withColumn("lines_removed", F.coalesce(F.size(gone), F.lit(0))).drop(key, mark, gone)

@@ -3,6 +3,8 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sigsearch.llm import lines
 
 
@@ -105,5 +107,29 @@ def test_subsequences_are_longest(a, b):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    block = [f"shared line {i} with some words" for i in range(5)]
+    own = [f"found nowhere else {i} at all" for i in range(5)]
+    late = [f"of another document {i} too" for i in range(5)]
+    rows = [(1, "\n".join(["head", *block])), (5, "\n".join(block)), (5, "\n".join(own)), (5, "\n".join(own)), (None, "\n".join(own)),
+            (6, "\n".join([*own, "tail"])), (7, "\n".join(late)), (7, "\n".join([*late, "end"])), (8, None), (8, "")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _mark int")
+    found = sorted((r.doc_id or 0, r.text, r.lines_removed) for r in lines.deduplicate_lines(frame).select("doc_id", F.coalesce("text", F.lit("null")).alias("text"), "lines_removed").collect())
+    seven = [f for f in found if f[0] == 7]
+    assert [f for f in found if f[0] != 7] == sorted([
+        (0, rows[4][1], 0), (1, rows[0][1], 0), (5, "", 5), (5, rows[2][1], 0), (5, rows[2][1], 0), (6, "tail", 5), (8, "", 0), (8, "null", 0)])
+    assert sorted(f[2] for f in seven) == [0, 5]  # the one with the smaller hash is the earlier
+
+
+def test_long_documents(spark):
+    """Ten thousand lines, half of them in an earlier document."""
+    first = [f"line {i} of a long text" for i in range(10_000)]
+    second = [x if i % 1000 < 500 else f"changed {x}" for i, x in enumerate(first)]
+    found = {r.doc_id: r for r in lines.deduplicate_lines(
+        spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(second))], "doc_id long, text string")).collect()}
+    assert found[1].lines_removed == 0 and found[2].lines_removed == 5000
+    assert found[2].text.split("\n") == [x for x in second if x.startswith("changed")]
+
+
 def test_empty_table(nothing):
     assert lines.deduplicate_lines(nothing).collect() == []
