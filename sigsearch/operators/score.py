@@ -47,6 +47,35 @@ def pair_sums(rows: DataFrame) -> DataFrame:
     )
 
 
+def reading_sums(rows: DataFrame, depth: int) -> DataFrame:
+    """Same result as summing ``choose_readings`` of ``bound_rows``, by grouping only.
+
+    First every reading of a pair becomes one row with its sums, generics bound over all readings; then, innermost aliases
+    first, the best reading of each alias takes the place of the alias in the reading around it.  What is collected are
+    the readings of one signature against one text.
+    """
+    uses = rows.groupBy(*PAIR, "generic", "canon", "alts").agg(
+        F.sum("s").alias("s"), F.sum("c").alias("c"), F.count("*").alias("n"), F.min(F.struct("slot", "ord")).alias("at")
+    )
+    bound = uses.groupBy(*PAIR, "generic").agg(
+        F.min(F.struct("at", "canon")).alias("first"), F.collect_list(F.struct("alts", "canon", "s", "c", "n", "at")).alias("u")
+    ).withColumn("u", F.explode("u")).select(*PAIR, "generic", "first", "u.*")
+    binds = (F.col("at") == F.col("first.at")).cast("int")
+    other = F.when(F.col("canon") == F.col("first.canon"), F.lit(EQUAL)).otherwise(F.lit(DIFFERENT))
+    has = F.col("generic").isNotNull()
+    sums = bound.groupBy(*PAIR, "alts").agg(
+        F.sum(F.col("s") + F.when(has, binds * NEAR + (F.col("n") - binds) * other).otherwise(0.0)).alias("s"),
+        F.sum(F.col("c") + F.when(has, F.col("n")).otherwise(0)).alias("c"),
+    )
+    for level in range(depth, 0, -1):
+        inner = F.get("alts", F.lit(level - 1))
+        best = sums.select(
+            *PAIR, F.slice("alts", F.lit(1), F.lit(level - 1)).alias("alts"), inner["alt"].alias("alt"), inner["b"].alias("b"), "s", "c"
+        ).groupBy(*PAIR, "alts", "alt").agg(F.min(F.struct(F.round("s", 9).alias("near"), "b", "s", "c")).alias("best"))
+        sums = best.groupBy(*PAIR, "alts").agg(F.sum("best.s").alias("s"), F.sum("best.c").alias("c"))
+    return sums.select(*PAIR, "s", "c")
+
+
 def choose_readings(rows: DataFrame, depth: int) -> DataFrame:
     """Keep one reading per alias: the lowest sum, the earliest on a tie; innermost aliases first.
 

@@ -111,9 +111,8 @@ def signature_scores(
     plain = sc.pair_sums(al.align(al.item_side(sigs.filter("NOT has_alias")), nodes, threshold))
     if not alias_depth:
         return plain
-    chosen = component_rows(texts, sigs.filter("has_alias"), alias_depth, threshold)
-    aliased = chosen.groupBy(*al.PAIR).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    return plain.unionByName(aliased)
+    aliased = al.align_aliased(al.item_side(sigs.filter("has_alias")), nodes, threshold)
+    return plain.unionByName(sc.reading_sums(aliased, alias_depth))
 
 
 def component_rows(

@@ -210,3 +210,33 @@ def test_grouping_equals_window(spark, tmp_path):
     windowed = sc.bound_rows(rows, ["seq"]).groupBy(*al.PAIR).agg(F.sum("s").alias("s2"), F.sum("c").alias("c2"))
     both = sc.pair_sums(rows).join(windowed, al.PAIR, "full")
     assert both.filter("s IS NULL OR s2 IS NULL OR abs(s - s2) > 1e-9 OR c <> c2").count() == 0
+
+
+def test_grouped_readings_equal_windows(spark, tmp_path):
+    """The best readings of aliases by grouping equal the window form, without a window in the plan."""
+    from pyspark.sql import functions as F
+
+    from sigsearch.operators import align as al
+    from sigsearch.operators import score as sc
+    from sigsearch.plans.catalog import build_catalog
+    from sigsearch.sources.crate_files import read_crate_files
+
+    r = random.Random(13)
+    aliases = {}
+    for n in range(5):
+        aliases[f"al{n}"] = random_item(r, 2, list(aliases), False)
+    docs = [alias(k, k, v) for k, v in aliases.items()]
+    docs += [fn(f"f{n}", f"f{n}", [random_item(r, 3, list(aliases), False) for _ in range(3)]) for n in range(60)]
+    tables = read_crate_files(spark, write_index(tmp_path, {"pkg": document(docs)}))
+    catalog = build_catalog(tables["items"], tables["paths"], str(tmp_path / "catalog"))
+    assert catalog.alias_depth > 1
+    log = spark.createDataFrame([("(" + ", ".join(spell(random_query(r, 2)) for _ in range(3)) + ")",) for _ in range(30)], "text string")
+    rows = al.align_aliased(al.item_side(catalog.sigs.filter("has_alias").repartition(8, "sig_id")), al.query_side(se.prepare(log)))
+    grouped = sc.reading_sums(rows, catalog.alias_depth)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning(text_id" not in plan
+    windowed = sc.choose_readings(sc.bound_rows(rows, ["slot", "ord"]), catalog.alias_depth).groupBy(*al.PAIR).agg(
+        F.sum("s").alias("s2"), F.sum("c").alias("c2"))
+    both = grouped.join(windowed, al.PAIR, "full")
+    assert both.count() > 500
+    assert both.filter("s IS NULL OR s2 IS NULL OR abs(s - s2) > 1e-9 OR c <> c2").count() == 0
