@@ -427,3 +427,4 @@ ORACLE: dict[str, str] = {
         SELECT text, crate, item_id, round(CAST(score AS DOUBLE), 6) AS score, concat_ws(' ', own, arg, parts) AS parts
         FROM {_ranked('hits', 'text', 30)} LEFT JOIN lists USING (qid, item_id) LEFT JOIN owns USING (qid, item_id) LEFT JOIN args USING (qid, item_id)""",
 }
+ORACLE["name_search_pieces"] = ORACLE["name_search_urls"]

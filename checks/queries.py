@@ -13,10 +13,11 @@ from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
 from sigsearch.operators.joins import settle, shared_folder, tasks_for
+from sigsearch.operators.name_index import near_by_pieces
 from sigsearch.operators.parse import ARITY_SLOT, parse_signatures, query_nodes
 from sigsearch.operators.scope import list_scopes, scope_problems
 from sigsearch.plans import search as se
-from sigsearch.plans.catalog import build_catalog
+from sigsearch.plans.catalog import build_catalog, read_name_pieces
 from sigsearch.sources.crate_files import bad_sets, file_lines, make_scopes, read_crate_files, read_sets, write_lines
 from sigsearch.sources.parts import VOCABULARY_TEXT, part_catalog, part_entries, part_functions, part_sets
 
@@ -173,18 +174,33 @@ def name_search_topk(spark, sf_dir):
     return _shown(se.search(queries, catalog, scopes))
 
 
-def name_search_urls(spark, sf_dir):
-    """Host labels of pages as names: which are near each other."""
+def _host_names(spark, sf_dir):
+    """Host labels of pages as names of a catalogue and as texts of a search."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = F.replace(F.regexp_extract("url", r"//(.*)\.example\.", 1), F.lit("."), F.lit("::"))
     names = settle(pages.select(last_segment(host).alias("name")).distinct().withColumn("letters", letters("name")))
-    texts = names.select(F.expr("unhex(md5(name))").alias("text_id"), F.col("name").alias("q_name"))
-    near = se.near_names(texts, names, se.THRESHOLD)
+    return names, names.select(F.expr("unhex(md5(name))").alias("text_id"), F.col("name").alias("q_name"))
+
+
+def _distances(near, texts):
     return near.join(texts, "text_id").select(
         F.col("q_name").alias("query"), "name", F.round("d", 6).alias("distance")
     )
 
 
+def name_search_urls(spark, sf_dir):
+    """Host labels of pages as names: which are near each other."""
+    names, texts = _host_names(spark, sf_dir)
+    return _distances(se.near_names(texts, names, se.THRESHOLD), texts)
+
+
+def name_search_pieces(spark, sf_dir):
+    """The same through the index of pieces, which is written and read back."""
+    names, texts = _host_names(spark, sf_dir)
+    listed, classes = read_name_pieces(names, f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}", se.THRESHOLD)
+    return _distances(near_by_pieces(texts, listed, classes, "name", se.THRESHOLD), texts)
+
+
 def scope_listing(spark, sf_dir):
     return list_scopes(prepared(spark, sf_dir)[2])
 
@@ -358,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_topk, scoped_search_topk, search_all_hits, search_wide_threshold, hits_json, query_log_answers,
-        name_search_topk, name_search_urls, scope_listing, scope_check, file_items, file_problems, file_scopes, file_search,
+        name_search_topk, name_search_urls, name_search_pieces, scope_listing, scope_check, file_items, file_problems, file_scopes, file_search,
         kept_items, catalog_by_kind,
         flattened_nodes, hit_links, dangling_refs, signature_nodes, signature_slots, arity_components,
         node_components, generic_binding, ref_peel_cost, pair_scores, alias_choice, component_list,
