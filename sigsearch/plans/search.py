@@ -20,7 +20,7 @@ from sigsearch.operators import score as sc
 from sigsearch.operators.joins import BROADCAST_BYTES, fits, pieces, settle, split_hot_keys, tasks_for
 from sigsearch.operators.name_index import near_by_pieces
 from sigsearch.operators.parse import parse_signatures
-from sigsearch.operators.scope import check_scopes, in_scope
+from sigsearch.operators.scope import Scoped, asked_packages, check_scopes, copied, scope_maps, shared_much
 from sigsearch.operators.topk import TIE_BREAK, first_per
 from sigsearch.plans.catalog import COMPARED as ITEM
 from sigsearch.plans.catalog import FN_KEY, Catalog, Index
@@ -232,9 +232,13 @@ def candidates(
 
     With ``k``, functions that cannot be among the first ``k`` of any query are left out.  Large searches look pairs up in
     the index of signatures and names in that of their pieces (``use_index`` decides otherwise); with ``k`` they score a share of the signatures first,
-    and the k-th best of these bounds what the others must reach.
+    and the k-th best of these bounds what the others must reach.  Where asked scopes share many functions, these are not
+    copied per scope: scopes are bitmaps.
     """
-    fns = in_scope(catalog.fns, scopes, asked.asks).select(*FN_KEY, "name", "arg_names", "sig_id", "scope")
+    used = asked_packages(scopes, asked.asks)
+    scoped = scope_maps(catalog.fns, used) if shared_much(catalog.fns, used) else None
+    fns = copied(catalog.fns, used) if scoped is None else scoped.fns
+    fns = fns.select(*FN_KEY, "name", "arg_names", "sig_id", "scope" if scoped is None else "number")
     typed = asked.plain or asked.mixed
     use_pieces = prefilter and asked.bare and threshold <= PIECES_BELOW and use_index is not False
     if use_index is None:
@@ -242,14 +246,16 @@ def candidates(
         use_index = prefilter and typed and threshold < 1 and asked.n_texts * catalog.sigs.count() >= INDEX_PAIRS
     listed = catalog.name_pieces(threshold) if use_pieces else None
     if not (use_index and typed):
-        return _candidates(asked, catalog, fns, threshold, k, prefilter, listed=listed)
+        return _candidates(asked, catalog, fns, threshold, k, prefilter, listed=listed, scoped=scoped)
     index = catalog.index()
     if k is None:
-        return _candidates(asked, catalog, fns, threshold, k, prefilter, index, listed=listed)
+        return _candidates(asked, catalog, fns, threshold, k, prefilter, index, listed=listed, scoped=scoped)
     share = F.pmod(F.xxhash64("sig_id"), F.lit(FIRST_SHARE)) == 0
     typed_only = replace(asked, bare=False)
-    first = settle(first_per(_candidates(typed_only, catalog, fns.filter(share), threshold, k, prefilter, index), ASK, ["score", *TIE_BREAK], k))
-    rest = _candidates(asked, catalog, fns, threshold, k, prefilter, index, reached(asked, first, threshold, k), F.coalesce(~share, F.lit(True)), listed)
+    found = _candidates(typed_only, catalog, fns.filter(share), threshold, k, prefilter, index, scoped=scoped)
+    first = settle(first_per(found, ASK, ["score", *TIE_BREAK], k))
+    rest = _candidates(
+        asked, catalog, fns, threshold, k, prefilter, index, reached(asked, first, threshold, k), F.coalesce(~share, F.lit(True)), listed, scoped)
     return first.unionByName(rest)
 
 
@@ -267,41 +273,58 @@ def reached(asked: Asked, first: DataFrame, threshold: float, k: int) -> DataFra
 def _candidates(
     asked: Asked, catalog: Catalog, fns: DataFrame, threshold: float, k: int | None, prefilter: bool,
     index: Index | None = None, limits: DataFrame | None = None, rest: Column | None = None,
-    listed: tuple[DataFrame, DataFrame] | None = None,
+    listed: tuple[DataFrame, DataFrame] | None = None, scoped: Scoped | None = None,
 ) -> DataFrame:
-    """``candidates`` of some functions; ``rest`` tells whose types still count, names count for all."""
+    """``candidates`` of some functions; ``rest`` tells whose types still count, names count for all.
+
+    ``fns`` has a row for each function and scope, or with ``scoped`` for each function.
+    """
     out_cols = [*ASK, *FN_KEY, "s", "c"]
     unnamed = "q_name IS NULL AND size(q_args) = 0"
     by_types = fns if rest is None else fns.filter(rest)
+    where = "scope" if scoped is None else "number"
 
     def per_scope(pairs: DataFrame) -> DataFrame:
         asks = asked.asks.select(*ASK)
         return pairs.join(F.broadcast(asks) if asked.asks_small else asks, "text_id")
 
-    def alike(rows: DataFrame, group: list[str], pairs: DataFrame) -> DataFrame:
-        """All functions of one group score alike, so ``k`` of them are enough for any query."""
+    def placed(rows: DataFrame, key: str, pairs: DataFrame, k: int | None) -> DataFrame:
+        """Functions with the scopes in which ``pairs`` ask for them; ``k`` of each key and scope."""
+        wanted = settle(pairs.select(key, "scope").distinct())
+        found = wanted.select(key).distinct()
+        rows = rows.join(F.broadcast(found) if fits(found) else found, key, "left_semi")
+        return scoped.first(rows, key, wanted, k)
+
+    def alike(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+        """All functions with one key score alike, so ``k`` of them in each scope are enough for any query."""
+        group = [key, "scope"]
+        rows = rows.select(*FN_KEY, key, where)
+        if scoped is not None:
+            rows = placed(rows, key, pairs, k)
         if k is None:
             return split_hot_keys(rows, pairs, group, "item_id")
-        found = settle(pairs.select(group[0]).distinct())
-        if fits(found):
-            rows = rows.join(F.broadcast(found), group[0], "left_semi")
-        return split_hot_keys(pairs, first_per(rows, group, TIE_BREAK, k), group, "text_id")
+        if scoped is None:
+            found = settle(pairs.select(key).distinct())
+            if fits(found):
+                rows = rows.join(F.broadcast(found), key, "left_semi")
+            rows = first_per(rows, group, TIE_BREAK, k)
+        return split_hot_keys(pairs, rows, group, "text_id")
 
     parts = []
     if asked.plain or asked.mixed:
         below = per_scope(typed_pairs(asked, by_types, catalog, threshold if prefilter else NO_LIMIT, index, limits))
         if asked.plain:
-            group = ["sig_id", "scope"]
-            parts.append(alike(by_types.select(*FN_KEY, *group), group, below.filter(unnamed)))
+            parts.append(alike(by_types, "sig_id", below.filter(unnamed)))
         if asked.mixed:
-            mixed = split_hot_keys(by_types, below.filter(f"NOT ({unnamed})"), ["sig_id", "scope"], "item_id")
-            parts.append(_name_parts(mixed))
+            mixed = below.filter(f"NOT ({unnamed})")
+            rows = by_types if scoped is None else placed(by_types, "sig_id", mixed, None)
+            parts.append(_name_parts(split_hot_keys(rows, mixed, ["sig_id", "scope"], "item_id")))
     if asked.bare:
         bare = [_wants(texts).filter("NOT typed AND q_name IS NOT NULL") for texts in asked.parts]
         near = [settle(near_names(texts, catalog.names, threshold, prefilter) if listed is None
                        else near_by_pieces(texts, *listed, ITEM, threshold)) for texts in bare]
         near = per_scope(reduce(DataFrame.unionByName, near).withColumnRenamed("d", "s").withColumn("c", F.lit(1).cast("long")))
-        parts.append(alike(fns.select(*FN_KEY, "name", "scope"), ["name", "scope"], near))
+        parts.append(alike(fns, "name", near))
     if not parts:
         rows = asked.asks.limit(0).select(*ASK)
         parts = [rows.selectExpr("*", *[f"'' AS {c}" for c in FN_KEY], "0D AS s", "0L AS c")]

@@ -59,6 +59,52 @@ def test_splitting_and_slicing_change_nothing(many, asks, monkeypatch):
     assert rows(se.search(queries, catalog, scopes)) == limited
 
 
+@pytest.fixture
+def overlapping(many, spark):
+    """Scopes of the packages of ``many``, all of which share packages; some packages have no functions."""
+    _, catalog, scopes = many
+    rows = [(f"set:s{i}", c) for i in range(12) for n, c in enumerate(("pkg", "two", "six", "none")) if (i + 1) >> n & 1]
+    return catalog, scopes.unionByName(spark.createDataFrame(rows, "scope string, crate string"))
+
+
+def test_bitmaps_of_scopes_change_nothing(overlapping, asks, monkeypatch):
+    catalog, scopes = overlapping
+    texts = ["()", "(i32) -> i32", "fn gets(i32)", "fn get"]
+    queries = asks(*texts, scope="set:both")
+    for s in ["crate:six", "set:none", None, *[f"set:s{i}" for i in range(12)]]:
+        queries = queries.unionByName(asks(*texts, scope=s))
+    monkeypatch.setattr(se, "shared_much", lambda fns, used: False)
+    every = rows(se.search(queries, catalog, scopes, k=100_000), "rank")
+    assert len({r[1] for r in every}) == 14 - 1  # one set has only a package that is not there
+    monkeypatch.setattr(se, "shared_much", lambda fns, used: True)
+    assert rows(se.search(queries, catalog, scopes, k=None)) == sorted(r[:-1] for r in every)
+    best = [r for r in every if r[-1] <= 4]
+    assert rows(se.search(queries, catalog, scopes, k=4, use_index=True), "rank") == best
+    # no bit is lost where packages lie in several bitmaps and a join is split
+    monkeypatch.setattr(scope, "BITS", 2)
+    split = joins.split_hot_keys
+    monkeypatch.setattr(scope, "split_hot_keys", lambda l, r, on, by: split(l, r, on, by, rows_per_key=2))
+    monkeypatch.setattr(scope, "fits", lambda df, limit=0: False)
+    assert rows(se.search(queries, catalog, scopes, k=4), "rank") == best
+
+
+def test_overlapping_scopes_copy_no_functions(overlapping, monkeypatch):
+    catalog, scopes = overlapping
+    sizes = {}
+    for n in (2, 12):
+        used = scope.asked_packages(scopes, scopes.filter(F.col("scope").isin([f"set:s{i}" for i in range(12 - n, 12)])))
+        sizes[n] = scope.scope_maps(catalog.fns, used).fns.count(), scope.copied(catalog.fns, used).count()
+    assert sizes[2][0] == sizes[12][0] == 180 and sizes[2][1] < sizes[12][1]
+    maps = scope.scope_maps(catalog.fns, used).maps.collect()
+    assert len(maps) == 12 and all(len(m.bits) == 1 for m in maps)
+    assert scope.copies(catalog.fns, used) == (180, sizes[12][1])
+    assert not scope.shared_much(catalog.fns, used)
+    monkeypatch.setattr(scope, "COPIES", 361)
+    assert scope.shared_much(catalog.fns, used)
+    alone = used.filter("scope = 'set:s6'")
+    assert not scope.shared_much(catalog.fns, alone)
+
+
 def test_log_answers_and_rejects(many, asks):
     _, catalog, scopes = many
     log = asks("()", "()", "(i32 ,)", scope="crate:six")
