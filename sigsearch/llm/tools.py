@@ -1,8 +1,8 @@
 """Tool calls of conversations, linked to their results, ordered, checked and written as canonical JSON.
 
 Calls and results meet in a hash join on conversation and identifier.  Calls that use other calls' results come
-after these: their level is found round by round, over a table of open dependencies, so that a conversation may be
-of any length.  All of it is DataFrame expressions.
+after these: chains are passed over by doubled pointers, what is left is placed round by round, over a table of open
+dependencies, so that a conversation may be of any length.  All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -45,26 +45,62 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return met.unionByName(loose.unionByName(strays, allowMissingColumns=True), allowMissingColumns=True)
 
 
+def chains(uses: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, steps): calls that use a single one, with the call at the start of their chain and its distance.
+
+    ``uses``: conv_id, call_id, used.  Pointers are doubled: each round looks twice as far, so a chain of n calls takes about
+    log n rounds, and every call keeps one row.  Calls whose chain is a ring have no row.
+    """
+    single = uses.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("used").alias("to")).where("n = 1").select(*KEY, "to")
+    ids = single.select("conv_id", F.col("call_id").alias("to"), F.lit(False).alias("done"))
+    ends = F.coalesce("done", F.lit(True))  # a call that uses none or several is where a chain starts
+    jumps = written(single.join(ids, ["conv_id", "to"], "left").select(*KEY, "to", F.lit(1).alias("steps"), ends.alias("done")), "jumps")
+    n_done, before = jumps.where("done").count(), -1
+    # while calls are on their way, some of them arrive in each round; the others go round in rings
+    while n_done != before and not jumps.where("NOT done").isEmpty():
+        on = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        far = jumps.where("NOT done").join(on, ["conv_id", "to"]).select(
+            *KEY, F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
+        jumps = written(jumps.where("done").unionByName(far), "jumps")
+        n_done, before = jumps.where("done").count(), n_done
+    return jumps.where("done").drop("done")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): one more than the highest level of the calls it uses, 0 without any.
 
     Ids in ``after`` that name no call of the conversation, nulls and repeats are left out; calls on a cycle, or
-    behind one, have no row.  The number of rounds is the length of the longest chain.
+    behind one, have no row.  Chains of calls that use a single one are passed over by doubled pointers; the further rounds
+    are as many as calls that use several others lie behind each other.
     """
     calls = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     uses = calls.select(*KEY, F.explode(F.array_distinct(F.coalesce("after", F.array().cast("array<string>")))).alias("used"))
     ids = calls.select("conv_id", F.col("call_id").alias("used"))
-    open_uses = written(uses.join(ids, ["conv_id", "used"], "left_semi").select(*KEY, "used"), "uses")
-    found = [written(calls.select(*KEY).join(open_uses, KEY, "left_anti").withColumn("level", F.lit(0)), "level")]
-    while True:
-        known = reduce(DataFrame.unionByName, found).select("conv_id", F.col("call_id").alias("used"), "level")
-        rated = open_uses.join(known, ["conv_id", "used"], "left").groupBy(*KEY).agg(
-            F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("waiting"))
-        ready = written(rated.where("waiting = 0").select(*KEY, (F.col("top") + 1).cast("int").alias("level")), "level")
+    uses = written(uses.join(ids, ["conv_id", "used"], "left_semi").select(*KEY, "used").distinct(), "uses")
+    passed = written(chains(uses), "chains")
+    found = [written(calls.select(*KEY).join(uses, KEY, "left_anti").distinct().withColumn("level", F.lit(0)), "level")]
+    # what calls that use several wait for: starts of chains, or calls on rings, which are never found
+    several = uses.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY)
+    rings = uses.join(several, KEY, "left_anti").join(passed, KEY, "left_anti").select("conv_id", F.col("call_id").alias("used"), F.lit(True).alias("ring"))
+    behind = passed.select("conv_id", F.col("call_id").alias("used"), "to", "steps")
+    waits = uses.join(several, KEY, "left_semi").join(behind, ["conv_id", "used"], "left").join(rings, ["conv_id", "used"], "left")
+    waits = written(waits.select(
+        *KEY, F.when(F.col("ring").isNull(), F.coalesce("to", "used")).alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"),
+        F.lit(None).cast("int").alias("level")), "waits")
+    while not waits.isEmpty():
+        new = found[-1].select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_new"))
+        waits = waits.join(new, ["conv_id", "to"], "left").select(
+            *KEY, "to", "steps", F.coalesce("level", F.col("_new") + F.col("steps")).alias("level"))
+        rated = waits.groupBy(*KEY).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("waiting"))
+        ready = written(rated.where("waiting = 0").select(*KEY, F.col("level").cast("int").alias("level")), "level")
         if ready.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            break
         found.append(ready)
-        open_uses = written(open_uses.join(ready, KEY, "left_anti"), "uses")
+        waits = written(waits.join(ready, KEY, "left_anti"), "waits")
+    starts = reduce(DataFrame.unionByName, found)
+    on_chains = passed.join(starts.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"]).select(
+        *KEY, (F.col("level") + F.col("steps")).cast("int").alias("level"))
+    return starts.unionByName(on_chains)
 
 
 def json_string(text: Column) -> Column:

@@ -30,6 +30,24 @@ def test_levels_are_topological(spark):
     assert found == want and (3, "a") not in found and (3, "d") in found
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 500 calls, one that starts in a ring, and one with calls that use several."""
+    calls = [(1, f"c{i}", i, "t", "{}", [f"c{i - 1}"] * 2, 9) for i in range(500)]
+    calls += [(2, f"c{i}", i, "t", "{}", [f"c{max(i - 1, 0)}"], 9) for i in range(40)]  # the first uses itself
+    calls += [(3, f"c{i}", i, "t", "{}", [f"c{i - 1}", f"c{i - 30}"] if i % 20 == 0 else [f"c{i - 1}"], 9) for i in range(100)]
+    calls += [(3, "x", 200, "t", "{}", ["c99", "y"], 9), (3, "y", 201, "t", "{}", ["z"], 9), (3, "z", 202, "t", "{}", ["y"], 9)]
+    names = []
+    whole = tools.written
+    monkeypatch.setattr(tools, "written", lambda df, name: names.append(name) or whole(df, name))
+    found = {(r.conv_id, r.call_id): r.level for r in tools.levels(spark.createDataFrame(calls, CALLS)).collect()}
+    want = {}
+    for conv in (1, 2, 3):
+        after = {c[1]: c[5] for c in calls if c[0] == conv}
+        want |= {(conv, c): n for c, n in depth(after, set(after)).items()}
+    assert found == want and found[1, "c499"] == 499 and (2, "c5") not in found and (3, "x") not in found
+    assert names.count("jumps") <= 12 and names.count("level") <= 7
+
+
 def test_calls_are_linked_checked_and_canonical(spark):
     calls = [
         (1, "a", 1, "search", '{ "q" : "é\\n\\"x\\"", "n":3, "deep":{"b":[1, 2],"a":null} }', [], 0),
