@@ -17,7 +17,7 @@ from sigsearch.operators.name_index import near_by_pieces
 from sigsearch.operators.parse import ARITY_SLOT, parse_signatures, query_nodes
 from sigsearch.operators.scope import list_scopes, scope_problems
 from sigsearch.plans import search as se
-from sigsearch.plans.catalog import build_catalog, read_name_pieces
+from sigsearch.plans.catalog import build_catalog, generic_name, read_name_pieces
 from sigsearch.sources.crate_files import bad_sets, file_lines, make_scopes, read_crate_files, read_sets, write_lines
 from sigsearch.sources.parts import VOCABULARY_TEXT, part_catalog, part_entries, part_functions, part_sets
 
@@ -227,16 +227,17 @@ def kept_items(spark, sf_dir):
 def catalog_by_kind(spark, sf_dir):
     fns = prepared(spark, sf_dir)[1].fns
     return fns.groupBy("crate", "kind").agg(
-        F.count("*").alias("n"), F.count("docs").alias("n_docs"), F.countDistinct("sig_id").alias("n_signatures")
+        F.count("*").alias("n"), F.count("docs").alias("n_docs"), F.countDistinct("sig_id", "generics").alias("n_signatures")
     )
 
 
 def flattened_nodes(spark, sf_dir):
     """Type trees of all functions as rows, ``Self`` replaced and aliases in both readings."""
     catalog = prepared(spark, sf_dir)[1]
-    fns = catalog.fns.select("item_id", "sig_id").join(catalog.sigs, "sig_id")
-    return fns.select("item_id", F.inline("nodes")).select(
-        "item_id", "slot", "path", "spine", F.array_join("refs", " ").alias("refs"), "kind", "name", "n_children",
+    fns = catalog.fns.select("item_id", "sig_id", "generics").join(catalog.sigs, "sig_id")
+    return fns.select("item_id", "generics", F.inline("nodes")).select(
+        "item_id", "slot", "path", "spine", F.array_join("refs", " ").alias("refs"), "kind",
+        F.expr(f"IF(kind = 'generic', {generic_name('name')}, name)").alias("name"), "n_children",
         F.coalesce(F.expr("filter(hops, h -> h.alt IS NOT NULL)[0].op"), F.lit("-")).alias("reading"),
     )
 
@@ -297,7 +298,7 @@ def _aligned(spark, sf_dir) -> DataFrame:
 
 
 def _per_function(spark, sf_dir, pairs: DataFrame) -> DataFrame:
-    fns = prepared(spark, sf_dir)[1].fns.select("item_id", "sig_id")
+    fns = prepared(spark, sf_dir)[1].fns.select("item_id", "sig_id", "generics")
     return fns.join(pairs, "sig_id")
 
 
@@ -317,7 +318,8 @@ def node_components(spark, sf_dir):
 def generic_binding(spark, sf_dir):
     rows = _aligned(spark, sf_dir).filter("generic IS NOT NULL")
     bound = sc.bound_rows(rows.withColumn("s", F.lit(0.0)), ["slot", "at"])
-    return _per_function(spark, sf_dir, bound).select("text", "item_id", "slot", "path", "reading", "generic", "canon", "s")
+    return _per_function(spark, sf_dir, bound).select(
+        "text", "item_id", "slot", "path", "reading", F.expr(generic_name("generic")).alias("generic"), "canon", "s")
 
 
 def ref_peel_cost(spark, sf_dir):

@@ -23,7 +23,7 @@ ID_SQL = ID_IN_TEXT.replace("\\", "\\\\")
 
 
 FN_SCHEMA = (
-    "crate string, item_id string, impl_id string, kind string, name string, docs string, arg_names array<string>, sig_id binary,"
+    "crate string, item_id string, impl_id string, kind string, name string, docs string, arg_names array<string>, sig_id binary, generics array<string>,"
     " base_path array<string>, page string, reason string, path_id string, bucket int"
 )
 SIG_SCHEMA = f"sig_id binary, nodes array<{NODE_TYPE}>, alias_depth int, has_alias boolean"
@@ -88,8 +88,8 @@ def read_name_pieces(names: DataFrame, directory: str, threshold: float) -> tupl
 class Catalog:
     """Written tables.
 
-    ``fns`` (crate, item_id, impl_id, kind, name, docs, arg_names, sig_id, base_path, page, bucket),
-    ``sigs`` (sig_id, nodes, has_alias, alias_depth), ``names`` (name, letters),
+    ``fns`` (crate, item_id, impl_id, kind, name, docs, arg_names, sig_id, generics, base_path, page, bucket),
+    ``sigs`` (sig_id, nodes with numbered generics, has_alias, alias_depth), ``names`` (name, letters),
     ``quarantine`` (crate, item_id, impl_id, reason, missing_id).
     """
 
@@ -262,8 +262,20 @@ def _kinds(text: str) -> str:
     return f"coalesce((length({text}) - length(replace({text}, '\"kind\"', ''))) div 6, 0)"
 
 
+_GENERIC = "n.kind = 'generic' AND n.name IS NOT NULL AND n.name <> 'Self'"  # a ``Self`` that is left is a flaw, not a generic
+
+
+def generic_name(name: str, generics: str = "generics") -> str:
+    """SQL: the name that a function has for a numbered generic."""
+    return f"get({generics}, cast(substring({name}, 2) AS int) - 1)"
+
+
 def flatten_distinct(fns: DataFrame) -> DataFrame:
-    """(raw_id, nodes, sig_id): every distinct spelling taken apart once."""
+    """(raw_id, nodes, generics, sig_id): every distinct spelling taken apart once.
+
+    Only which uses of a generic are the same one counts for a score, so the nodes have numbers for the names of generics, in the
+    order of first use, and signatures that differ in these names share an id; ``generics`` has the names.
+    """
     raw = settle(fns.select("raw_id", F.struct(*RAW).alias("r")).groupBy("raw_id").agg(F.first("r").alias("r")))
     tasks = tasks_for(raw.sparkSession, raw.count(), 20_000)
     texts = "concat(r._types, array(coalesce(r._output, ''), coalesce(r._self, '')), transform(r._aliases, a -> a.text))"
@@ -276,8 +288,12 @@ def flatten_distinct(fns: DataFrame) -> DataFrame:
             "_aliases": F.map_from_entries("r._aliases"),
             "_rounds": F.expr(f"1 + aggregate({texts}, 0L, (n, t) -> n + {_kinds('t')})"),
         })
-        .select("raw_id", flatten_signature().alias("nodes"))
-        .withColumn("sig_id", F.expr("unhex(md5(to_json(nodes)))"))
+        .select("raw_id", flatten_signature().alias("_spelt"))
+        .withColumn("generics", F.expr(f"array_distinct(transform(filter(_spelt, n -> {_GENERIC}), n -> n.name))"))
+        .withColumn("nodes", F.expr(f"""transform(_spelt, n -> IF({_GENERIC}, cast(named_struct(
+            'slot', n.slot, 'ord', n.ord, 'path', n.path, 'spine', n.spine, 'refs', n.refs, 'hops', n.hops, 'kind', n.kind,
+            'name', concat('$', array_position(generics, n.name)), 'n_children', n.n_children) AS {NODE_TYPE}), n))"""))
+        .withColumn("sig_id", F.expr("unhex(md5(to_json(nodes)))")).drop("_spelt")
     )
 
 
@@ -319,13 +335,13 @@ def build_catalog(items: DataFrame, paths: DataFrame, directory: str | None = No
     )
 
     # A third of all functions may share one spelling; its row is small, the functions stay in place.
-    known = spellings.select("raw_id", "sig_id", F.expr(_FLAW).alias("flaw"))
+    known = spellings.select("raw_id", "sig_id", "generics", F.expr(_FLAW).alias("flaw"))
     own = fns.drop(*RAW)
     named = own.join(F.broadcast(known), "raw_id") if fits(known) else split_hot_keys(own, known, ["raw_id"], "item_id")
     # A folder per bucket of packages, so that a search reads those of its scope; ranges cut a huge package up.
     order = ["bucket", "crate", "item_id"]
     named.withColumn("reason", F.expr(_BROKEN)).withColumn("bucket", bucket("crate")).select(
-        *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "base_path", "page", "reason", "path_id", "bucket"
+        *FN_KEY, "kind", "name", "docs", "arg_names", "sig_id", "generics", "base_path", "page", "reason", "path_id", "bucket"
     ).repartitionByRange(tasks_for(spark, fns.count()), *order).sortWithinPartitions(*order).write.partitionBy(
         "bucket").parquet(f"{directory}/functions")
 

@@ -175,3 +175,19 @@ def test_alias_chains_take_logarithmic_rounds(spark, monkeypatch):
     assert got["al0"] == {f"al{k}" for k in range(n)} and got["al490"] == {f"al{k}" for k in range(490, n)}
     assert got["lo0"] == got["lo1"] == {"lo0", "lo1"}
     assert len(rounds) <= 14  # two tables, and at most twelve rounds
+
+
+def test_names_of_generics_do_not_part_signatures(load, asks):
+    shapes = {
+        "a": ([gen("T"), gen("U")], path("Vec", gen("U"))), "b": ([gen("U"), gen("T")], path("Vec", gen("T"))),
+        "c": ([gen("K"), gen("V")], path("Vec", gen("V"))), "d": ([gen("K"), gen("V")], path("Vec", gen("K"))),
+        "e": ([gen("T"), gen("T")], path("Vec", gen("T"))), "f": ([prim("T"), gen("T")], path("Vec", gen("T"))),
+    }
+    _, catalog, scopes = load({"pkg": document([fn(n, n, *s) for n, s in shapes.items()])})
+    rows = {r.item_id: r for r in catalog.fns.collect()}
+    assert rows["a"].sig_id == rows["b"].sig_id == rows["c"].sig_id
+    assert len({bytes(r.sig_id) for r in rows.values()}) == catalog.sigs.count() == 4
+    assert {n: r.generics for n, r in rows.items()} == {
+        "a": ["T", "U"], "b": ["U", "T"], "c": ["K", "V"], "d": ["K", "V"], "e": ["T"], "f": ["T"]}
+    hits = {r.item_id: round(r.score, 4) for r in se.search(asks("(A, B) -> Vec<B>"), catalog, scopes, threshold=2.0).collect()}
+    assert hits["a"] == hits["b"] == hits["c"] and len(hits) == 6 and min(hits.values()) == hits["a"]
