@@ -12,7 +12,7 @@ from sigsearch.functions import links
 from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators import align as al
 from sigsearch.operators import score as sc
-from sigsearch.operators.joins import settle, shared_folder, tasks_for
+from sigsearch.operators.joins import settle, shared_folder, split_hot_keys, tasks_for
 from sigsearch.operators.name_index import near_by_pieces
 from sigsearch.operators.parse import ARITY_SLOT, parse_signatures, query_nodes
 from sigsearch.operators.scope import list_scopes, scope_problems
@@ -234,7 +234,7 @@ def catalog_by_kind(spark, sf_dir):
 def flattened_nodes(spark, sf_dir):
     """Type trees of all functions as rows, ``Self`` replaced and aliases in both readings."""
     catalog = prepared(spark, sf_dir)[1]
-    fns = catalog.fns.select("item_id", "sig_id", "generics").join(catalog.sigs, "sig_id")
+    fns = _per_function(spark, sf_dir, catalog.sigs)
     return fns.select("item_id", "generics", F.inline("nodes")).select(
         "item_id", "slot", "path", "spine", F.array_join("refs", " ").alias("refs"), "kind",
         F.expr(f"IF(kind = 'generic', {generic_name('name')}, name)").alias("name"), "n_children",
@@ -299,7 +299,7 @@ def _aligned(spark, sf_dir) -> DataFrame:
 
 def _per_function(spark, sf_dir, pairs: DataFrame) -> DataFrame:
     fns = prepared(spark, sf_dir)[1].fns.select("item_id", "sig_id", "generics")
-    return fns.join(pairs, "sig_id")
+    return split_hot_keys(fns, pairs, ["sig_id"], "item_id")
 
 
 def arity_components(spark, sf_dir):

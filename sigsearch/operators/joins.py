@@ -69,6 +69,14 @@ def pieces(df: DataFrame, key: str, limit: int | None = None) -> list[DataFrame]
     raise ValueError(f"a row is larger than the {limit} bytes that may be broadcast")
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """Marks a table that grows with the input for its next join: rows of both sides move by key, neither is broadcast.
+
+    Left to itself, Spark goes by the size of a table's files, and rows take many times as much in memory.
+    """
+    return df.hint("merge")
+
+
 def split_hot_keys(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: str, rows_per_key: int = ROWS_PER_KEY
 ) -> DataFrame:
@@ -76,6 +84,7 @@ def split_hot_keys(
 
     Keys are counted first (combined map-side).  Only keys above ``rows_per_key`` are split into
     parts; their rows of ``right`` are copied once per part.  All other keys are joined as they are.
+    Neither side is broadcast; a right side that was measured to be small needs no splitting.
     """
     hot = (
         left.groupBy(*on).count().filter(F.col("count") > rows_per_key)
@@ -83,10 +92,10 @@ def split_hot_keys(
     )
     hot = settle(hot)
     if hot.isEmpty():
-        return left.join(right, on)
+        return left.join(by_key(right), on)
     # At most (rows of left / rows_per_key) keys can be hot; without hint if that is still a lot.
     hint = F.broadcast if fits(hot) else (lambda d: d)
     parts = F.coalesce("_parts", F.lit(1))
     l = left.join(hint(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
     r = right.join(hint(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return l.drop("_parts").join(r.drop("_parts"), [*on, "_part"]).drop("_part")
+    return l.drop("_parts").join(by_key(r.drop("_parts")), [*on, "_part"]).drop("_part")

@@ -14,7 +14,7 @@ from sigsearch.functions.names import last_segment, letters
 from sigsearch.operators.flatten import NODE_TYPE, flatten_signature
 from sigsearch.operators.index import signature_features, type_names
 from sigsearch.operators.name_index import KEYS, classes_of, pieces_of
-from sigsearch.operators.joins import fits, settle, shared_folder, split_hot_keys, tasks_for
+from sigsearch.operators.joins import by_key, fits, settle, shared_folder, split_hot_keys, tasks_for
 from sigsearch.operators.scope import BUCKETS
 
 FN_KEY = ["crate", "item_id", "impl_id"]
@@ -143,7 +143,7 @@ def located_impls(items: DataFrame, paths: DataFrame) -> DataFrame:
     pathless = found.filter(F.col("path_id").isNull())
     for name, kind in (("path", "array<string>"), ("path_kind", "string")):
         pathless = pathless.withColumn(name, F.lit(None).cast(kind))
-    looked_up = found.filter(F.col("path_id").isNotNull()).join(summary, ["crate", "path_id"], "left")
+    looked_up = found.filter(F.col("path_id").isNotNull()).join(by_key(summary), ["crate", "path_id"], "left")
     return looked_up.unionByName(pathless).select(
         "crate", "impl_id", "for_text", "members", "path_id",
         links.receiver_path().alias("base_path"), links.receiver_page().alias("page"),
@@ -153,7 +153,7 @@ def located_impls(items: DataFrame, paths: DataFrame) -> DataFrame:
 def members(found_impls: DataFrame, items: DataFrame) -> DataFrame:
     """impl -> member items; ``kind`` is NULL where the member is not there."""
     wanted = found_impls.withColumn("id", F.explode_outer("members")).drop("members").filter("id IS NOT NULL")
-    return wanted.join(items.select("crate", "id", "kind", "name", "docs", "inner"), ["crate", "id"], "left")
+    return wanted.join(by_key(items.select("crate", "id", "kind", "name", "docs", "inner")), ["crate", "id"], "left")
 
 
 def callables(items: DataFrame, paths: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def callables(items: DataFrame, paths: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     own_path = paths.select("crate", "id", F.col("path").alias("base_path"))
     free = (
-        items.filter(F.col("kind") == "function").join(own_path, ["crate", "id"], "left")
+        items.filter(F.col("kind") == "function").join(by_key(own_path), ["crate", "id"], "left")
         .withColumn("path_id", F.col("id")).withColumn("page", none)
         .select(*fields, F.lit("").alias("impl_id"), none.alias("for_text"), *place)
     )

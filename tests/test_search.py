@@ -4,10 +4,12 @@ import pytest
 from conftest import document, fn, gen, path, prim
 from pyspark.sql import functions as F
 
+from checks import queries as qu
 from sigsearch.functions.names import letters
 from sigsearch.operators import joins, scope
 from sigsearch.operators.topk import first_per
 from sigsearch.plans import search as se
+from sigsearch.plans.catalog import callables, impls, members
 
 
 @pytest.fixture
@@ -151,6 +153,48 @@ def test_split_hot_keys(spark):
     assert sorted(got.collect()) == sorted(left.join(right, "k").collect())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_hot_keys_sends_no_side_around(many):
+    """Files of these tables are small enough for Spark to broadcast them; rows in memory may not be."""
+    _, catalog, _ = many
+    fns, sigs = catalog.fns.select("crate", "item_id", "sig_id"), catalog.sigs.select("sig_id", "nodes")
+    expected = sorted(map(str, fns.join(sigs, "sig_id").collect()))
+    whole = joins.split_hot_keys(fns, sigs, ["sig_id"], "item_id")
+    assert "Broadcast" not in plan_of(whole) and "SortMergeJoin [sig_id" in plan_of(whole)
+    parts = joins.split_hot_keys(fns, sigs, ["sig_id"], "item_id", rows_per_key=5)
+    assert "BroadcastHashJoin [sig_id" in plan_of(parts)  # the hot keys, which were measured
+    assert plan_of(parts).count("BroadcastExchange") == 2 and "SortMergeJoin [sig_id" in plan_of(parts)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect())) == expected
+
+
+def test_catalogue_tables_are_not_sent_around(many):
+    tables, _, _ = many
+    items, paths = tables["items"], tables["paths"]
+    for found in (callables(items, paths), members(impls(items), items)):
+        assert "Broadcast" not in plan_of(found)
+
+
+def test_bindings_per_function_move_by_signature(spark, tmp_path, monkeypatch):
+    rows = [(i, "blue bolt", f"Brand#{i % 3}" if i % 17 else None, "PROMO" if i % 4 else "LARGE", 8 * (i % 5) + 1) for i in range(60)]
+    part = spark.createDataFrame(rows + rows[:7], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("generic_binding", "flattened_nodes"):
+        query = qu.QUERIES[name]
+        with monkeypatch.context() as m:
+            m.setattr(qu, "split_hot_keys", lambda l, r, on, by: l.join(r, on), raising=False)
+            expected = sorted(map(str, query(spark, str(tmp_path)).collect()))
+        found = query(spark, str(tmp_path))
+        assert "SortMergeJoin [sig_id" in plan_of(found) and "BroadcastHashJoin [sig_id" not in plan_of(found)
+        split = joins.split_hot_keys
+        with monkeypatch.context() as m:
+            m.setattr(qu, "split_hot_keys", lambda l, r, on, by: split(l, r, on, by, rows_per_key=1))
+            parts = query(spark, str(tmp_path)).collect()
+        assert expected and sorted(map(str, found.collect())) == sorted(map(str, parts)) == expected
+
+
 def test_scores_stay_below_one_shuffle(many, asks):
     """From signatures to sums nothing is moved but the signatures themselves."""
     _, catalog, _ = many
