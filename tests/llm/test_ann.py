@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sigsearch.llm import ann
+from sigsearch.operators.joins import shared_folder
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 4), (3, 2), (4, 2)])
@@ -71,3 +72,81 @@ def test_ties_at_the_border_go_by_id():
     for n, q in enumerate(asked):
         want = ids[np.lexsort((ids, -(base @ q)))[:25]]
         assert set(found[found["query_id"] == n]["vec_id"]) == set(want)
+
+
+@pytest.mark.parametrize("broadcast", [400_000, 0])
+def test_stretches_lots_and_rounds_lose_nothing(spark, monkeypatch, broadcast):
+    """Windows as wide as the table: whatever is cut, the lists are those of all pairs, equal scores by id."""
+    n = 900
+    for name, value in (("BLOCK_ROWS", 32), ("TILE", 7), ("TASK_BYTES", 1 << 12), ("QUERY_BYTES", 1 << 14), ("ROUND_BYTES", 0), ("PENDING", 60),
+                        ("BROADCAST_ROWS", broadcast)):
+        monkeypatch.setattr(ann, name, value)
+    monkeypatch.setattr(ann, "measure_window", lambda *_: n)
+    rng = np.random.default_rng(41)
+    x = rng.integers(-2, 3, (n, 9)).astype(float)
+    x[:, 0] = 1  # none is zero
+    x[30:90] = x[30]
+    ids = [int(i) for i in rng.permutation(n) - 50]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    again = [(i, (v + (np.arange(9) == 8)).tolist()) for i, v in zip(ids[100:160], x[100:160], strict=True)]  # larger, so they don't count
+    frame = spark.createDataFrame(rows + again, "vec_id long, embedding array<float>").repartition(5)
+    found = {}
+    for r in ann.nearest(frame, lambda v: v % 3 == 0, k=6, curves=3).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found == brute(ids, x, [i for i in ids if i % 3 == 0], 6)
+
+
+def test_scores_closer_than_single_precision():
+    import pandas as pd
+
+    rng = np.random.default_rng(43)
+    base = rng.standard_normal(20) + 1e-9 * rng.standard_normal((700, 20))
+    asked = rng.standard_normal((5, 20))
+    found = ann._product(8)(pd.DataFrame({"vec_id": range(700), "vector": list(base)}), pd.DataFrame({"query_id": range(5), "q": list(asked)}))
+    for n, q in enumerate(asked):
+        score = np.zeros(700)
+        for c in range(20):
+            score += q[c] * base[:, c]
+        want = np.lexsort((np.arange(700), -score))[:8].tolist()
+        got = found[found["query_id"] == n]
+        assert got["vec_id"].tolist() == want and got["score"].tolist() == score[want].tolist()
+
+
+def test_disk_holds_vectors_of_one_curve(spark, monkeypatch, tmp_path):
+    """Random vectors, whose windows are wide: at most a few copies of them lie on disk at a time, whatever the curves."""
+    import os
+    import threading
+
+    monkeypatch.setattr(ann, "ROUND_BYTES", 0, raising=False)
+    x = np.random.default_rng(47).standard_normal((8_000, 64))
+    data = str(tmp_path / "vectors")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).write.parquet(data)
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    folders = [shared_folder(spark), *(f.getPath() for f in manager.localDirs())]
+
+    def held():
+        total = 0
+        for folder in folders:
+            for at, _, names in os.walk(folder.removeprefix("file:")):
+                for name in names:
+                    if os.path.exists(f"{at}/{name}"):
+                        total += os.stat(f"{at}/{name}").st_size
+        return total
+
+    spark.sparkContext._jvm.System.gc()
+    floor, seen, over = held(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            try:
+                seen.append(held() - floor)
+            except FileNotFoundError:
+                pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    rows = ann.nearest(spark.read.parquet(data), lambda v: v % 20 == 0, k=5).count()
+    over.set()
+    watcher.join()
+    assert rows == 400 * 5
+    assert max(seen) < 6 * x.size * 4, max(seen) / x.size / 4
